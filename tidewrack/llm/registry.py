@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import ann, bpe, mixing, sharding, topk
+from tidewrack.llm import ann, bpe, mixing, ngram_join, sharding, topk, toxicity
 from tidewrack.llm.tables import table
 
 #: The rank file that the queries use; operators take any path.
@@ -39,20 +39,67 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a chain model that two thirds of the labels taught."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        toxicity.in_test_fold(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.transform("spans", lambda s: s["start"]).alias("span_starts"),
+        F.transform("spans", lambda s: s["end"]).alias("span_ends"),
+    )
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near-equal bytes."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under Jaccard links of five-word shingles."""
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_exact_topk": op2_exact_topk,
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op8_sharding": op8_sharding,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_ngram_join": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS s
+            FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(i)
+            WHERE len(w) > 0
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), common AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id
+        ), links AS (
+            SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+            WHERE 100 * c >= 75 * (p.n + q.n - c)
+        ), reach AS (
+            SELECT doc_id AS x, doc_id AS y FROM documents
+            UNION
+            SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+        )
+        SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.c AS component_id
+        FROM documents d LEFT JOIN sizes s USING (doc_id)
+        JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = d.doc_id
+    """,
     "op2_exact_topk": """
         WITH rows AS (
             SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
