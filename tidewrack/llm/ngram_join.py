@@ -14,13 +14,14 @@ shingles. The steps:
    class picks the l with the least estimated cost: postings to read, plus
    candidates to verify if each needs l matches.
 4. Pivots: in two rounds, classes that share a rare shingle are compared with
-   one pivot of that shingle's list. A group of near copies becomes a star of
-   verified links, without all its pairs.
-5. Join: the remaining stars meet on shared prefix shingles; pairs with enough
-   matches are verified exactly. Jaccard distance is a metric, so a verified
-   distance between two centres rules out links between their members when it
-   exceeds the link distance and both radii; otherwise the members that could
-   link are joined themselves.
+   one pivot of that shingle's list. A group of near copies becomes a family
+   around its pivot, without all its pairs.
+5. Join: families meet on shared prefix shingles; pairs with enough matches are
+   verified exactly. Jaccard distance is a metric, so a verified distance
+   between two pivots rules out links between members when it exceeds the link
+   distance and both members' distances; the others are joined themselves.
+   Inside a family, classes that are not linked to the pivot can only link by
+   shingles that the pivot lacks, and are joined on those.
 6. Components over all verified links, by label propagation.
 """
 
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm.components import connected_components
 from tidewrack.llm.shingles import set_key, shingle_set
+from tidewrack.llm.tables import maybe_in
 from tidewrack.session import materialize
 
 #: A link: NUM * |union| <= DEN * |intersection|.
@@ -196,7 +198,7 @@ def choose_prefix(n: int, dfs: np.ndarray) -> tuple[int, int]:
 
 
 def prefixes(candidates: DataFrame) -> DataFrame:
-    """Rows (shingle, cls, n, matches) of every class's prefix."""
+    """Rows (shingle, cls, n, matches, weight) of every class's prefix; weight is the mean frequency of its shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -204,11 +206,11 @@ def prefixes(candidates: DataFrame) -> DataFrame:
             for cls, n, shingles, dfs in zip(pdf["cls"], pdf["n"], pdf["shingles"], pdf["dfs"], strict=True):
                 matches, held = choose_prefix(int(n), np.asarray(dfs))
                 if held:
-                    out.append(pd.DataFrame({"shingle": np.asarray(shingles)[:held], "cls": cls, "n": n, "matches": matches}))
+                    out.append(pd.DataFrame({"shingle": np.asarray(shingles)[:held], "cls": cls, "n": n, "matches": matches, "weight": float(np.sum(dfs)) / n}))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    return candidates.mapInPandas(run, "shingle long, cls long, n int, matches int")
+    return candidates.mapInPandas(run, "shingle long, cls long, n int, matches int, weight double")
 
 
 def _common() -> Column:
@@ -217,69 +219,132 @@ def _common() -> Column:
 
 
 def verified(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Add ``dist`` (Jaccard distance) and ``linked`` (exact) to pairs (a, b, ...)."""
-    sets = candidates.select(F.col("cls"), F.col("n").cast("long").alias("n"), "shingles")
+    """Add common (exact size of the intersection), dist (Jaccard distance) and linked to pairs (a, b, ...)."""
+    sets = candidates.select("cls", F.col("n").cast("long").alias("n"), "shingles")
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", _common()).drop("sa", "sb")
     union = F.col("na") + F.col("nb") - F.col("common")
-    return both.withColumn("dist", 1 - F.col("common") / union).withColumn("linked", DEN * F.col("common") >= NUM * union).drop("na", "nb", "common")
+    return both.withColumn("dist", 1 - F.col("common") / union).withColumn("linked", DEN * F.col("common") >= NUM * union).drop("na", "nb")
 
 
-def pivot_round(prefix: DataFrame, stars: DataFrame, candidates: DataFrame, label: str) -> DataFrame:
-    """Compare every centre with the pivot it meets most; pairs (a, b, dist, linked), b the pivot.
+def pivot_round(prefix: DataFrame, candidates: DataFrame, label: str) -> DataFrame:
+    """Compare every class of ``prefix`` with the pivot it meets most; pairs (a, b, common, dist, linked), b the pivot.
 
-    A shingle's pivot is the smallest centre in its list, so comparisons grow
-    with the lists' lengths and not with their squares.
+    A shingle's pivot is the heaviest class in its list: the text from which
+    near copies were made has more of their shingles than any of them has.
+    Comparisons grow with the lists' lengths and not with their squares.
     """
-    lists = prefix.join(stars, "cls").select("shingle", F.col("centre")).distinct()
-    pivots = lists.groupBy("shingle").agg(F.min("centre").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    met = lists.join(pivots, "shingle").where("centre <> b").groupBy("centre", "b").agg(F.count(F.lit(1)).alias("c"))
-    most = met.groupBy(F.col("centre").alias("a")).agg(F.max_by("b", F.struct("c", F.negative("b"))).alias("b"))
+    pivots = prefix.groupBy("shingle").agg(F.max(F.struct("weight", "cls")).alias("p"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    met = prefix.join(pivots, "shingle").where(F.col("cls") != F.col("p.cls")).groupBy("cls", "p").agg(F.count(F.lit(1)).alias("c"))
+    most = met.groupBy(F.col("cls").alias("a")).agg(F.max(F.struct("c", "p")).alias("m")).select("a", F.col("m.p.cls").alias("b"))
     return materialize(verified(most, candidates), label)
 
 
-def _attach(stars: DataFrame, found: DataFrame) -> DataFrame:
-    """Move a star into its linked pivot's, unless the pivot itself moves; distances to the new centre are upper bounds."""
-    linked = found.where("linked").select(F.col("a").alias("centre"), F.col("b").alias("to"), F.col("dist").alias("step"))
-    stay = linked.join(linked.select(F.col("centre").alias("to")), "to", "left_anti").select("centre", "to", "step")
-    moved = stars.join(stay, "centre", "left")
-    return moved.select("cls", F.coalesce("to", "centre").alias("centre"), (F.col("radius") + F.coalesce("step", F.lit(0.0))).alias("radius"))
+def families(candidates: DataFrame, compared: DataFrame) -> DataFrame:
+    """cls, n, fam, c, r, near: the nearest pivot within half the distance range, and what the class has of it.
+
+    Other classes are families of their own. ``near`` says that the class is
+    linked to its family's pivot.
+    """
+    best = compared.groupBy("a").agg(F.min_by(F.struct("b", "common", "dist", "linked"), "dist").alias("x")).where("x.dist <= 0.5")
+    joined = candidates.select("cls", F.col("n").cast("long").alias("n")).join(best, F.col("cls") == F.col("a"), "left")
+    return joined.select(
+        "cls", "n", F.coalesce("x.b", "cls").alias("fam"), F.coalesce("x.common", "n").alias("c"),
+        F.coalesce("x.dist", F.lit(0.0)).alias("r"), F.coalesce("x.linked", F.lit(True)).alias("near"),
+    )
+
+
+def _side(rows: DataFrame, name: str, *kept: str) -> DataFrame:
+    """The columns of one side of a pair: cls becomes ``name``, the others get it as a suffix."""
+    return rows.select("shingle", F.col("cls").alias(name), *[F.col(k).alias(k + name) for k in kept])
 
 
-def _matching(rows: DataFrame, key: str, low: str, high: str, matches: str, extra: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b) of ``key`` that share at least the smaller of their needed matches in prefix shingles."""
-    left = rows.select("shingle", F.col(key).alias("a"), F.col(low).alias("la"), F.col(high).alias("ha"), F.col(matches).alias("ma"), *([F.col("centre").alias("ca")] if extra is not None else []))
-    right = rows.select("shingle", F.col(key).alias("b"), F.col(low).alias("lb"), F.col(high).alias("hb"), F.col(matches).alias("mb"), *([F.col("centre").alias("cb")] if extra is not None else []))
-    near = (DEN * F.col("ha") >= NUM * F.col("lb")) & (DEN * F.col("hb") >= NUM * F.col("la"))
-    pairs = left.join(right, "shingle").where(near)
-    if extra is None:
-        pairs = pairs.where("a < b")
-    else:
-        pairs = pairs.join(extra, ["ca", "cb"]).where("a <> ca or b <> cb")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("ma", "mb")).alias("m")).where("c >= m").select("a", "b")
+def _sizes_fit(low_a: str, high_a: str, low_b: str, high_b: str) -> Column:
+    return (DEN * F.col(high_a) >= NUM * F.col(low_b)) & (DEN * F.col(high_b) >= NUM * F.col(low_a))
+
+
+def _enough(pairs: DataFrame) -> DataFrame:
+    """Pairs that share at least the smaller of the matches that their prefixes ask for."""
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("matchesa", "matchesb")).alias("m")).where("c >= m").select("a", "b")
+
+
+def _across(rows: DataFrame, members: DataFrame, candidates: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Links between classes of different families; and (fam, cls, n, c), pivots without members that stay near another family.
+
+    Those are compared with the family's members by ``_within``, as outer members.
+    """
+    grouped = rows.groupBy("shingle", F.col("fam").alias("cls")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("matches").alias("matches"))
+    left, right = (_side(grouped, x, "low", "high", "matches") for x in "ab")
+    pairs = left.join(right, "shingle").where((F.col("a") < F.col("b")) & _sizes_fit("lowa", "higha", "lowb", "highb"))
+    met = materialize(verified(_enough(pairs), candidates), "pivot-pairs")
+    # Members are ruled out by the verified distances to their pivots.
+    radius = materialize(members.where("fam <> cls").groupBy("fam").agg(F.max("r").alias("r"), F.min("near").alias("all_near")), "radii")
+    wide = met.join(radius.select(F.col("fam").alias("a"), F.col("r").alias("ra"), F.col("all_near").alias("na")), "a", "left")
+    wide = wide.join(radius.select(F.col("fam").alias("b"), F.col("r").alias("rb"), F.col("all_near").alias("nb")), "b", "left")
+    zero, yes = F.lit(0.0), F.lit(True)
+    wide = wide.where((F.col("dist") <= _LINK + F.coalesce("ra", zero) + F.coalesce("rb", zero) + 1e-9) & (F.col("ra").isNotNull() | F.col("rb").isNotNull()))
+    wide = materialize(wide.where(~(F.col("linked") & F.coalesce("na", yes) & F.coalesce("nb", yes))), "wide-pairs")
+    sizes = candidates.select("cls", F.col("n").cast("long").alias("n"))
+    outer = wide.where("rb is null").select(F.col("a").alias("fam"), F.col("b").alias("cls"), "common").unionAll(wide.where("ra is null").select(F.col("b").alias("fam"), F.col("a").alias("cls"), "common"))
+    outer = outer.join(sizes, "cls").select("fam", "cls", "n", F.col("common").alias("c"))
+    both = wide.where("ra is not null and rb is not null").select(F.col("a").alias("fama"), F.col("b").alias("famb"), "dist", "linked", F.col("ra").alias("most_a"), F.col("rb").alias("most_b"))
+    left, right = (_side(rows, x, "n", "matches", "fam", "r", "near") for x in "ab")
+    left = left.join(both, "fama").where(F.col("dist") <= _LINK + F.col("ra") + F.col("most_b") + 1e-9)
+    open_ = (F.col("dist") <= _LINK + F.col("ra") + F.col("rb") + 1e-9) & ~(F.col("linked") & F.col("neara") & F.col("nearb"))
+    pairs = left.join(right, ["shingle", "famb"]).where(open_ & _sizes_fit("na", "na", "nb", "nb") & ((F.col("a") != F.col("fama")) | (F.col("b") != F.col("famb"))))
+    inner = verified(_enough(pairs), candidates)
+    return [met.where("linked").select("a", "b"), inner.where("linked").select("a", "b")], outer
+
+
+def _within(rows: DataFrame, members: DataFrame, outer: DataFrame, candidates: DataFrame) -> list[DataFrame]:
+    """Links of classes that are far from their family's pivot with others of the family.
+
+    With c the shingles that a class has of the pivot, two members x and y have
+    at most min(c_x, c_y) of the pivot's in common. A link needs 3 (n_x + n_y)
+    / 7 common shingles; what the pivot cannot give must be shared shingles that
+    the pivot lacks, and those are rare. Only where the pivot could give all,
+    which takes an unusually short member, the prefixes decide.
+    """
+    all_ = members.select("fam", "cls", "n", "c", "near", F.lit(False).alias("outer")).unionAll(outer.select("fam", "cls", "n", "c", F.lit(False).alias("near"), F.lit(True).alias("outer")))
+    far = all_.where("not near")
+    spare = F.floor((NUM + DEN) * F.col("c") / NUM) - F.col("n")
+    limits = far.groupBy("fam").agg(F.max(spare).alias("most"))
+    least = all_.join(limits, "fam").groupBy("fam").agg(F.min("n").alias("least"), F.first("most").alias("most"))
+    held = materialize(all_.join(least, "fam").withColumn("spare", spare), "far-families")
+
+    def pair_up(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        left, right = (_side(some, x, "n", "c", "fam", "near", "outer", "spare", "matches") for x in "ab")
+        return left.where("not neara"), right.withColumnRenamed("famb", "fama")
+
+    one_way = (F.col("a") != F.col("b")) & (F.col("nearb") | (F.col("a") < F.col("b"))) & ~(F.col("outera") & F.col("outerb"))
+    sets = candidates.select("cls", "shingles")
+    pivots = candidates.select(F.col("cls").alias("fam"), F.col("shingles").alias("pivot"))
+    extra = held.where("fam <> cls").join(sets, "cls").join(pivots, "fam").withColumn("shingle", F.explode(F.array_except("shingles", "pivot"))).drop("shingles", "pivot").withColumn("matches", F.lit(1))
+    left, right = pair_up(extra)
+    need = F.ceil(NUM * (F.col("na") + F.col("nb")) / (NUM + DEN)) - F.least("ca", "cb")
+    counted = left.join(right, ["shingle", "fama"]).where(one_way & _sizes_fit("na", "na", "nb", "nb")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first(need).alias("need"))
+    by_extra = verified(counted.where("k >= need").select("a", "b"), candidates)
+    short = rows.select("shingle", "cls", "matches").join(held, "cls").where((~F.col("near") & (F.col("spare") >= F.col("least"))) | (~F.col("outer") & (F.col("n") <= F.col("most"))))
+    left, right = pair_up(short)
+    pairs = left.join(right, ["shingle", "fama"]).where(one_way & (F.col("nb") <= F.col("sparea")) & (F.col("na") <= F.col("spareb")) & _sizes_fit("na", "na", "nb", "nb"))
+    by_prefix = verified(_enough(pairs), candidates)
+    return [by_extra.where("linked").select("a", "b"), by_prefix.where("linked").select("a", "b")]
 
 
 def links(candidates: DataFrame, prefix: DataFrame) -> DataFrame:
     """Verified links (a, b) that connect exactly the classes that all links connect."""
-    stars = candidates.select("cls", F.col("cls").alias("centre"), F.lit(0.0).alias("radius"))
-    edges = None
-    for k in range(2):
-        found = pivot_round(prefix, stars, candidates, f"pivots{k}")
-        stars = materialize(_attach(stars, found), f"stars{k}")
-        linked = found.where("linked").select("a", "b")
-        edges = linked if edges is None else edges.unionAll(linked)
-    rows = prefix.join(stars, "cls")
-    grouped = rows.groupBy("shingle", "centre").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("matches").alias("matches"))
-    met = materialize(verified(_matching(grouped, "centre", "low", "high", "matches"), candidates), "centres")
-    edges = edges.unionAll(met.where("linked").select("a", "b"))
-    wide = stars.groupBy("centre").agg(F.max("radius").alias("radius")).where("radius > 0")
-    near = met.where("not linked").join(wide.select(F.col("centre").alias("a"), F.col("radius").alias("ra")), "a", "left").join(wide.select(F.col("centre").alias("b"), F.col("radius").alias("rb")), "b", "left")
-    near = near.where(F.col("dist") <= _LINK + F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0)) + 1e-9).where("ra is not null or rb is not null")
-    near = near.select(F.col("a").alias("ca"), F.col("b").alias("cb"))
-    members = rows.withColumn("low", F.col("n")).withColumn("high", F.col("n"))
-    inner = verified(_matching(members, "cls", "low", "high", "matches", near), candidates)
-    return materialize(edges.unionAll(inner.where("linked").select("a", "b")).distinct(), "links")
+    first = pivot_round(prefix, candidates, "pivots0")
+    done = first.where("linked").select(F.col("a").alias("cls")).unionAll(first.select(F.col("b").alias("cls"))).distinct()
+    second = pivot_round(prefix.join(done, "cls", "left_anti"), candidates, "pivots1")
+    compared = first.unionAll(second)
+    members = materialize(families(candidates, compared), "families")
+    rows = materialize(prefix.drop("weight", "n").join(members, "cls"), "prefixes-by-family")
+    edges = compared.where("linked").select("a", "b")
+    between, outer = _across(rows, members, candidates)
+    for more in [*between, *_within(rows, members, outer, candidates)]:
+        edges = edges.unionAll(more)
+    return materialize(edges.distinct(), "links")
 
 
 def similar_groups(docs: DataFrame, part_shingles: int = PART_SHINGLES) -> DataFrame:
@@ -302,3 +367,20 @@ def similar_groups(docs: DataFrame, part_shingles: int = PART_SHINGLES) -> DataF
     names = least.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = least.join(names, "component").select("cls", "component_id")
     return profiled.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(ids, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component: the one with the component's smallest doc_id.
+
+    Documents without links stay, null and wordless ones too. Of repeated rows
+    one stays. Texts are shuffled only where a row may go: the others are told
+    apart by a broadcast of bounded size.
+    """
+    groups = similar_groups(docs)
+    gone = materialize(groups.where((F.col("doc_id") != F.col("component_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNotNull())).select("doc_id").distinct(), "later-copies")
+    twice = materialize(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    key = F.coalesce("doc_id", F.lit(0))
+    hit, untouched = maybe_in(docs, key, gone.unionAll(twice), key)
+    ids = gone.select(F.col("doc_id").alias("_gone"))
+    kept = hit.join(ids, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").dropDuplicates(["doc_id", "text"])
+    return untouched.select(docs.columns).unionByName(kept.select(docs.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,3 +39,18 @@ def map_batches(df: DataFrame, added: list[tuple[str, T.DataType]], arrow: list[
     return df.mapInArrow(run, schema)
 
 
+
+
+#: Slots of a broadcast filter; it never has more rows than this, whatever the input.
+SLOTS = 1 << 20
+
+
+def maybe_in(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose key can be among the wanted keys, and the rest, without a shuffle of ``df``.
+
+    Keys are longs. Only their slots are broadcast, at most ``slots`` integers;
+    with very many keys every row is in the first part, and nothing is lost.
+    """
+    held = F.broadcast(wanted.select(F.pmod(wanted_key, F.lit(slots)).alias("_slot")).distinct())
+    hit = F.pmod(key, F.lit(slots)) == F.col("_slot")
+    return df.join(held, hit, "left_semi"), df.join(held, hit, "left_anti")
