@@ -185,13 +185,14 @@ def place(narrow: DataFrame, sources: DataFrame, block_table: DataFrame) -> Data
     joined = blocked.join(F.broadcast(block_table), ["source_idx", "block"], "left")  # at most a row per block
     part = F.when(F.array_contains("part_hashes", F.col("row_hash")), F.array("part_shard")).otherwise(F.array().cast("array<int>"))
     takes = F.concat(F.coalesce("shards", F.array().cast("array<int>")), part)
-    return joined.withColumn("shards", F.coalesce(takes, F.array().cast("array<int>"))).withColumn("taken", F.size("shards") * F.col("size")).drop("part_shard", "part_hashes")
+    none = F.array().cast("array<int>")
+    return joined.withColumn("shards", F.when(F.col("size") > 0, F.coalesce(takes, none)).otherwise(none)).withColumn("taken", F.size("shards") * F.col("size")).drop("part_shard", "part_hashes")
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, then copies and shards.
 
-    A null or wordless text has size 0 and adds nothing; a null source is a
+    A null or wordless text has size 0 and is never taken; a null source is a
     source of its own and comes last. Repeated rows stand and fall together.
     An empty table gives an empty result. Reruns with one seed agree.
     """

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import ann, bpe, mixing, ngram_join, sharding, topk, toxicity
+from tidewrack.llm import ann, bpe, license_scan, line_dedup, mixing, ngram_join, sharding, token_counts, topk, toxicity
 from tidewrack.llm.tables import table
 
 #: The rank file that the queries use; operators take any path.
@@ -53,11 +53,43 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The public licenses that every document names."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after three edits, of which only the regions around the edits are encoded again.
+
+    The edits follow from the document: a word goes in at a third of the text,
+    twelve characters go at two thirds, and a sentence goes in at the end.
+    """
+    path, pattern = public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
+    built = token_counts.build(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
+    size = F.coalesce(F.length("text"), F.lit(0))
+
+    def edit(start, removed, inserted):
+        return F.struct(start.cast("int").alias("start"), F.lit(removed).alias("removed"), inserted.alias("inserted"))
+
+    changes = F.array(
+        edit(F.floor(size / 3), 0, F.concat(F.lit(" edit"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+        edit(F.floor(2 * size / 3), 12, F.lit("")),
+        edit(2 * size + 100, 0, F.lit(" One more sentence stands here.")),
+    )
+    edited = token_counts.apply_edits(built.withColumn("edits", changes), path, pattern)
+    return edited.select("doc_id", "n_tokens", "edited_tokens", F.size("leaf_chars").alias("n_leaves"), F.length("edited_text").cast("long").alias("edited_chars"), "encoded_chars")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near-equal bytes."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document that match an earlier line of the corpus."""
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document under Jaccard links of five-word shingles."""
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
@@ -69,7 +101,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_license": op6_license,
+    "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
+    "op9_line_dedup": op9_line_dedup,
     "op10_ngram_join": op10_ngram_join,
 }
 
