@@ -86,7 +86,7 @@ def follow_chain(links: DataFrame, limit: int = 64) -> DataFrame:
             break
         now = moved.select("src", "final")
     still = now.select(F.col("src").alias("final")).distinct()
-    return moved.select("src", "final").join(still, "final", "left_anti")
+    return moved.join(still, "final", "left_anti").select("src", "final")
 
 
 def strong_components(edges: DataFrame, label: str = "component") -> DataFrame:

@@ -82,7 +82,7 @@ def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicate_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = keys.duplicates(_table(spark, sf_dir, "orders"), ["o_custkey", "o_orderdate"])
-    return found.select("o_custkey", F.unix_micros("o_orderdate").alias("at"), "n")
+    return found.select("o_custkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at"), "n")
 
 
 def first_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ def name_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").withColumn("at", F.floor(F.unix_micros("ts") / 1_000_000))
+    return _table(spark, sf_dir, "events").withColumn("at", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000))
 
 
 def range_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +228,7 @@ _SCRIPTS = r"""scripts AS (
     SELECT page_id, u.i - 1 AS script_idx, m[u.i] AS code
     FROM (SELECT page_id, regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script', 1) AS m FROM pages), unnest(range(1, len(m) + 1)) AS u(i)
 )"""
-_SECONDS = "secs AS (SELECT *, epoch_us(ts) // 1000000 AS at FROM events)"
+_SECONDS = "secs AS (SELECT *, epoch_us(ts) // 1000000 AS sec FROM events)"
 
 
 def _edges(where: str) -> str:
@@ -266,16 +266,16 @@ ORACLE_SQL: dict[str, str] = {
         (SELECT 1 FROM lineitem e WHERE e.l_extendedprice < 20000 AND e.l_suppkey = l.l_suppkey AND e.l_linestatus = l.l_linestatus))""",
     "name_vote": """SELECT user_id, event_type, votes FROM (SELECT user_id, event_type, count(*) AS votes,
         row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS k FROM events GROUP BY user_id, event_type) WHERE k = 1""",
-    "range_coalesce": f"""WITH {_SECONDS}, s AS (SELECT user_id, at AS b, at + 14400 AS e FROM secs),
+    "range_coalesce": f"""WITH {_SECONDS}, s AS (SELECT user_id, sec AS b, sec + 14400 AS e FROM secs),
         m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY b, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
         i AS (SELECT *, sum(CASE WHEN reach IS NULL OR b > reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY b, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
         SELECT user_id, min(b) AS "start", max(e) AS "end", count(*) AS parts FROM i GROUP BY user_id, island""",
-    "range_map_lead": f"""WITH {_SECONDS}, h AS (SELECT s.event_id AS range_id, c.at AS gen, c.event_id AS src, s.at + 86400 AS stop
-        FROM secs s JOIN secs c ON s.user_id = c.user_id AND c.at >= s.at AND c.at < s.at + 86400 WHERE s.event_type = 'signup' AND c.event_type = 'click'),
+    "range_map_lead": f"""WITH {_SECONDS}, h AS (SELECT s.event_id AS range_id, c.sec AS gen, c.event_id AS src, s.sec + 86400 AS stop
+        FROM secs s JOIN secs c ON s.user_id = c.user_id AND c.sec >= s.sec AND c.sec < s.sec + 86400 WHERE s.event_type = 'signup' AND c.event_type = 'click'),
         m AS (SELECT *, coalesce(lead(src) OVER (PARTITION BY range_id ORDER BY gen, src), src + stop - gen) AS src_end FROM h)
         SELECT range_id, gen, src, src_end FROM m WHERE src_end > src""",
     "asof_lookup": f"""WITH {_SECONDS}, c AS (SELECT * FROM secs WHERE event_type = 'click'), v AS (SELECT * FROM secs WHERE event_type = 'view')
-        SELECT c.event_id, (SELECT arg_max(v.event_id, (v.at, v.event_id)) FROM v WHERE v.user_id = c.user_id AND v.at <= c.at) AS last_view FROM c""",
+        SELECT c.event_id, (SELECT arg_max(v.event_id, (v.sec, v.event_id)) FROM v WHERE v.user_id = c.user_id AND v.sec <= c.sec) AS last_view FROM c""",
     "band_shared": """SELECT a.l_orderkey, count(*) AS n_pairs FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = b.l_returnflag
         AND b.l_linenumber - a.l_linenumber BETWEEN 1 AND 3 GROUP BY a.l_orderkey""",
     "mutual_refs": """WITH t AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
@@ -289,7 +289,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT node, min(mate) AS component, count(*) AS size FROM m GROUP BY node""",
     "alive_declarations": f"""WITH RECURSIVE {_SPARSE}, r AS (SELECT c_custkey AS node FROM customer WHERE c_acctbal > 9500 UNION SELECT dst FROM r JOIN edges ON src = node)
         SELECT node FROM r""",
-    "transitive_purity": f"""WITH RECURSIVE {_SPARSE}, r AS (SELECT c_custkey AS node FROM customer WHERE c_acctbal >= 9000 UNION SELECT src FROM r JOIN edges ON dst = node)
+    "transitive_purity": f"""WITH RECURSIVE {_SPARSE}, seeds AS (SELECT c_custkey AS node FROM customer WHERE c_acctbal >= 9000 UNION SELECT src FROM edges WHERE dst NOT IN (SELECT c_custkey FROM customer)),
+        r AS (SELECT node FROM seeds UNION SELECT src FROM r JOIN edges ON dst = node)
         SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT node FROM r)""",
     "drop_cascade": f"""WITH RECURSIVE {_SPARSE}, cand AS (SELECT c_custkey AS node FROM customer WHERE c_acctbal > 0 AND c_mktsegment <> 'BUILDING' AND c_acctbal < 9000),
         r AS (SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT node FROM cand) UNION SELECT dst FROM r JOIN edges ON src = node)
