@@ -269,6 +269,11 @@ def _enough(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("matchesa", "matchesb")).alias("m")).where("c >= m").select("a", "b")
 
 
+def _could_reach(common: Column, sizes: Column) -> Column:
+    """Whether sets of these summed sizes could link with so many common shingles."""
+    return (NUM + DEN) * common >= NUM * sizes
+
+
 def _across(rows: DataFrame, members: DataFrame, candidates: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Links between classes of different families; and (fam, cls, n, c), pivots without members that stay near another family.
 
@@ -278,20 +283,25 @@ def _across(rows: DataFrame, members: DataFrame, candidates: DataFrame) -> tuple
     left, right = (_side(grouped, x, "low", "high", "matches") for x in "ab")
     pairs = left.join(right, "shingle").where((F.col("a") < F.col("b")) & _sizes_fit("lowa", "higha", "lowb", "highb"))
     met = materialize(verified(_enough(pairs), candidates), "pivot-pairs")
-    # Members are ruled out by the verified distances to their pivots.
-    radius = materialize(members.where("fam <> cls").groupBy("fam").agg(F.max("r").alias("r"), F.min("near").alias("all_near")), "radii")
-    wide = met.join(radius.select(F.col("fam").alias("a"), F.col("r").alias("ra"), F.col("all_near").alias("na")), "a", "left")
-    wide = wide.join(radius.select(F.col("fam").alias("b"), F.col("r").alias("rb"), F.col("all_near").alias("nb")), "b", "left")
+    # Members are ruled out by the verified distances to their pivots, and by sizes: of members x and y of the
+    # pivots g and h, |x and y| <= |g and h| + |x without g| + |y without h|.
+    extra = F.col("n") - F.col("c")
+    radius = members.groupBy("fam").agg(F.max("r").alias("r"), F.min("near").alias("all_near"), F.max(extra).alias("extra"), F.min("n").alias("least"), F.max(F.col("fam") != F.col("cls")).alias("many"))
+    radius = materialize(radius.where("many"), "radii")
+    wide = met.join(radius.select(F.col("fam").alias("a"), F.col("r").alias("ra"), F.col("all_near").alias("na"), F.col("extra").alias("most_ea"), F.col("least").alias("least_a")), "a", "left")
+    wide = wide.join(radius.select(F.col("fam").alias("b"), F.col("r").alias("rb"), F.col("all_near").alias("nb"), F.col("extra").alias("most_eb"), F.col("least").alias("least_b")), "b", "left")
     zero, yes = F.lit(0.0), F.lit(True)
     wide = wide.where((F.col("dist") <= _LINK + F.coalesce("ra", zero) + F.coalesce("rb", zero) + 1e-9) & (F.col("ra").isNotNull() | F.col("rb").isNotNull()))
     wide = materialize(wide.where(~(F.col("linked") & F.coalesce("na", yes) & F.coalesce("nb", yes))), "wide-pairs")
     sizes = candidates.select("cls", F.col("n").cast("long").alias("n"))
     outer = wide.where("rb is null").select(F.col("a").alias("fam"), F.col("b").alias("cls"), "common").unionAll(wide.where("ra is null").select(F.col("b").alias("fam"), F.col("a").alias("cls"), "common"))
     outer = outer.join(sizes, "cls").select("fam", "cls", "n", F.col("common").alias("c"))
-    both = wide.where("ra is not null and rb is not null").select(F.col("a").alias("fama"), F.col("b").alias("famb"), "dist", "linked", F.col("ra").alias("most_a"), F.col("rb").alias("most_b"))
-    left, right = (_side(rows, x, "n", "matches", "fam", "r", "near") for x in "ab")
-    left = left.join(both, "fama").where(F.col("dist") <= _LINK + F.col("ra") + F.col("most_b") + 1e-9)
-    open_ = (F.col("dist") <= _LINK + F.col("ra") + F.col("rb") + 1e-9) & ~(F.col("linked") & F.col("neara") & F.col("nearb"))
+    both = wide.where("ra is not null and rb is not null").select(F.col("a").alias("fama"), F.col("b").alias("famb"), "dist", "linked", "common", F.col("rb").alias("most_b"), "most_ea", "most_eb", "least_a", "least_b")
+    both = both.where(_could_reach(F.col("common") + F.col("most_ea") + F.col("most_eb"), F.col("least_a") + F.col("least_b")))
+    left, right = (_side(rows.withColumn("e", extra), x, "n", "e", "matches", "fam", "r", "near") for x in "ab")
+    left = left.join(both, "fama").where((F.col("dist") <= _LINK + F.col("ra") + F.col("most_b") + 1e-9) & _could_reach(F.col("common") + F.col("ea") + F.col("most_eb"), F.col("na") + F.col("least_b")))
+    open_ = _could_reach(F.col("common") + F.col("ea") + F.col("eb"), F.col("na") + F.col("nb"))
+    open_ &= (F.col("dist") <= _LINK + F.col("ra") + F.col("rb") + 1e-9) & ~(F.col("linked") & F.col("neara") & F.col("nearb"))
     pairs = left.join(right, ["shingle", "famb"]).where(open_ & _sizes_fit("na", "na", "nb", "nb") & ((F.col("a") != F.col("fama")) | (F.col("b") != F.col("famb"))))
     inner = verified(_enough(pairs), candidates)
     return [met.where("linked").select("a", "b"), inner.where("linked").select("a", "b")], outer
