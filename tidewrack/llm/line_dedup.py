@@ -7,13 +7,11 @@ text hash, line number) stays and the later ones go.
 
 1. Equal lines become one class, with the position of the first.
 2. Of its m shingles, a class emits the m - ceil(0.75 m) + 1 + SPARE smallest by
-   hash. Two matching lines share at least 1 + SPARE of them. Their exact
-   frequencies come from one shuffle of (shingle, class) rows. Every class then
-   orders them by rarity and leaves out the SPARE most frequent ones; the rarest
-   shared one is never among those, on either side.
-3. Classes that share what is left are candidates. Length filters apply in the
-   join, the number of needed matches after it; the sets are read again for the
-   candidates only, and Jaccard is verified exactly (see ngram_join.links).
+   hash. Two matching lines share at least 1 + SPARE of them, so a class with
+   fewer shared ones, counted in one shuffle of (shingle, class), has no match.
+3. The sets of the others are read again, and their shingles ordered by exact
+   frequency among them. Classes that share enough of their rarest shingles (the
+   prefix) and fit in length are verified exactly (see ngram_join.links).
 4. The components of the matches tell which lines to remove.
 """
 
@@ -28,6 +26,8 @@ from tidewrack.llm.tables import WORD_SEPARATORS, maybe_in
 from tidewrack.session import materialize
 
 SPARE = 2
+#: Prefix shingles that candidates must share before they are verified.
+MATCHES = 3
 
 _BLANK = " \t\x0b\x0c\r"
 
@@ -68,14 +68,12 @@ def classes_of(docs: DataFrame) -> DataFrame:
 
 
 def probes(classes: DataFrame) -> DataFrame:
-    """shingle, cls, weight: what each class is looked up by, rarest shingles only; classes that share none are gone."""
+    """cls of the classes that share more than the most frequent shingles of their prefix with another class."""
     # Sets of one or two need one or two matches; they link with their like only, so both sides spare the same.
     spare = F.least(F.lit(SPARE), F.size("prefix") - 1).alias("spare")
     rows = classes.select("cls", spare, F.explode_outer("prefix").alias("shingle"))
     counted = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("df > 1")
-    own = Window.partitionBy("cls")
-    ordered = counted.withColumn("_k", F.row_number().over(own.orderBy(F.desc("df"), F.desc("shingle")))).withColumn("weight", F.sum("df").over(own).cast("double"))
-    return ordered.where(F.col("_k") > F.col("spare")).select("shingle", "cls", "weight")
+    return counted.groupBy("cls").agg(F.count(F.lit(1)).alias("k"), F.first("spare").alias("spare")).where("k > spare").select("cls")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -85,13 +83,27 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return with_shingles(one).select("cls", F.size("shingles").alias("n"), "shingles")
 
 
+def _rarest(candidates: DataFrame) -> DataFrame:
+    """shingle, cls, n, matches, weight: each candidate's prefix, its shingles ordered by how many candidates have them.
+
+    The prefix of l matches has n - ceil(0.75 n) + l shingles; those that no
+    other candidate has come first and need no row.
+    """
+    rows = candidates.select("cls", "n", F.explode_outer("shingles").alias("shingle"))
+    counted = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("shingle")))
+    own = Window.partitionBy("cls")
+    need = F.ceil(F.col("n") * 0.75)
+    matches = F.least(F.lit(MATCHES), need).cast("int")
+    ordered = counted.withColumn("_k", F.row_number().over(own.orderBy("df", "shingle"))).withColumn("weight", F.sum("df").over(own) / F.col("n")).withColumn("matches", matches)
+    return ordered.where((F.col("df") > 1) & (F.col("_k") <= F.col("n") - need + F.col("matches"))).select("shingle", "cls", "n", "matches", "weight")
+
+
 def line_fates(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line_no, keep for every line that has words."""
     classes = materialize(classes_of(docs), "line-classes")
     found = materialize(probes(classes), "line-probes")
-    candidates = materialize(_sets(docs, found.select("cls").distinct()), "line-sets")
-    prefix = found.join(candidates.select("cls", "n"), "cls").withColumn("matches", F.lit(1))
-    reached = connected_components(links(candidates, materialize(prefix, "line-prefixes")))
+    candidates = materialize(_sets(docs, found), "line-sets")
+    reached = connected_components(links(candidates, materialize(_rarest(candidates), "line-prefixes")))
     joined = classes.select("cls", "first").join(reached, F.col("cls") == F.col("node"))
     moved = joined.join(joined.groupBy("component").agg(F.min("first").alias("earliest")), "component").select("cls", "earliest")
     firsts = classes.select("cls", "first").join(moved, "cls", "left").select("cls", F.coalesce("earliest", "first").alias("first"))
