@@ -82,3 +82,24 @@ def test_maps_are_versions(spark, tmp_path):
     assert sharding.load_map(spark, str(tmp_path / "map"), 1) == first
     assert sharding.load_map(spark, str(tmp_path / "map"), 2) == grown
     assert all(b in (a, 4) for a, b in zip(first.shard_of, grown.shard_of)) and 4 in grown.shard_of
+
+
+def test_nearest_subset():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        sizes, want = rng.integers(0, 60, size=9), float(rng.integers(0, 300)) + 0.3
+        sums = [sum(int(s) for k, s in enumerate(sizes) if m >> k & 1) for m in range(1 << 9)]
+        assert abs(sizes[mixing.nearest_subset(sizes, want)].sum() - want) == min(abs(x - want) for x in sums)
+    assert not mixing.nearest_subset(np.array([], dtype=int), 3.0).any()
+    sizes = np.array([9_000_000, 5_000_001, 17])
+    assert list(mixing.nearest_subset(sizes, 5e6)) == [False, True, False]
+
+
+def test_large_blocks_are_bounded_by_ranges(spark):
+    rows = [(k, "w " * (1 + k * 7 % 41), "a" if k % 3 else "b", 1, "x") for k in range(6000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    report = mixing.mix_report(docs, blocks=2).collect()
+    for s in "ab":
+        mine = [r for r in report if rows[r.doc_id][2] == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 2 and all(r.taken <= 3 * r["size"] for r in mine)
+    assert sum(r.copies for r in report if rows[r.doc_id][2] == "a") > 4000
