@@ -19,9 +19,10 @@ shingles. The steps:
 5. Join: families meet on shared prefix shingles; pairs with enough matches are
    verified exactly. Jaccard distance is a metric, so a verified distance
    between two pivots rules out links between members when it exceeds the link
-   distance and both members' distances; the others are joined themselves.
-   Inside a family, classes that are not linked to the pivot can only link by
-   shingles that the pivot lacks, and are joined on those.
+   distance and both members' distances; of two other families, the smaller
+   one's members become outer members of the larger. Inside a family, classes
+   that are not linked to the pivot can only link by shingles that the pivot
+   lacks, and are joined on those.
 6. Components over all verified links, by label propagation.
 """
 
@@ -275,9 +276,12 @@ def _could_reach(common: Column, sizes: Column) -> Column:
 
 
 def _across(rows: DataFrame, members: DataFrame, candidates: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Links between classes of different families; and (fam, cls, n, c), pivots without members that stay near another family.
+    """Links between pivots, and between members and other pivots; and (fam, cls, n, c, near), classes that stay near another family.
 
-    Those are compared with the family's members by ``_within``, as outer members.
+    Those are compared with that family's members by ``_within``, as outer
+    members. Of two families that stay near each other, the members of the
+    smaller one are compared with the larger one's pivot, so that no join meets
+    the members of a large family with all its neighbours.
     """
     grouped = rows.groupBy("shingle", F.col("fam").alias("cls")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("matches").alias("matches"))
     left, right = (_side(grouped, x, "low", "high", "matches") for x in "ab")
@@ -286,29 +290,31 @@ def _across(rows: DataFrame, members: DataFrame, candidates: DataFrame) -> tuple
     # Members are ruled out by the verified distances to their pivots, and by sizes: of members x and y of the
     # pivots g and h, |x and y| <= |g and h| + |x without g| + |y without h|.
     extra = F.col("n") - F.col("c")
-    radius = members.groupBy("fam").agg(F.max("r").alias("r"), F.min("near").alias("all_near"), F.max(extra).alias("extra"), F.min("n").alias("least"), F.max(F.col("fam") != F.col("cls")).alias("many"))
-    radius = materialize(radius.where("many"), "radii")
-    wide = met.join(radius.select(F.col("fam").alias("a"), F.col("r").alias("ra"), F.col("all_near").alias("na"), F.col("extra").alias("most_ea"), F.col("least").alias("least_a")), "a", "left")
-    wide = wide.join(radius.select(F.col("fam").alias("b"), F.col("r").alias("rb"), F.col("all_near").alias("nb"), F.col("extra").alias("most_eb"), F.col("least").alias("least_b")), "b", "left")
+    radius = members.groupBy("fam").agg(F.max("r").alias("r"), F.min("near").alias("all_near"), F.max(extra).alias("extra"), F.min("n").alias("least"), F.count(F.lit(1)).alias("size"), F.max(F.col("fam") != F.col("cls")).alias("many"))
+    radius = materialize(radius.where("many"), "radii")  # a pivot can be in another family itself, so its own may have one member only
+
+    def of(x: str) -> DataFrame:
+        return radius.select(F.col("fam").alias(x), F.col("r").alias("r" + x), F.col("all_near").alias("n" + x), F.col("extra").alias("e" + x), F.col("least").alias("l" + x), F.col("size").alias("s" + x))
+
     zero, yes = F.lit(0.0), F.lit(True)
+    wide = met.join(of("a"), "a", "left").join(of("b"), "b", "left")
     wide = wide.where((F.col("dist") <= _LINK + F.coalesce("ra", zero) + F.coalesce("rb", zero) + 1e-9) & (F.col("ra").isNotNull() | F.col("rb").isNotNull()))
     wide = materialize(wide.where(~(F.col("linked") & F.coalesce("na", yes) & F.coalesce("nb", yes))), "wide-pairs")
-    sizes = candidates.select("cls", F.col("n").cast("long").alias("n"))
-    outer = wide.where("rb is null").select(F.col("a").alias("fam"), F.col("b").alias("cls"), "common").unionAll(wide.where("ra is null").select(F.col("b").alias("fam"), F.col("a").alias("cls"), "common"))
-    outer = outer.join(sizes, "cls").select("fam", "cls", "n", F.col("common").alias("c"))
-    both = wide.where("ra is not null and rb is not null").select(F.col("a").alias("fama"), F.col("b").alias("famb"), "dist", "linked", "common", F.col("rb").alias("most_b"), "most_ea", "most_eb", "least_a", "least_b")
-    both = both.where(_could_reach(F.col("common") + F.col("most_ea") + F.col("most_eb"), F.col("least_a") + F.col("least_b")))
-    left, right = (_side(rows.withColumn("e", extra), x, "n", "e", "matches", "fam", "r", "near") for x in "ab")
-    left = left.join(both, "fama").where((F.col("dist") <= _LINK + F.col("ra") + F.col("most_b") + 1e-9) & _could_reach(F.col("common") + F.col("ea") + F.col("most_eb"), F.col("na") + F.col("least_b")))
-    open_ = _could_reach(F.col("common") + F.col("ea") + F.col("eb"), F.col("na") + F.col("nb"))
-    open_ &= (F.col("dist") <= _LINK + F.col("ra") + F.col("rb") + 1e-9) & ~(F.col("linked") & F.col("neara") & F.col("nearb"))
-    pairs = left.join(right, ["shingle", "famb"]).where(open_ & _sizes_fit("na", "na", "nb", "nb") & ((F.col("a") != F.col("fama")) | (F.col("b") != F.col("famb"))))
-    inner = verified(_enough(pairs), candidates)
-    return [met.where("linked").select("a", "b"), inner.where("linked").select("a", "b")], outer
+    single = wide.where("rb is null").select(F.col("a").alias("fam"), F.col("b").alias("cls"), "common", "linked").unionAll(wide.where("ra is null").select(F.col("b").alias("fam"), F.col("a").alias("cls"), "common", "linked"))
+    both = wide.where("ra is not null and rb is not null").where(_could_reach(F.col("common") + F.col("ea") + F.col("eb"), F.col("la") + F.col("lb")))
+    larger = F.col("sa") >= F.col("sb")
+    large = F.when(larger, F.struct(F.col("a").alias("fam"), F.col("ra").alias("r"), F.col("ea").alias("extra"), F.col("la").alias("least"))).otherwise(F.struct(F.col("b").alias("fam"), F.col("rb").alias("r"), F.col("eb").alias("extra"), F.col("lb").alias("least")))
+    turned = both.select(F.when(larger, F.col("b")).otherwise(F.col("a")).alias("fam"), large.alias("large"), "dist", "common")
+    reach = (F.col("dist") <= _LINK + F.col("r") + F.col("large.r") + 1e-9) & _could_reach(F.col("common") + extra + F.col("large.extra"), F.col("n") + F.col("large.least"))
+    asked = members.join(turned, "fam").where(reach).select(F.col("cls").alias("a"), F.col("large.fam").alias("b"), F.col("large.r").alias("reach"))
+    checked = materialize(verified(asked, candidates), "outer-members")
+    outer = single.unionAll(checked.where(F.col("dist") <= _LINK + F.col("reach") + 1e-9).select(F.col("b").alias("fam"), F.col("a").alias("cls"), "common", "linked"))
+    outer = outer.join(candidates.select("cls", F.col("n").cast("long").alias("n")), "cls").select("fam", "cls", "n", F.col("common").alias("c"), F.col("linked").alias("near"))
+    return [met.where("linked").select("a", "b"), checked.where("linked").select("a", "b")], outer
 
 
 def _within(rows: DataFrame, members: DataFrame, outer: DataFrame, candidates: DataFrame) -> list[DataFrame]:
-    """Links of classes that are far from their family's pivot with others of the family.
+    """Links of classes that are far from their family's pivot with others of the family, outer members included.
 
     With c the shingles that a class has of the pivot, two members x and y have
     at most min(c_x, c_y) of the pivot's in common. A link needs 3 (n_x + n_y)
@@ -316,7 +322,7 @@ def _within(rows: DataFrame, members: DataFrame, outer: DataFrame, candidates: D
     the pivot lacks, and those are rare. Only where the pivot could give all,
     which takes an unusually short member, the prefixes decide.
     """
-    all_ = members.select("fam", "cls", "n", "c", "near", F.lit(False).alias("outer")).unionAll(outer.select("fam", "cls", "n", "c", F.lit(False).alias("near"), F.lit(True).alias("outer")))
+    all_ = members.select("fam", "cls", "n", "c", "near", F.lit(False).alias("outer")).unionAll(outer.select("fam", "cls", "n", "c", "near", F.lit(True).alias("outer")))
     far = all_.where("not near")
     spare = F.floor((NUM + DEN) * F.col("c") / NUM) - F.col("n")
     limits = far.groupBy("fam").agg(F.max(spare).alias("most"))
@@ -335,7 +341,7 @@ def _within(rows: DataFrame, members: DataFrame, outer: DataFrame, candidates: D
     need = F.ceil(NUM * (F.col("na") + F.col("nb")) / (NUM + DEN)) - F.least("ca", "cb")
     counted = left.join(right, ["shingle", "fama"]).where(one_way & _sizes_fit("na", "na", "nb", "nb")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first(need).alias("need"))
     by_extra = verified(counted.where("k >= need").select("a", "b"), candidates)
-    short = rows.select("shingle", "cls", "matches").join(held, "cls").where((~F.col("near") & (F.col("spare") >= F.col("least"))) | (~F.col("outer") & (F.col("n") <= F.col("most"))))
+    short = rows.select("shingle", "cls", "matches").join(held, "cls").where((~F.col("near") & (F.col("spare") >= F.col("least"))) | ((~F.col("outer") | F.col("near")) & (F.col("n") <= F.col("most"))))
     left, right = pair_up(short)
     pairs = left.join(right, ["shingle", "fama"]).where(one_way & (F.col("nb") <= F.col("sparea")) & (F.col("na") <= F.col("spareb")) & _sizes_fit("na", "na", "nb", "nb"))
     by_prefix = verified(_enough(pairs), candidates)
