@@ -146,6 +146,10 @@ def mutual_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.mutual(_transitions(spark, sf_dir).where("src <> dst"))
 
 
+#: The orders that the SQL of the graph queries names. Queries ending in _all take every order and have no SQL, as its recursion lists all pairs.
+_URGENT = "o_orderstatus = 'P' and o_orderpriority = '1-URGENT'"
+
+
 def _imports(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
     """References between customers: an order of one points to another by its number."""
     n = _table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("n"))
@@ -153,30 +157,50 @@ def _imports(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
     return orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7919 % F.col("n") + 1).alias("dst")).distinct()
 
 
-def reference_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.components(_imports(spark, sf_dir, "o_orderstatus = 'P' and o_orderpriority = '1-URGENT'").where("src <> dst"))
+def reference_components(spark: SparkSession, sf_dir: str, where: str = _URGENT) -> DataFrame:
+    return graphs.components(_imports(spark, sf_dir, where).where("src <> dst"))
 
 
-def scc_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.strong_components(_imports(spark, sf_dir, "o_orderstatus = 'F' and o_orderpriority in ('1-URGENT', '2-HIGH')"))
+def scc_cycles(spark: SparkSession, sf_dir: str, where: str = "o_orderstatus = 'F' and o_orderpriority in ('1-URGENT', '2-HIGH')") -> DataFrame:
+    return graphs.strong_components(_imports(spark, sf_dir, where))
 
 
-def alive_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def alive_declarations(spark: SparkSession, sf_dir: str, where: str = _URGENT) -> DataFrame:
     roots = _table(spark, sf_dir, "customer").where("c_acctbal > 9500").select(F.col("c_custkey").alias("node"))
-    return graphs.reachable(_imports(spark, sf_dir, "o_orderstatus = 'P' and o_orderpriority = '1-URGENT'"), roots)
+    return graphs.reachable(_imports(spark, sf_dir, where), roots)
 
 
-def transitive_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transitive_purity(spark: SparkSession, sf_dir: str, where: str = _URGENT) -> DataFrame:
     nodes = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), (F.col("c_acctbal") < 9000).alias("pure"))
-    return graphs.transitively_pure(nodes, _imports(spark, sf_dir, "o_orderstatus = 'P' and o_orderpriority = '1-URGENT'"))
+    return graphs.transitively_pure(nodes, _imports(spark, sf_dir, where))
 
 
-def drop_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+def drop_cascade(spark: SparkSession, sf_dir: str, where: str = _URGENT) -> DataFrame:
     customer = _table(spark, sf_dir, "customer")
     modules = customer.select(
         F.col("c_custkey").alias("node"), (F.col("c_acctbal") > 0).alias("helper"), (F.col("c_mktsegment") == "BUILDING").alias("entry"), (F.col("c_acctbal") < 9000).alias("pure")
     )
-    return graphs.drop_cascade(modules, _imports(spark, sf_dir, "o_orderstatus = 'P' and o_orderpriority = '1-URGENT'"))
+    return graphs.drop_cascade(modules, _imports(spark, sf_dir, where))
+
+
+def reference_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reference_components(spark, sf_dir, "true")
+
+
+def scc_cycles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scc_cycles(spark, sf_dir, "true")
+
+
+def alive_declarations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alive_declarations(spark, sf_dir, "true")
+
+
+def transitive_purity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transitive_purity(spark, sf_dir, "true")
+
+
+def drop_cascade_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_cascade(spark, sf_dir, "true")
 
 
 def passthrough_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +244,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         script_inventory, free_call_counts, first_match_format, unique_id_map, composite_unique_map, agree_or_drop, rename_map, dedup_suffix, specifier_join, dangling_refs,
         duplicate_exports, first_declared, prune_stale, all_props_exported, name_vote, range_coalesce, range_map_lead, asof_lookup, band_shared, mutual_refs,
-        reference_components, scc_cycles, alive_declarations, transitive_purity, drop_cascade, passthrough_chain, export_resolution, graph_base36, resolve_paths, provenance,
+        reference_components, scc_cycles, alive_declarations, transitive_purity, drop_cascade, reference_components_all, scc_cycles_all,
+        alive_declarations_all, transitive_purity_all, drop_cascade_all, passthrough_chain, export_resolution, graph_base36, resolve_paths, provenance,
     )
 }
 
