@@ -60,8 +60,12 @@ def _batch_sets(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [shingle_set(x.as_py()) for x in batch.column(batch.schema.get_field_index("text"))]
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), cls (set key; null without words), and on one row per batch its frequent shingles with counts."""
+def profile(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """doc_id, n (set size), cls (set key; null without words), and on one row per batch its frequent shingles with counts.
+
+    With ``digest``, also the column _digest of ``docs``.
+    """
+    carried = ["_digest"] if digest else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,11 +79,12 @@ def profile(docs: DataFrame) -> DataFrame:
             lists = [often[hot].view(np.int64).tolist()] + [None] * (batch.num_rows - 1)
             sums = [counts[hot].tolist()] + [None] * (batch.num_rows - 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(sums, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "cls", "often", "counts"],
+                [batch.column(batch.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(sums, pa.list_(pa.int64()))]
+                + [batch.column(batch.schema.get_field_index(c)) for c in carried],
+                names=["doc_id", "n", "cls", "often", "counts", *carried],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, often array<long>, counts array<long>")
+    return docs.select("doc_id", "text", *carried).mapInArrow(run, "doc_id long, n long, cls long, often array<long>, counts array<long>" + (", _digest long" if digest else ""))
 
 
 def frequent(profiled: DataFrame, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
@@ -363,6 +368,19 @@ def links(candidates: DataFrame, prefix: DataFrame) -> DataFrame:
     return materialize(edges.distinct(), "links")
 
 
+def _grouped(docs: DataFrame, part_shingles: int, digest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The profile of ``docs``; and cls, rep (smallest doc_id), component (any key) of every class."""
+    profiled = materialize(profile(docs, digest), "profile")
+    often = frequent(profiled)
+    classes = profiled.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, math.ceil(total / part_shingles))
+    candidates = materialize(candidates_of(shared_shingles(docs, often, parts), classes), "candidates")
+    edges = links(candidates, materialize(prefixes(candidates), "prefixes"))
+    reached = connected_components(edges)
+    return profiled, classes.join(reached, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
+
+
 def similar_groups(docs: DataFrame, part_shingles: int = PART_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id: every document with the smallest doc_id that its links reach.
 
@@ -371,32 +389,33 @@ def similar_groups(docs: DataFrame, part_shingles: int = PART_SHINGLES) -> DataF
     equal sets are one class. Rows with a null doc_id take part; a component of only such rows
     has a null id. Repeated rows stay. An empty table gives an empty result.
     """
-    profiled = materialize(profile(docs), "profile")
-    often = frequent(profiled)
-    classes = profiled.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, math.ceil(total / part_shingles))
-    candidates = materialize(candidates_of(shared_shingles(docs, often, parts), classes), "candidates")
-    edges = links(candidates, materialize(prefixes(candidates), "prefixes"))
-    reached = connected_components(edges)
-    least = classes.join(reached, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
+    profiled, least = _grouped(docs, part_shingles)
     names = least.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = least.join(names, "component").select("cls", "component_id")
     return profiled.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(ids, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one with the component's smallest doc_id.
+    """``docs`` with one row of each component: the one with the smallest doc_id (nulls last), then set key, then text digest.
 
-    Documents without links stay, null and wordless ones too. Of repeated rows
-    one stays. Texts are shuffled only where a row may go: the others are told
-    apart by a broadcast of bounded size.
+    Rows without links stay, null and wordless ones and those whose doc_id
+    another text has too. Of rows with equal doc_id and text one stays. Texts
+    are shuffled only where a row may go: the others are told apart by a
+    broadcast of bounded size.
     """
-    groups = similar_groups(docs)
-    gone = materialize(groups.where((F.col("doc_id") != F.col("component_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNotNull())).select("doc_id").distinct(), "later-copies")
-    twice = materialize(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    key = F.coalesce("doc_id", F.lit(0))
-    hit, untouched = maybe_in(docs, key, gone.unionAll(twice), key)
-    ids = gone.select(F.col("doc_id").alias("_gone"))
-    kept = hit.join(ids, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").dropDuplicates(["doc_id", "text"])
+    marked = docs.withColumn("_digest", F.xxhash64("text"))
+    profiled, least = _grouped(marked, PART_SHINGLES, digest=True)
+    worded = profiled.where("cls is not null").select("doc_id", "_digest", "cls")
+    # Decided by class and then by component, so that a large component is reduced before any join.
+    lead = least.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("last"), "rep", "cls")).alias("x"))
+    decided = least.join(lead, "component").select("cls", "rep", (F.col("cls") == F.col("x.cls")).alias("leads"))
+    rows = materialize(worded.join(decided, "cls"), "rows-by-class")
+    first = rows.where(F.col("leads") & F.col("doc_id").eqNullSafe(F.col("rep"))).groupBy("cls").agg(F.min("_digest").alias("first"))
+    later = rows.join(first, "cls", "left").where(~F.col("leads") | ~F.col("doc_id").eqNullSafe(F.col("rep")) | (F.col("_digest") != F.col("first")))
+    gone = materialize(later.select("doc_id", "_digest").distinct(), "later-copies")
+    twice = materialize(profiled.groupBy("doc_id", "_digest").count().where("count > 1").select("doc_id", "_digest"), "repeated-rows")
+    key = F.xxhash64("doc_id", "_digest")
+    hit, untouched = maybe_in(marked, key, gone.unionAll(twice), key)
+    rest = gone.select(F.col("doc_id").alias("_doc"), F.col("_digest").alias("_gone"))
+    kept = hit.join(rest, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_digest") == F.col("_gone")), "left_anti").dropDuplicates(["doc_id", "text"])
     return untouched.select(docs.columns).unionByName(kept.select(docs.columns))
