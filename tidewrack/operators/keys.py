@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_match(cases: list[tuple[str, Column]], otherwise: str = "plain") -> Column:
@@ -55,6 +59,43 @@ def suffix_duplicates(df: DataFrame, name: str, order: list[str], out: str = "un
     return df.withColumn("_k", rank).withColumn(out, F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat(name, F.lit("_"), F.col("_k").cast("string")))).drop("_k")
 
 
+def unique_suffixes(df: DataFrame, name: str, order: list[str], out: str = "unique_name") -> DataFrame:
+    """Rows in ``order`` take their name or its first suffix _2, _3 and so on that no earlier row took, in any case.
+
+    A name can only meet names with the same root, that is without its trailing
+    numbers. Where all names of a root are equal, or none occurs twice, ranks are
+    right. The rows of other roots are taken in order, root by root, in a stream
+    that remembers the names of one root; the root is the unit of parallel work.
+    """
+    root = F.regexp_replace(F.lower(name), r"(_[0-9]+)+\z", "")
+    spellings = df.where(F.col(name).isNotNull()).groupBy(root.alias("_root"), F.lower(name).alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
+    mixed = spellings.groupBy("_root").agg(F.count(F.lit(1)).alias("_names"), F.max("_n").alias("_most")).where("_names > 1 and _most > 1").select("_root")
+    marked = df.withColumn("_root", root)
+    plain = suffix_duplicates(marked.join(mixed, "_root", "left_anti"), name, order, out).drop("_root")
+    schema = T.StructType([*(f for f in df.schema if f.name != out), T.StructField(out, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, taken, last = None, set(), {}
+        for batch in batches:
+            of, lower, own = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_root", "_lower", "_own"))
+            found = []
+            for i, x in enumerate(lower):
+                if of[i] != at:
+                    at, taken, last = of[i], set(), {}
+                k = last.get(x, 0) + 1
+                while (x if k == 1 else f"{x}_{k}") in taken:
+                    k += 1
+                last[x] = k
+                taken.add(x if k == 1 else f"{x}_{k}")
+                found.append(own[i] if k == 1 else f"{own[i]}_{k}")
+            columns = [batch.column(batch.schema.get_field_index(n)) for n in schema.names[:-1]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string())], names=schema.names)
+
+    rows = marked.join(mixed, "_root", "left_semi").withColumn("_lower", F.lower(name)).withColumn("_own", F.col(name))
+    taken_in_order = rows.repartition("_root").sortWithinPartitions("_root", *order).mapInArrow(run, schema)
+    return plain.select(schema.names).unionByName(taken_in_order)
+
+
 def suffix_collisions(df: DataFrame, unique: str = "unique_name") -> DataFrame:
     """Names that two rows have after suffixing, in any case."""
     return df.groupBy(F.lower(unique).alias("name")).count().where("count > 1")

@@ -64,7 +64,7 @@ def rename_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keys.suffix_duplicates(_table(spark, sf_dir, "part"), "p_name", ["p_partkey"]).select("p_partkey", "unique_name")
+    return keys.unique_suffixes(_table(spark, sf_dir, "part"), "p_name", ["p_partkey"]).select("p_partkey", "unique_name")
 
 
 def specifier_join(spark: SparkSession, sf_dir: str) -> DataFrame:
