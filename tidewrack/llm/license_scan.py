@@ -57,9 +57,12 @@ def _hashed(words: str) -> Column:
 
 
 def template_table(templates: DataFrame) -> DataFrame:
-    """template, license, n, cls, shingle: a row per distinct shingle. Templates of fewer than five words are refused."""
+    """template, license, n, cls, shingle: a row per distinct shingle. Templates of fewer than five words are refused by an error."""
     words = templates.where(F.col("text").isNotNull()).select("license", _words(F.col("text")).alias("words"))
-    hashed = words.select("license", F.array_distinct(_hashed("words")).alias("s")).where(F.size("s") > 0)
+    hashed = words.select("license", F.array_distinct(_hashed("words")).alias("s"))
+    short = [r.license for r in hashed.where(F.size("s") == 0).select("license").limit(10).collect()]
+    if short:
+        raise ValueError(f"templates of fewer than five words: {short}")
     named = hashed.withColumn("n", F.size("s")).withColumn("template", F.xxhash64("license", "s")).dropDuplicates(["template"])
     return named.select("template", "license", "n", F.floor(F.log(4.0, F.col("n") + 0.5)).cast("int").alias("cls"), F.explode_outer("s").alias("shingle"))
 
