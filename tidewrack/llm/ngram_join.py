@@ -4,11 +4,11 @@ Two documents link when 4 |A and B| >= 3 |A or B| over their sets of five-word
 shingles. The steps:
 
 1. Profile: every document's set size and set key, and the shingles that are
-   frequent in some batch. Equal sets become one class from here on.
+   heavy in some task. Equal sets become one class from here on.
 2. Frequencies: shingles, packed by partition of the hash space, are counted
-   exactly. Frequent ones, a bounded list, stay out of that shuffle, so no
-   partition holds a hot one. A class keeps the shingles that another class has
-   too; a class with fewer of them than a link needs is done.
+   exactly. Hot ones, a bounded list, stay out of that shuffle, so no partition
+   holds one. A class keeps the shingles that another class has too; a class
+   with fewer of them than a link needs is done.
 3. Prefixes: shingles are ordered by rarity. The l-prefix of a set of n has
    n - ceil(0.75 n) + l shingles, and linked documents share l of them. Every
    class picks the l with the least estimated cost: postings to read, plus
@@ -39,15 +39,17 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm.components import connected_components
 from tidewrack.llm.shingles import set_key, shingle_set
-from tidewrack.llm.tables import maybe_in
+from tidewrack.llm.tables import maybe_in, slices
 from tidewrack.session import materialize
 
 #: A link: NUM * |union| <= DEN * |intersection|.
 NUM, DEN = 3, 4
 #: Shingles counted in one partition, about.
 PART_SHINGLES = 1_500_000
-#: A shingle in more than this share of a batch's documents, and in at least so many of them, is counted as frequent.
-FREQUENT_SHARE, FREQUENT_LEAST = 0.005, 50
+#: A shingle with about this share of a partition's postings, and in so much of all documents, is hot and is spread over partitions.
+HOT_SHARE, HOT_DOCUMENTS = 1 / 32, 1 / 20_000
+#: Text from which one packed row per partition is made.
+POSTINGS_BYTES = 6 << 20
 #: The longest prefix extension.
 MOST_MATCHES = 8
 #: Cost of verifying a candidate, in postings for each shingle of the set.
@@ -56,48 +58,76 @@ VERIFY_COST = 0.25
 _LINK = 1 - NUM / DEN
 
 
-def _batch_sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+def _sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [shingle_set(x.as_py()) for x in batch.column(batch.schema.get_field_index("text"))]
 
 
-def profile(docs: DataFrame, digest: bool = False) -> DataFrame:
-    """doc_id, n (set size), cls (set key; null without words), and on one row per batch its frequent shingles with counts.
+class Heavy:
+    """Lossy counts of shingles over a task's documents, after which no shingle in more than ``share`` of them is missing.
 
-    With ``digest``, also the column _digest of ``docs``.
+    ``low`` counts what was seen and ``high`` adds what can have been forgotten.
+    An entry goes as soon as ``high`` falls to the allowed share, so the state
+    has about as many entries as 1 / share documents have shingles.
+    """
+
+    def __init__(self, share: float) -> None:
+        self.share, self.docs = share, 0
+        self.keys, self.low, self.high = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0)
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        if self.share >= 1 or not sets:
+            return
+        new, counts = np.unique(np.concatenate(sets), return_counts=True)
+        keys, at = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
+        low, high = np.zeros(len(keys), dtype=np.int64), np.full(len(keys), self.share * self.docs)
+        old = at[: len(self.keys)]
+        low[old], high[old] = self.low, self.high
+        low[at[len(self.keys) :]] += counts
+        high[at[len(self.keys) :]] += counts
+        self.docs += len(sets)
+        held = high > self.share * self.docs
+        self.keys, self.low, self.high = keys[held], low[held], high[held]
+
+
+def profile(docs: DataFrame, share: float, digest: bool = False) -> DataFrame:
+    """doc_id, n (set size), cls (set key; null without words), and on one row per task its heavy shingles with counts.
+
+    Heavy are those in more than ``share`` of the task's documents. With
+    ``digest``, also the column _digest of ``docs``.
     """
     carried = ["_digest"] if digest else []
+    names = ["doc_id", "n", "cls", *carried]
+
+    def rows(batch: pa.RecordBatch, sets: list[np.ndarray], keys: list) -> list[pa.Array]:
+        own = {"n": pa.array([len(s) for s in sets], pa.int64()), "cls": pa.array(keys, pa.int64())}
+        return [own[c] if c in own else batch.column(batch.schema.get_field_index(c)) for c in names]
+
+    def with_lists(columns: list[pa.Array], shingles: list | None, counts: list | None) -> pa.RecordBatch:
+        lists = [pa.array([x] + [None] * (len(columns[0]) - 1), pa.list_(pa.int64())) for x in (shingles, counts)]
+        return pa.RecordBatch.from_arrays(columns + lists, names=[*names, "often", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy, last = Heavy(share), None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sets = _batch_sets(batch)
-            keys = [set_key(s) if len(s) else None for s in sets]
-            first = {k: s for k, s in zip(reversed(keys), reversed(sets), strict=True) if k is not None}
-            often, counts = np.unique(np.concatenate([*first.values(), np.empty(0, dtype=np.uint64)]), return_counts=True)
-            hot = counts >= max(FREQUENT_LEAST, FREQUENT_SHARE * len(first))
-            lists = [often[hot].view(np.int64).tolist()] + [None] * (batch.num_rows - 1)
-            sums = [counts[hot].tolist()] + [None] * (batch.num_rows - 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(sums, pa.list_(pa.int64()))]
-                + [batch.column(batch.schema.get_field_index(c)) for c in carried],
-                names=["doc_id", "n", "cls", "often", "counts", *carried],
-            )
-
-    return docs.select("doc_id", "text", *carried).mapInArrow(run, "doc_id long, n long, cls long, often array<long>, counts array<long>" + (", _digest long" if digest else ""))
-
-
-def frequent(profiled: DataFrame, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles, sorted, and their counts.
-
-    Each was in a fixed share of some batch's documents. ``most`` bounds what is
-    broadcast; a shingle beyond it is counted like any other.
-    """
-    rows = profiled.where("often is not null").select(F.explode(F.arrays_zip("often", "counts")).alias("x")).groupBy("x.often").agg(F.sum("x.counts").alias("df"))
-    found = rows.orderBy(F.desc("df"), "often").limit(most).collect()
-    shingles = np.array([r.often for r in found], dtype=np.int64).view(np.uint64)
+            for part in slices(batch):
+                sets = _sets_of(part)
+                keys = [set_key(s) if len(s) else None for s in sets]
+                heavy.add(list({k: s for k, s in zip(keys, sets, strict=True) if k is not None}.values()))
+                if last is not None:
+                    yield with_lists(last, None, None)
+                last = rows(part, sets, keys)
+        if last is not None:
+            yield with_lists(last, heavy.keys.view(np.int64).tolist(), heavy.low.tolist())
+
+    return docs.select("doc_id", "text", *carried).mapInArrow(run, "doc_id long, n long, cls long" + (", _digest long" if digest else "") + ", often array<long>, counts array<long>")
+
+
+def hot_shingles(profiled: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles with at least ``least`` counted postings, sorted, and those counts; each is in at least HOT_DOCUMENTS of all documents, so the list is bounded by the shingles of 1 / HOT_DOCUMENTS of them."""
+    rows = profiled.where("often is not null").select(F.explode(F.arrays_zip("often", "counts")).alias("x")).groupBy("x.often").agg(F.sum("x.counts").alias("df")).where(F.col("df") >= least).collect()
+    shingles = np.array([r.often for r in rows], dtype=np.int64).view(np.uint64)
     order = np.argsort(shingles)
-    return shingles[order], np.array([r.df for r in found], dtype=np.int64)[order]
+    return shingles[order], np.array([r.df for r in rows], dtype=np.int64)[order]
 
 
 _POSTINGS = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("lengths", pa.binary()), ("shingles", pa.binary())])
@@ -105,17 +135,17 @@ _SHARED = "cls long, df long, shingle long"
 
 
 def postings(docs: DataFrame, often: object, parts: int) -> DataFrame:
-    """A batch's shingles of one partition of the hash space, packed by class.
+    """A slice's shingles of one partition of the hash space, packed by class.
 
-    Copies within a batch are packed once. Frequent shingles need no counting
-    and go to the partitions below 0, spread over them by batch.
+    Copies within a slice are packed once. Hot shingles need no counting and go
+    to the partitions below 0, spread over them by slice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = often.value[0]
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch, POSTINGS_BYTES)):
             first: dict[int, np.ndarray] = {}
-            for s in _batch_sets(batch):
+            for s in _sets_of(part):
                 if len(s):
                     first.setdefault(set_key(s), s)
             if not first:
@@ -123,17 +153,17 @@ def postings(docs: DataFrame, often: object, parts: int) -> DataFrame:
             keys = np.fromiter(first, dtype=np.int64, count=len(first))
             shingles = np.concatenate(list(first.values()))
             own = np.repeat(np.arange(len(keys)), [len(s) for s in first.values()])
-            part = (shingles % np.uint64(parts)).astype(np.int64)
+            to = (shingles % np.uint64(parts)).astype(np.int64)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
-                part[hot[at] == shingles] = -1 - int(keys[0] % parts)
-            order = np.argsort(part, kind="stable")
-            shingles, own, part = shingles[order], own[order], part[order]
-            edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
+                to[hot[at] == shingles] = -1 - int(keys[0] % parts)
+            order = np.argsort(to, kind="stable")
+            shingles, own, to = shingles[order], own[order], to[order]
+            edges = [0, *(np.flatnonzero(np.diff(to)) + 1), len(to)]
             rows = []
             for a, b in zip(edges, edges[1:], strict=False):
                 who, lengths = np.unique(own[a:b], return_counts=True)
-                rows.append((int(part[a]), keys[who].tobytes(), lengths.astype(np.uint32).tobytes(), shingles[a:b].tobytes()))
+                rows.append((int(to[a]), keys[who].tobytes(), lengths.astype(np.uint32).tobytes(), shingles[a:b].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _POSTINGS.types, strict=True)], schema=_POSTINGS)
 
     return docs.select("text").mapInArrow(run, "part int, keys binary, lengths binary, shingles binary")
@@ -149,7 +179,7 @@ def _first_of_runs(*columns: np.ndarray) -> np.ndarray:
 
 def shared_shingles(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
     """cls, df, shingle: for every class the shingles that other classes have too, with their frequency."""
-    sent = docs.sparkSession.sparkContext.broadcast(often)  # at most ``most`` pairs of integers
+    sent = docs.sparkSession.sparkContext.broadcast(often)  # bounded, see hot_shingles
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         shingles = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in pdf["shingles"]])
@@ -370,8 +400,11 @@ def links(candidates: DataFrame, prefix: DataFrame) -> DataFrame:
 
 def _grouped(docs: DataFrame, part_shingles: int, digest: bool = False) -> tuple[DataFrame, DataFrame]:
     """The profile of ``docs``; and cls, rep (smallest doc_id), component (any key) of every class."""
-    profiled = materialize(profile(docs, digest), "profile")
-    often = frequent(profiled)
+    rows = docs.count()
+    least = max(2, int(part_shingles * HOT_SHARE), int(rows * HOT_DOCUMENTS))
+    # Of a shingle's postings at most ``least`` are in tasks where it is not heavy, so none of 2 * least is missed.
+    profiled = materialize(profile(docs, least / max(1, rows), digest), "profile")
+    often = hot_shingles(profiled, least)
     classes = profiled.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, math.ceil(total / part_shingles))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,23 +26,40 @@ def with_fields(schema: T.StructType, *added: tuple[str, T.DataType]) -> T.Struc
     return T.StructType([f for f in schema if f.name.lower() not in names] + [T.StructField(n, t) for n, t in added])
 
 
+#: Bytes of text on which a Python task works at once, about; a longer text is a slice of its own.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about ``most`` bytes of strings and binaries, so that memory follows texts and not rows."""
+    sizes = np.ones(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if any(is_kind(column.type) for is_kind in (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary)):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def map_batches(df: DataFrame, added: list[tuple[str, T.DataType]], arrow: list[pa.DataType], make: Callable[[pa.RecordBatch], list[list]]) -> DataFrame:
-    """Add columns computed batch by batch in Python; the other columns pass through untouched."""
+    """Add columns computed slice by slice in Python; the other columns pass through untouched."""
     schema = with_fields(df.schema, *added)
     keep = [f.name for f in schema][: len(schema) - len(added)]
     names = [n for n, _ in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = make(batch)
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in keep] + [pa.array(v, type=t) for v, t in zip(new, arrow, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=keep + names)
+            for part in slices(batch):
+                new = make(part)
+                columns = [part.column(part.schema.get_field_index(n)) for n in keep] + [pa.array(v, type=t) for v, t in zip(new, arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=keep + names)
 
     return df.mapInArrow(run, schema)
 
 
-
-
 #: Slots of a broadcast filter; it never has more rows than this, whatever the input.
 SLOTS = 1 << 20
 
