@@ -15,23 +15,13 @@ def brute(rows):
             words = line.lower().split()
             if words:
                 lines.append((r, k, {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}))
-    root = list(range(len(lines)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, (_, _, a) in enumerate(lines):
-        for j in range(i):
-            b = lines[j][2]
-            if 100 * len(a & b) >= 75 * len(a | b):
-                root[max(find(i), find(j))] = min(find(i), find(j))
+    order = sorted(range(len(lines)), key=lambda i: (rows[lines[i][0]][0] is None, rows[lines[i][0]][0] or 0, lines[i][1]))
     gone = {}
-    for i, (r, k, _) in enumerate(lines):
-        if find(i) != i:
+    for at, i in enumerate(order):
+        r, k, a = lines[i]
+        if any(100 * len(a & b) >= 75 * len(a | b) for b in (lines[j][2] for j in order[:at])):
             gone.setdefault(r, []).append(k)
-    return [gone.get(r, []) for r in range(len(rows))]
+    return [sorted(gone.get(r, [])) for r in range(len(rows))]
 
 
 def test_against_all_pairs(spark):

@@ -2,149 +2,197 @@
 
 A line is the set of its five-word shingles (the whole line as one token if it
 has fewer words), in lower case. Two lines match at a Jaccard similarity of
-0.75 or more; of lines that matches connect, the first in the order (doc_id,
-text hash, line number) stays and the later ones go.
-
-1. Equal lines become one class, with the position of the first.
-2. Of its m shingles, a class emits the m - ceil(0.75 m) + 1 + SPARE smallest by
-   hash. Two matching lines share at least 1 + SPARE of them, so a class with
-   fewer shared ones, counted in one shuffle of (shingle, class), has no match.
-3. The sets of the others are read again, and their shingles ordered by exact
-   frequency among them. Classes that share enough of their rarest shingles (the
-   prefix) and fit in length are verified exactly (see ngram_join.links).
-4. The components of the matches tell which lines to remove.
+0.75 or more. Lines have the order (doc_id, text hash, line number); a line
+goes if an earlier line matches it, and only then.
+
+1. Equal lines are one class, with the position of the first.
+2. A class can only match classes that share a token of its prefix, whatever
+   order of all tokens the prefix follows. The first order is by the hash of a
+   token's first word: it tells a prefix without building the other tokens. A
+   class whose prefix no other class shares has no match.
+3. The tokens of the remaining classes are counted exactly and ordered by
+   rarity. Prefixes in that order, with the length filter and the positional
+   filter (what is left after a shared token must reach the needed overlap),
+   give the candidates; the Jaccard similarity of each is verified exactly.
+4. Most lines of a group of near copies match its earliest or its heaviest
+   member. They are compared with those first, so that only lines without a
+   match by then are joined with all earlier ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.components import connected_components
-from tidewrack.llm.ngram_join import links
-from tidewrack.llm.tables import WORD_SEPARATORS, maybe_in
+from tidewrack.llm.tables import maybe_in
 from tidewrack.session import materialize
 
-SPARE = 2
-#: Prefix shingles that candidates must share before they are verified.
-MATCHES = 3
+#: Words of a token.
+WIDTH = 5
+#: A match: NUM * |union| <= DEN * |intersection|.
+NUM, DEN = 3, 4
 
-_BLANK = " \t\x0b\x0c\r"
+
+def _even_blanks(text: Column) -> Column:
+    """Text in lower case with single spaces between words; most texts have no other blanks and skip the replacement."""
+    odd = text.contains("  ")
+    for blank in "\t\x0b\x0c\r":
+        odd = odd | text.contains(blank)
+    return F.lower(F.when(odd, F.regexp_replace(text, "[ \t\x0b\x0c\r]+", " ")).otherwise(text))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no, line (trimmed, lower case), cls: the lines that have words."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.btrim(F.lower("line"), F.lit(_BLANK))).where("line <> ''")
+    """doc_id, text_hash, line_no, line (lower case, single spaces, trimmed), cls: the lines that have words."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(_even_blanks(F.col("text")), "\n")).alias("line_no", "line"))
+    rows = rows.withColumn("line", F.trim("line")).where("line <> ''")
     return rows.withColumn("cls", F.xxhash64("line"))
 
 
-def _words(line: Column) -> Column:
-    """Words of a trimmed line; most lines have plain spaces only and take the cheap split."""
-    plain = ~line.rlike("[\t\x0b\x0c\r]|  ")
-    return F.when(plain, F.split(line, " ")).otherwise(F.split(line, f"[{WORD_SEPARATORS}]+"))
+def _word_hashes(line: Column) -> Column:
+    return F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+
 
+def _token(at: Column) -> Column:
+    """The hash of the token that starts at place ``at`` (from 0) of the word hashes ``h``."""
+    return F.xxhash64(*[F.get(F.col("h"), at + k) for k in range(WIDTH)])
 
-def _shingles(words: Column) -> Column:
-    many = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 4, F.lit(1))), lambda _, i: F.xxhash64(F.slice(words, i + 1, 5)))
-    return F.when(F.size(words) < 5, F.array(F.xxhash64(words))).otherwise(many)
 
+def first_prefixes(lines: DataFrame) -> DataFrame:
+    """cls, token: a prefix of every line of five words or more, by the order of the tokens' first words.
 
-def with_shingles(lines: DataFrame) -> DataFrame:
-    """Add shingles: the sorted distinct shingle hashes of each line."""
-    return lines.withColumn("words", _words(F.col("line"))).withColumn("shingles", F.sort_array(F.array_distinct(_shingles(F.col("words"))))).drop("words")
+    The tokens that start with one of the floor(n / 4) + 1 smallest distinct
+    words are that many tokens at least, and the smallest ones.
+    """
+    hashed = lines.select("cls", _word_hashes(F.col("line")).alias("h")).where(F.size("h") >= WIDTH)
+    places = F.size("h") - (WIDTH - 1)
+    words = F.sort_array(F.array_distinct(F.slice("h", F.lit(1), places)))
+    held = hashed.select("cls", "h", places.alias("n"), words.alias("w"))
+    held = held.select("cls", "h", "n", F.element_at("w", F.least(F.size("w"), F.floor(F.col("n") / DEN).cast("int") + 1)).alias("last"))
+    rows = held.select("cls", "h", "n", "last", F.posexplode("h").alias("at", "word")).where("at < n and word <= last")
+    return rows.select("cls", _token(F.col("at")).alias("token"))
 
 
-def _position() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "line_no")
+def sharing(prefixes: DataFrame) -> DataFrame:
+    """cls: the classes that share a token of their prefix with another class."""
+    ends = prefixes.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("token")
+    return prefixes.join(ends.hint("shuffle_hash"), "token", "left_semi").select("cls").distinct()
 
 
-def classes_of(docs: DataFrame) -> DataFrame:
-    """cls, first (position of the first such line), prefix (smallest shingles)."""
-    m = F.size("shingles")
-    held = m - F.ceil(m * 0.75).cast("int") + 1 + SPARE
-    lines = with_shingles(lines_of(docs)).select("cls", _position().alias("at"), F.slice("shingles", F.lit(1), held).alias("prefix"))
-    return lines.groupBy("cls").agg(F.min("at").alias("first"), F.first("prefix").alias("prefix"))
+def _place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "line_no")
 
 
-def probes(classes: DataFrame) -> DataFrame:
-    """cls of the classes that share more than the most frequent shingles of their prefix with another class."""
-    # Sets of one or two need one or two matches; they link with their like only, so both sides spare the same.
-    spare = F.least(F.lit(SPARE), F.size("prefix") - 1).alias("spare")
-    rows = classes.select("cls", spare, F.explode_outer("prefix").alias("shingle"))
-    counted = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("df > 1")
-    return counted.groupBy("cls").agg(F.count(F.lit(1)).alias("k"), F.first("spare").alias("spare")).where("k > spare").select("cls")
+def with_texts_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``lines`` with their text only where the class can be wanted, told by broadcast slots of bounded size."""
+    near, far = maybe_in(lines, F.col("cls"), wanted, F.col("cls"))
+    return near.unionByName(far.withColumn("line", F.lit(None).cast("string")))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, n, shingles of the wanted classes; lines whose class cannot be wanted are dropped by the broadcast slots."""
-    near, _ = maybe_in(lines_of(docs).select("cls", "line"), F.col("cls"), wanted, F.col("cls"))
-    one = near.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("line").alias("line"))
-    return with_shingles(one).select("cls", F.size("shingles").alias("n"), "shingles")
+def candidates_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls, first (position of the first such line), n, tokens: the wanted classes."""
+    one = lines.where("line is not null").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(_place()).alias("first"), F.first("line").alias("line"))
+    hashed = one.select("cls", "first", _word_hashes(F.col("line")).alias("h"))
+    starts = F.sequence(F.lit(0), F.size("h") - WIDTH)
+    tokens = F.array_distinct(F.transform(starts, _token))
+    return hashed.select("cls", "first", tokens.alias("tokens")).select("cls", "first", F.size("tokens").cast("long").alias("n"), "tokens")
 
 
-def _rarest(candidates: DataFrame) -> DataFrame:
-    """shingle, cls, n, matches, weight: each candidate's prefix, its shingles ordered by how many candidates have them.
+def rare_prefixes(candidates: DataFrame) -> DataFrame:
+    """token, cls, first, n, at, weight: the prefix of every candidate, its tokens ordered by how many candidates have them.
 
-    The prefix of l matches has n - ceil(0.75 n) + l shingles; those that no
-    other candidate has come first and need no row.
+    Tokens that no other candidate has come first and meet nobody, so they only
+    count as places. Candidates with too few shared tokens for any match have
+    no row. ``weight`` is the mean frequency.
+    """
+    rows = candidates.select("cls", F.explode("tokens").alias("token"))
+    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    lists = rows.join(counts, "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x"), F.sum("df").alias("total"))
+    held = lists.join(candidates.select("cls", "first", "n"), "cls").where(DEN * F.size("x") >= NUM * F.col("n"))
+    alone = F.col("n") - F.size("x")
+    length = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1 - alone
+    prefix = F.slice("x", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
+    ranked = held.select("cls", "first", "n", alone.alias("alone"), (F.col("total") / F.col("n")).alias("weight"), F.posexplode(prefix).alias("k", "t"))
+    return ranked.select(F.col("t.token").alias("token"), "cls", "first", "n", (F.col("alone") + F.col("k")).alias("at"), "weight")
+
+
+def _fits(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
+    """Length and positional filters for a token at places ``pa`` and ``pb`` of sets of ``na`` and ``nb``.
+
+    Of a match, at least the first shared token passes: nothing before it is
+    shared, so the overlap is at most what is left on either side.
     """
-    rows = candidates.select("cls", "n", F.explode_outer("shingles").alias("shingle"))
-    counted = rows.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("shingle")))
-    own = Window.partitionBy("cls")
-    need = F.ceil(F.col("n") * 0.75)
-    matches = F.least(F.lit(MATCHES), need).cast("int")
-    ordered = counted.withColumn("_k", F.row_number().over(own.orderBy("df", "shingle"))).withColumn("weight", F.sum("df").over(own) / F.col("n")).withColumn("matches", matches)
-    return ordered.where((F.col("df") > 1) & (F.col("_k") <= F.col("n") - need + F.col("matches"))).select("shingle", "cls", "n", "matches", "weight")
-
-
-def line_fates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no, keep for every line that has words."""
-    classes = materialize(classes_of(docs), "line-classes")
-    found = materialize(probes(classes), "line-probes")
-    candidates = materialize(_sets(docs, found), "line-sets")
-    reached = connected_components(links(candidates, materialize(_rarest(candidates), "line-prefixes")))
-    joined = classes.select("cls", "first").join(reached, F.col("cls") == F.col("node"))
-    moved = joined.join(joined.groupBy("component").agg(F.min("first").alias("earliest")), "component").select("cls", "earliest")
-    firsts = classes.select("cls", "first").join(moved, "cls", "left").select("cls", F.coalesce("earliest", "first").alias("first"))
-    return lines_of(docs).drop("line").join(firsts, "cls").select("doc_id", "text_hash", "line_no", (_position() == F.col("first")).alias("keep"))
+    return (DEN * F.least(na, nb) >= NUM * F.greatest(na, nb)) & ((NUM + DEN) * F.least(na - pa, nb - pb) >= NUM * (na + nb))
+
+
+def matching(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """cls of the pairs (cls, other) whose Jaccard similarity suffices."""
+    mine = candidates.select("cls", "n", "tokens")
+    theirs = candidates.select(F.col("cls").alias("other"), F.col("n").alias("m"), F.col("tokens").alias("others"))
+    both = pairs.select("cls", "other").join(mine, "cls").join(theirs, "other").withColumn("common", F.size(F.array_intersect("tokens", "others")).cast("long"))
+    return both.where(DEN * F.col("common") >= NUM * (F.col("n") + F.col("m") - F.col("common"))).select("cls").distinct()
+
+
+def with_earlier_match(candidates: DataFrame) -> DataFrame:
+    """cls: the candidates that an earlier one matches."""
+    prefix = materialize(rare_prefixes(candidates), "line-prefixes")
+    me = F.struct("first", "cls", "n", "at")
+    leads = prefix.groupBy("token").agg(F.min(me).alias("earliest"), F.max(F.struct("weight", me.alias("who"))).alias("heaviest"))
+    met = prefix.join(leads, "token").select("cls", "first", "n", "at", F.explode(F.array(F.col("earliest"), F.col("heaviest.who"))).alias("lead"))
+    met = met.where((F.col("lead.first") < F.col("first")) & _fits(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
+    counted = met.groupBy("cls", F.col("lead.cls").alias("other")).agg(F.count(F.lit(1)).alias("k"))
+    most = counted.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "other")), asc=False), 1, 2).alias("x"))
+    first = materialize(matching(most.select("cls", F.explode("x.other").alias("other")), candidates), "lines-matched")
+    left = prefix.join(first, "cls", "left_anti")
+    right = prefix.select("token", F.col("cls").alias("other"), F.col("first").alias("before"), F.col("n").alias("m"), F.col("at").alias("there"))
+    pairs = left.join(right, "token").where((F.col("before") < F.col("first")) & _fits(F.col("n"), F.col("at"), F.col("m"), F.col("there")))
+    return materialize(first.unionAll(matching(pairs.select("cls", "other").distinct(), candidates)), "lines-matched")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, removed (numbers from 0 of the lines to remove, ascending): only texts that lose lines."""
-    gone = line_fates(docs).where("not keep").groupBy("doc_id", "text_hash")
-    return gone.agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    prefixes = materialize(first_prefixes(lines_of(docs)), "line-tokens")
+    found = materialize(sharing(prefixes), "line-classes")
+    lines = materialize(with_texts_of(lines_of(docs), found), "lines")
+    candidates = materialize(candidates_of(lines, found), "line-candidates")
+    matched = with_earlier_match(candidates).withColumn("matched", F.lit(True))
+    places = lines.select("cls", "doc_id", "text_hash", "line_no")
+    classes = places.groupBy("cls").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("rows"))
+    classes = classes.join(matched, "cls", "left").where("rows > 1 or matched")
+    gone = places.join(classes, "cls").where(F.col("matched") | (_place() != F.col("first")))
+    return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+
+
+def _join_texts(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Add removed to rows of _doc and _hash."""
+    gone = gone.select(F.col("doc_id").alias("_doc_gone"), F.col("text_hash").alias("_hash_gone"), "removed")
+    return rows.join(gone, F.col("_doc").eqNullSafe(F.col("_doc_gone")) & (F.col("_hash") == F.col("_hash_gone")), "left").drop("_doc_gone", "_hash_gone")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed: one row per row of ``docs``.
+    """doc_id, n_lines, n_removed, removed (array of line numbers from 0): one row per row of ``docs``.
 
     Null texts have no lines. Lines without words are never removed. Repeated
     rows share their positions, so they keep and lose the same lines; rows with
-    a null doc_id come last. Extra columns play no part. An empty table gives an
-    empty result.
+    a null doc_id come last. Very long texts are lines like others. Extra
+    columns play no part. An empty table gives an empty result.
     """
-    gone = removed_lines(docs)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    rows = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    joined = _join_texts(rows, gone)
-    return joined.select("doc_id", "n_lines", F.greatest(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
-
-
-def _join_texts(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    gone = gone.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "removed")
-    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left").drop("_doc", "_hash")
+    rows = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"), F.greatest(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), F.lit(0)).alias("n_lines"))
+    joined = _join_texts(rows, removed_lines(docs))
+    return joined.select(F.col("_doc").alias("doc_id"), "n_lines", F.greatest(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the removed lines taken out of ``text``; every row and column stays.
+    """``docs`` with the removed lines taken out of ``text``; every row and column stays, whatever the columns' names.
 
     See ``report`` for odd rows. Only texts that may lose lines are shuffled:
     the others are told apart by a broadcast of bounded size.
     """
-    gone = materialize(removed_lines(docs), "removed-lines")
-    hit, untouched = maybe_in(docs.withColumn("text_hash", F.xxhash64("text")), F.col("text_hash"), gone, F.col("text_hash"))
-    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("removed", i))
+    gone = materialize(removed_lines(docs.select("doc_id", "text")), "removed-lines")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"))
+    hit, untouched = maybe_in(rows, F.col("_hash"), gone, F.col("text_hash"))
     edited = _join_texts(hit, gone)
-    edited = edited.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(docs.columns)
-    return untouched.select(docs.columns).unionByName(edited)
+    kept = F.array_join(F.filter(F.split("_row.text", "\n"), lambda _, i: ~F.array_contains("removed", i)), "\n")
+    text = F.when(F.col("removed").isNull(), F.col("_row.text")).otherwise(kept)
+    own = {c: F.col("_row").getField(c) for c in docs.columns}
+    clean = edited.select(*[(text if c.lower() == "text" else x).alias(c) for c, x in own.items()])
+    return untouched.select(*[x.alias(c) for c, x in own.items()]).unionByName(clean)

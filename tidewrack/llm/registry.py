@@ -86,8 +86,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of every document that match an earlier line of the corpus."""
-    return line_dedup.report(table(spark, sf_dir, "documents"))
+    """The lines of every document that match an earlier line of the corpus; their numbers from 0, joined by commas."""
+    found = line_dedup.report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +110,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, u.i - 1 AS line_no, trim(regexp_replace(lower(l[u.i]), '[ \\t\\x0B\\x0C\\r]+', ' ', 'g')) AS line
+            FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), unnest(range(1, len(l) + 1)) AS u(i)
+        ), placed AS (
+            SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS place FROM lines WHERE line <> ''
+        ), classes AS (
+            SELECT line, min(place) AS first, string_split(line, ' ') AS w FROM placed GROUP BY line
+        ), tokens AS (
+            SELECT DISTINCT first, CASE WHEN len(w) < 5 THEN line ELSE array_to_string(w[i : i + 4], ' ') END AS s
+            FROM classes, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(i)
+        ), sizes AS (
+            SELECT first, count(*) AS n FROM tokens GROUP BY first
+        ), common AS (
+            SELECT a.first AS x, b.first AS y, count(*) AS c FROM tokens a JOIN tokens b ON a.s = b.s AND a.first < b.first GROUP BY a.first, b.first
+        ), later AS (
+            SELECT DISTINCT y AS first FROM common JOIN sizes p ON p.first = x JOIN sizes q ON q.first = y WHERE 100 * c >= 75 * (p.n + q.n - c)
+        ), gone AS (
+            SELECT doc_id, line_no FROM placed JOIN classes USING (line) WHERE place <> classes.first OR classes.first IN (SELECT first FROM later)
+        ), listed AS (
+            SELECT doc_id, count(*) AS n_removed, string_agg(line_no, ',' ORDER BY line_no) AS removed FROM gone GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::INTEGER AS n_lines, coalesce(n_removed, 0)::INTEGER AS n_removed, coalesce(removed, '') AS removed
+        FROM documents d LEFT JOIN listed USING (doc_id)
+    """,
     "op10_ngram_join": """
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
