@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: dict[str, str] = {}
+#: With it, Spark removes a query's shuffle files when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(name: str = "tidewrack", cores: int | str = "*", shuffle: int = 8) -> SparkSession:
@@ -28,10 +30,12 @@ def local_session(name: str = "tidewrack", cores: int | str = "*", shuffle: int
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder named in ``spark.checkpoint.dir``; a temporary one where that is unset and the executors are on this machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="tidewrack-")
@@ -39,20 +43,31 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[app]
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's folder under ``scratch_root``."""
+    return f"{scratch_root(spark)}/tidewrack/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage and survives lost executors: every executor can read
-    the files, and nothing lives on one machine's disk.
+    the files, and nothing lives on one machine's disk. What the write shuffled
+    is removed with it, as nothing reads that again.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tidewrack/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete everything that ``materialize`` wrote in the shared folder; call it once results are stored."""
+    """Delete everything that ``materialize`` wrote for this application; call it once results are stored."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/tidewrack")
+    path = jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
