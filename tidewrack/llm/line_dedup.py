@@ -29,6 +29,8 @@ from tidewrack.session import materialize
 
 #: Words of a token.
 WIDTH = 5
+#: Tokens of the first prefixes that two matching lines share at least (fewer where they have fewer).
+MATCHES = 3
 #: A match: NUM * |union| <= DEN * |intersection|.
 NUM, DEN = 3, 4
 
@@ -58,24 +60,30 @@ def _token(at: Column) -> Column:
 
 
 def first_prefixes(lines: DataFrame) -> DataFrame:
-    """cls, token: a prefix of every line of five words or more, by the order of the tokens' first words.
+    """cls, asks, token: a prefix of every line of five words or more, by the order of the tokens' first words.
 
-    The tokens that start with one of the floor(n / 4) + 1 smallest distinct
-    words are that many tokens at least, and the smallest ones.
+    The tokens that start with one of the floor(n / 4) + MATCHES smallest
+    distinct words are that many tokens at least, and the smallest ones. A match
+    lacks at most floor(n / 4) of a line's tokens, so it has MATCHES of these, or
+    ``asks`` if the line has fewer words to start with.
     """
     hashed = lines.select("cls", _word_hashes(F.col("line")).alias("h")).where(F.size("h") >= WIDTH)
     places = F.size("h") - (WIDTH - 1)
     words = F.sort_array(F.array_distinct(F.slice("h", F.lit(1), places)))
     held = hashed.select("cls", "h", places.alias("n"), words.alias("w"))
-    held = held.select("cls", "h", "n", F.element_at("w", F.least(F.size("w"), F.floor(F.col("n") / DEN).cast("int") + 1)).alias("last"))
-    rows = held.select("cls", "h", "n", "last", F.posexplode("h").alias("at", "word")).where("at < n and word <= last")
-    return rows.select("cls", _token(F.col("at")).alias("token"))
+    last = F.element_at("w", F.least(F.size("w"), F.floor(F.col("n") / DEN).cast("int") + MATCHES))
+    held = held.select("cls", "h", "n", F.least(F.size("w"), F.lit(MATCHES)).alias("asks"), last.alias("last"))
+    rows = held.select("cls", "asks", "h", "n", "last", F.posexplode("h").alias("at", "word")).where("at < n and word <= last")
+    return rows.select("cls", "asks", _token(F.col("at")).alias("token"))
 
 
 def sharing(prefixes: DataFrame) -> DataFrame:
-    """cls: the classes that share a token of their prefix with another class."""
+    """cls: the classes that share as many tokens of their prefix with other classes as a match would."""
     ends = prefixes.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("token")
-    return prefixes.join(ends.hint("shuffle_hash"), "token", "left_semi").select("cls").distinct()
+    ends = materialize(ends, "line-shared-tokens")
+    near, _ = maybe_in(prefixes, F.col("token"), ends, F.col("token"))
+    met = near.join(ends, "token", "left_semi").groupBy("cls", "token").agg(F.first("asks").alias("asks"))
+    return met.groupBy("cls").agg(F.count(F.lit(1)).alias("k"), F.max("asks").alias("asks")).where("k >= asks").select("cls")
 
 
 def _place() -> Column:

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewrack.session import scratch_root
+from tidewrack.session import scratch_folder
 
 SLOTS = 4096
 
@@ -123,7 +123,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_p
     first = new_map(weights, shards, slots)
     grown = add_shard(first, weights)
     if map_path is None:
-        map_path = f"{scratch_root(spark)}/tidewrack/slot-map-{uuid.uuid4().hex}"
+        map_path = f"{scratch_folder(spark)}/slot-map-{uuid.uuid4().hex}"
     for version in (first, grown):
         save_map(spark, version, map_path)
     stored = load_map(spark, map_path, 1)

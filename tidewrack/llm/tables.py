@@ -60,16 +60,24 @@ def map_batches(df: DataFrame, added: list[tuple[str, T.DataType]], arrow: list[
     return df.mapInArrow(run, schema)
 
 
-#: Slots of a broadcast filter; it never has more rows than this, whatever the input.
-SLOTS = 1 << 20
+#: Rows of a broadcast filter, each a word of 64 slots; it never has more rows than this, whatever the input.
+WORDS = 1 << 18
 
 
-def maybe_in(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+def maybe_in(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """Rows of ``df`` whose key can be among the wanted keys, and the rest, without a shuffle of ``df``.
 
-    Keys are longs. Only their slots are broadcast, at most ``slots`` integers;
-    with very many keys every row is in the first part, and nothing is lost.
+    Keys are longs. Only which of 64 * ``words`` slots they take is broadcast, as
+    bits of at most ``words`` integers; with very many keys every row is in the
+    first part, and nothing is lost.
     """
-    held = F.broadcast(wanted.select(F.pmod(wanted_key, F.lit(slots)).alias("_slot")).distinct())
-    hit = F.pmod(key, F.lit(slots)) == F.col("_slot")
+
+    def place(k: Column) -> tuple[Column, Column]:
+        slot = F.pmod(k, F.lit(64 * words))
+        return F.floor(slot / 64), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+
+    word, bit = place(wanted_key)
+    held = F.broadcast(wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    word, bit = place(key)
+    hit = (word == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0)
     return df.join(held, hit, "left_semi"), df.join(held, hit, "left_anti")
