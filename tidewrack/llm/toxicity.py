@@ -1,12 +1,17 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Fitting uses a bounded sample of labelled documents. Word prefixes and whole
-words that are much more frequent in toxic documents label single words: in a
-toxic document a word with such a feature is an offending token, every other
-word and all words of clean documents are not. A two-state chain with those
-features is fitted to the labelled tokens. Scoring runs forward-backward over
-every whole text; the marginals of its words give the document's score by a
-fitted logistic curve, and their offsets mark the offending spans.
+Labels are of documents, so the tokens' labels are what the chain has to work
+out: of a toxic document at least one word is offending, of a clean one none.
+The chain of a text gives the probability that no word is offending, one over
+its normaliser; fitting maximises the likelihood of the labels under that
+constraint, with expected counts from forward-backward. Features of a word are
+its affixes and itself (those that toxic documents have significantly more
+often), its shape, and how many other words with such features stand near it.
+
+Fitting uses a bounded sample of labelled documents. Scoring runs
+forward-backward over every whole text; the marginals of its words give the
+document's score by a fitted logistic curve, and their offsets mark the
+offending spans.
 
 Near copies would make the words of one text look frequent, so the sample
 keeps one document per smallest shingle hash.
@@ -31,19 +36,30 @@ from tidewrack.llm.shingles import shingle_set
 from tidewrack.llm.tables import map_batches
 
 #: Bounds of the sample that fits the model: toxic documents, clean documents, documents of each kind that fit the chain, and their words.
-MAX_TOXIC, MAX_CLEAN, MAX_CHAIN, MAX_CHAIN_WORDS = 4000, 12000, 300, 2000
-#: A feature is offending from this likelihood ratio (G squared) and log odds on.
-LEAST_RATIO, LEAST_ODDS = 22.0, 2.5
-MAX_FEATURES = 20_000
+MAX_TOXIC, MAX_CLEAN, MAX_CHAIN, MAX_CHAIN_WORDS = 4000, 12000, 600, 1000
+#: A feature is a candidate from this likelihood ratio (G squared) and log odds on.
+LEAST_RATIO, LEAST_ODDS = 22.0, 1.5
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"\w+")
 _CACHE_WORDS = 300_000
+#: Sample rows whose features are counted at once.
+COUNTED_ROWS = 500
 
 
 def word_features(word: str) -> list[str]:
-    """Prefixes of 3 to 9 letters, shortest first, and the word itself."""
-    return [word[:k] + "*" for k in range(3, min(10, len(word) + 1))] + [word]
+    """Prefixes of 3 to 9 letters, shortest first, suffixes of 3 and 4, and the word itself; ``word`` is in lower case."""
+    return [word[:k] + "*" for k in range(3, min(10, len(word) + 1))] + ["*" + word[-k:] for k in (3, 4) if k < len(word)] + [word]
+
+
+#: Features of a word besides those of ``word_features``: capitals only, many letters; and of words with a candidate feature: one other
+#: such word, or more, within REACH words on either side.
+CONTEXT = ("!capitals", "!long", "!one_near", "!more_near")
+REACH = 200
+
+
+def shape(word: str) -> tuple[bool, bool]:
+    return len(word) > 1 and word.isupper(), len(word) > 12
 
 
 @dataclass
@@ -51,14 +67,46 @@ class Model:
     """Weights of the chain and of the document curve. ``constant`` stands alone where nothing could be learned."""
 
     weights: dict[str, float] = field(default_factory=dict)
+    context: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)
     bias: float = -5.0
     #: Scores of the transitions from clean to offending, back, and of staying offending; staying clean is 0.
     moves: tuple[float, float, float] = (0.0, 0.0, 0.0)
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
     constant: float | None = None
 
-    def emission(self, word: str) -> float:
-        return self.bias + sum(self.weights.get(f, 0.0) for f in word_features(word))
+
+class Strengths(dict):
+    """Each word's own score, computed when first asked for; words with a candidate feature are told by MARK on top."""
+
+    MARK = 1e6
+
+    def __init__(self, model: Model) -> None:
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= _CACHE_WORDS:
+            self.clear()
+        held = [self.model.weights[f] for f in word_features(word.lower()) if f in self.model.weights]
+        own = sum(held) + sum(w for w, on in zip(self.model.context, shape(word), strict=False) if on)
+        self[word] = own + self.MARK * bool(held)
+        return self[word]
+
+
+def others_near(marked: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each marked word, in order, how many other marked words of its text are within REACH words."""
+    at = np.flatnonzero(marked)
+    far = at + (REACH + 1) * np.repeat(np.arange(len(lengths)), lengths)[at]  # texts lie further apart than REACH
+    return np.searchsorted(far, far + REACH, side="right") - np.searchsorted(far, far - REACH) - 1
+
+
+def emissions(strengths: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
+    """Scores of all words of many texts, with their context."""
+    marked = strengths > Strengths.MARK / 2
+    e = strengths - Strengths.MARK * marked + model.bias
+    near = others_near(marked, lengths)
+    e[marked] += model.context[2] * (near == 1) + model.context[3] * (near > 1)
+    return e
 
 
 def chain(odds: np.ndarray, lengths: np.ndarray, moves: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,42 +133,65 @@ def chain(odds: np.ndarray, lengths: np.ndarray, moves: tuple[float, float, floa
     return forward, backward
 
 
-def _fit_chain(texts: list[list[str]], offending: list[np.ndarray], features: list[str], steps: int = 120, rate: float = 0.25, ridge: float = 1e-4) -> Model:
-    """Maximum penalised likelihood by Adam; the gradient is observed minus expected counts."""
-    index = {f: i for i, f in enumerate(features)}
+def log_normaliser(forward: np.ndarray, lengths: np.ndarray, moves: tuple[float, float, float]) -> np.ndarray:
+    """Per text the logarithm of the chain's normaliser; its negative is the log probability that no word is offending."""
+    step = np.log1p(forward * math.exp(moves[1]))
+    last = np.cumsum(lengths) - 1
+    step[last] = np.log1p(forward[last])
+    return np.add.reduceat(step, np.concatenate([[0], last[:-1] + 1]))
+
+
+def _fit_chain(texts: list[list[str]], toxic: np.ndarray, odds_of: dict[str, float], steps: int = 120, rate: float = 0.2, ridge: float = 1e-3) -> Model:
+    """Maximum penalised likelihood of the documents' labels by Adam; a feature's weight is drawn to its log odds.
+
+    A text's label is whether any word is offending. With the probability q that
+    none is, the gradient is (label - 1 + q) / (1 - q) times the expected counts
+    of the offending states, which forward-backward gives.
+    """
+    features = list(odds_of)
+    names = [*features, *CONTEXT]
+    index = {f: i for i, f in enumerate(names)}
     lengths = np.array([len(t) for t in texts])
-    y = np.concatenate(offending).astype(float)
-    rows, cols, at = [], [], 0
+    of_text = np.repeat(np.arange(len(texts)), lengths)
+    rows, cols, at, known = [], [], 0, {}
+    marked = np.zeros(len(of_text), dtype=bool)
     for text in texts:
         for word in text:
-            for f in word_features(word):
-                if f in index:
-                    rows.append(at)
-                    cols.append(index[f])
+            held = known.get(word)
+            if held is None:
+                own = [index[f] for f in word_features(word.lower()) if f in index]
+                held = known[word] = (bool(own), own + [index[c] for c, on in zip(CONTEXT, shape(word), strict=False) if on])
+            marked[at] = held[0]
+            rows += [at] * len(held[1])
+            cols += held[1]
             at += 1
-    rows, cols = np.array(rows, dtype=int), np.array(cols, dtype=int)
-    last = np.zeros(len(y), dtype=bool)
-    last[np.cumsum(lengths) - 1] = True
-    pair = np.flatnonzero(~last)
-    seen = np.array([((1 - y[pair]) * y[pair + 1]).sum(), (y[pair] * (1 - y[pair + 1])).sum(), (y[pair] * y[pair + 1]).sum()])
-    theta = np.concatenate([np.ones(len(features)), [-4.0], np.zeros(3)])
+    same = np.flatnonzero(of_text[1:] == of_text[:-1])
+    near, spots = others_near(marked, lengths), np.flatnonzero(marked)
+    one, more = spots[near == 1], spots[near > 1]
+    rows = np.concatenate([np.array(rows, dtype=int), one, more])
+    cols = np.concatenate([np.array(cols, dtype=int), np.full(len(one), index["!one_near"]), np.full(len(more), index["!more_near"])])
+    k = len(names)
+    prior = np.concatenate([list(odds_of.values()), np.zeros(len(CONTEXT)), [-8.0], np.zeros(3)])
+    theta = prior.copy()
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        w, bias, moves = theta[: len(features)], theta[len(features)], tuple(theta[-3:])
-        e = np.full(len(y), bias)
-        np.add.at(e, rows, w[cols])
+        e = theta[k] + np.bincount(rows, weights=theta[cols], minlength=len(of_text))
+        moves = tuple(theta[-3:])
         odds = np.exp(np.clip(e, -30, 30))
         f, b = chain(odds, lengths, moves)
         p = f * b / (1 + f * b)
         t01, t10, t11 = np.exp(moves)
-        near = odds[pair + 1] * b[pair + 1]
-        joint = np.stack([t01 * near, t10 * f[pair], t11 * f[pair] * near])
-        expected = (joint / (1 + joint.sum(axis=0))).sum(axis=1)
-        grad = np.concatenate([np.bincount(cols, weights=(y - p)[rows], minlength=len(features)), [(y - p).sum()], seen - expected]) / len(texts) - ridge * theta
+        near = odds[same + 1] * b[same + 1]
+        joint = np.stack([t01 * near, t10 * f[same], t11 * f[same] * near])
+        joint = joint / (1 + joint.sum(axis=0))
+        none = np.exp(-log_normaliser(f, lengths, moves))
+        scale = ((toxic - 1 + none) / np.maximum(1 - none, 1e-9))[of_text]
+        pull = np.concatenate([np.bincount(cols, weights=(scale * p)[rows], minlength=k), [(scale * p).sum()], (joint * scale[same]).sum(axis=1)])
+        grad = pull / len(texts) - ridge * (theta - prior)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         theta[-3:] = np.clip(theta[-3:], -6, 6)
-    return Model(dict(zip(features, theta[: len(features)].tolist(), strict=True)), float(theta[len(features)]), tuple(float(x) for x in theta[-3:]))
+    return Model(dict(zip(features, theta[: len(features)].tolist(), strict=True)), tuple(float(x) for x in theta[len(features) : k]), float(theta[k]), tuple(float(x) for x in theta[-3:]))
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[float, float, float]:
@@ -162,42 +233,47 @@ def _one_of_copies(sample: DataFrame) -> DataFrame:
 
 def _count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        counts = (Counter(), Counter())
-        for toxic, text in zip(pdf["toxic"], pdf["text"], strict=True):
-            counts[toxic].update({f for w in set(_WORD.findall(text.lower())) for f in word_features(w)})
-        names = [f for f in counts[1] | counts[0]]
-        yield pd.DataFrame({"feature": names, "c1": [counts[1][f] for f in names], "c0": [counts[0][f] for f in names]})
+        for at in range(0, len(pdf), COUNTED_ROWS):
+            counts = (Counter(), Counter())
+            for toxic, text in zip(pdf["toxic"][at : at + COUNTED_ROWS], pdf["text"][at : at + COUNTED_ROWS], strict=True):
+                counts[toxic].update({f for w in set(_WORD.findall(text.lower())) for f in word_features(w)})
+            names = [f for f in counts[1] | counts[0]]
+            yield pd.DataFrame({"feature": names, "c1": [counts[1][f] for f in names], "c0": [counts[0][f] for f in names]})
 
 
-def _offending_features(sample: DataFrame, n1: int, n0: int) -> list[str]:
-    """Features that mark toxic documents, without those that a shorter one already covers."""
+def _candidate_features(sample: DataFrame, n1: int, n0: int) -> dict[str, float]:
+    """Features that toxic documents of the sample have significantly more often, without those that another one stands for, and the log odds that each adds."""
     c1, c0 = F.col("c1"), F.col("c0")
     share = n1 / (n1 + n0)
     total = c1 + c0
     ratio = 2 * (c1 * F.log(c1 / (total * share)) + F.when(c0 > 0, c0 * F.log(c0 / (total * (1 - share)))).otherwise(0.0))
     odds = F.log((c1 + 0.5) / (n1 + 1)) - F.log((c0 + 0.5) / (n0 + 1))
     counted = sample.mapInPandas(_count_features, "feature string, c1 long, c0 long").groupBy("feature").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
-    strong = counted.where(c1 > 0).withColumn("ratio", ratio).where((F.col("ratio") >= LEAST_RATIO) & (odds >= LEAST_ODDS))
-    return _narrowest({r.feature: r.c1 for r in strong.orderBy(F.desc("ratio"), "feature").limit(MAX_FEATURES).select("feature", "c1").collect()})
+    strong = counted.where(c1 > 0).withColumn("odds", odds).where((ratio >= LEAST_RATIO) & (F.col("odds") >= LEAST_ODDS))
+    found = {r.feature: r for r in strong.select("feature", "c1", "odds").collect()}  # significant features of a bounded sample
+    return _beyond({f: found[f].odds for f in _narrowest({f: r.c1 for f, r in found.items()})})
 
 
 def _narrowest(counts: dict[str, int]) -> list[str]:
-    """A prefix gives way to a longer one, or the word, that nearly all its documents have; what a kept prefix covers goes."""
-    best: dict[str, tuple[int, str]] = {}
-    for f in sorted(counts, key=lambda f: (-len(f.rstrip("*")), f.endswith("*"))):
-        stem = f.rstrip("*")
-        own = (counts[f], f)
-        longer = best.get(f) if f.endswith("*") else None
-        if longer and longer[0] >= 0.95 * counts[f]:
-            own = longer
-        shorter = [stem + "*"] if not f.endswith("*") else []
-        shorter += [stem[:k] + "*" for k in range(3, len(stem))]
-        for g in shorter:
-            if counts[f] > best.get(g, (0, ""))[0]:
-                best[g] = own
-        best[f] = own
-    kept = {best[f][1] for f in counts}
-    return sorted(f for f in kept if not any(g in kept for g in word_features(f.rstrip("*")) if g != f and len(g.rstrip("*")) <= len(f.rstrip("*")) and g.endswith("*")))
+    """Without prefixes that give way to a longer one, or the word, that nearly all their documents have, and without suffixes of what remains."""
+    stems = {f: n for f, n in counts.items() if not f.startswith("*")}
+    most: dict[str, int] = {}  # per prefix, the most documents that one of its continuations has
+    for f, n in stems.items():
+        for g in word_features(f.rstrip("*")):
+            if g != f and g in stems and g.endswith("*"):
+                most[g] = max(most.get(g, 0), n)
+    kept = [f for f, n in stems.items() if most.get(f, 0) < 0.95 * n]
+    endings = tuple(f.rstrip("*") for f in stems)
+    return sorted(kept) + sorted(f for f in counts if f.startswith("*") and not any(e.endswith(f[1:]) for e in endings))
+
+
+def _beyond(odds: dict[str, float]) -> dict[str, float]:
+    """What each feature adds to the log odds of the longest other prefix that covers it."""
+    out = {}
+    for f, own in odds.items():
+        covers = [g for g in word_features(f.rstrip("*")) if g != f and g in odds and g.endswith("*")]
+        out[f] = own - (odds[max(covers, key=len)] if covers and not f.startswith("*") else 0.0)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
@@ -206,22 +282,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     try:
         sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
         n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-        features = _offending_features(sample, n1, n0) if n1 and n0 else []
+        features = _candidate_features(sample, n1, n0) if n1 and n0 else []
         if not features:
             return Model(constant=0.0 if n0 or not n1 else 1.0)
-        held = set(features)
         words = F.size(F.split("text", r"\W+"))
         picked = None
         for toxic in (1, 0):
-            part = sample.where((F.col("toxic") == toxic) & (words <= MAX_CHAIN_WORDS)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_CHAIN)
+            part = sample.where((F.col("toxic") == toxic) & (words <= MAX_CHAIN_WORDS)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_CHAIN * (2 - toxic))
             picked = part if picked is None else picked.unionAll(part)
-        texts, marks = [], []
-        for r in picked.select("toxic", "text").collect():  # at most MAX_CHAIN short documents of each kind
-            found = _WORD.findall(r.text.lower())
-            if found:
-                texts.append(found)
-                marks.append(np.array([r.toxic and any(f in held for f in word_features(w)) for w in found], dtype=bool))
-        model = _fit_chain(texts, marks, features)
+        rows = [(_WORD.findall(r.text), r.toxic) for r in picked.select("toxic", "text").collect()]  # at most 3 * MAX_CHAIN documents of bounded length
+        rows = [r for r in rows if r[0]]
+        model = _fit_chain([w for w, _ in rows], np.array([float(t) for _, t in rows]), features)
         rows = summarise(sample.select("toxic", "text"), model).select("toxic", "most", "total").collect()  # numbers of the bounded sample
         x = np.array([[r.most, math.log1p(r.total)] for r in rows])
         model.curve = _fit_curve(x, np.array([float(r.toxic) for r in rows]))
@@ -233,36 +304,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
 def summarise(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """Add most and total (largest and summed marginal of a text's words) and spans (offsets of its offending words)."""
 
+    strengths = Strengths(model)  # one per task, so that words are scored once
+
     def make(batch: pa.RecordBatch) -> list[list]:
         texts = [x.as_py() or "" for x in batch.column(batch.schema.get_field_index(text_col))]
-        known: dict[str, float] = {}
-        emissions, lengths = [], np.zeros(len(texts), dtype=np.int64)
-        for i, text in enumerate(texts):
-            words = _WORD.findall(text.lower())
-            lengths[i] = len(words)
-            own = np.empty(len(words))
-            for j, w in enumerate(words):
-                e = known.get(w)
-                if e is None:
-                    if len(known) >= _CACHE_WORDS:
-                        known.clear()
-                    e = known[w] = model.emission(w)
-                own[j] = e
-            emissions.append(own)
+        words = [_WORD.findall(t) for t in texts]
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
         held = np.flatnonzero(lengths)
         most, total = np.zeros(len(texts)), np.zeros(len(texts))
         spans: list[list] = [[] for _ in texts]
         if len(held):
-            forward, backward = chain(np.exp(np.clip(np.concatenate(emissions), -30, 30)), lengths[held], model.moves)
+            own = np.fromiter((strengths[w] for text in words for w in text), dtype=float, count=int(lengths.sum()))
+            forward, backward = chain(np.exp(np.clip(emissions(own, lengths[held], model), -30, 30)), lengths[held], model.moves)
             p = forward * backward / (1 + forward * backward)
             start = np.concatenate([[0], np.cumsum(lengths[held])[:-1]])
             most[held], total[held] = np.maximum.reduceat(p, start), np.add.reduceat(p, start)
             for i, a in zip(held, start, strict=True):
                 if most[i] >= least:
-                    own = p[a : a + lengths[i]]
-                    lower = texts[i].lower()
-                    source = texts[i] if len(lower) == len(texts[i]) else lower
-                    spans[i] = [{"start": m.start(), "end": m.end(), "marginal": float(q)} for m, q in zip(_WORD.finditer(source.lower()), own, strict=True) if q >= least]
+                    spans[i] = [{"start": m.start(), "end": m.end(), "marginal": float(q)} for m, q in zip(_WORD.finditer(texts[i]), p[a : a + lengths[i]], strict=True) if q >= least]
         return [most, total, spans]
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("marginal", T.DoubleType())]))
@@ -273,9 +332,11 @@ def summarise(df: DataFrame, model: Model, text_col: str = "text", least: float
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add toxicity (0 to 1) and spans (start, end, marginal of every offending word) to every row.
 
-    Null and empty texts count as having no offending word. Offsets are in
-    characters of the text. Where no label could teach anything, every row gets
-    the model's constant and no spans.
+    Null and empty texts count as having no offending word; repeated rows get
+    equal results; an empty table gives an empty result. Offsets are in
+    characters of the text. Columns already named like the added ones are
+    replaced. Where no label could teach anything, every row gets the model's
+    constant and no spans.
     """
     if model.constant is not None:
         return docs.withColumn("toxicity", F.lit(float(model.constant))).withColumn("spans", F.array().cast("array<struct<start:int,end:int,marginal:double>>"))
