@@ -52,6 +52,25 @@ def test_multiprobe_recall_and_scores(spark):
     assert ann.search(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_queries_without_enough_finds_get_all(spark):
+    """One narrow table finds next to nothing, so that the second step has to fill every query."""
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist(), 1, "x") for i, v in enumerate(rng.normal(size=(120, 16)).astype(np.float32))]
+    got = ann.search(spark.createDataFrame(rows, SCHEMA), query_step=20, tables=1, width=0.2, probes=1, cell_rows=30).collect()
+    unit = {i: np.asarray(v, dtype=np.float64) / np.linalg.norm(np.asarray(v, dtype=np.float64)) for i, v, *_ in rows}
+    for q in range(0, 120, 20):
+        want = sorted(unit, key=lambda i: (-float(unit[q] @ unit[i]), i))
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [i for i in want if i != q][:5]
+    few = ann.search(spark.createDataFrame([(0, [1.0, 0.0], 1, "x"), (1, [-1.0, 0.0], 1, "x"), (1, [0.0, 2.0], 1, "x")], SCHEMA)).collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(few, key=lambda r: r["rank"])] == [(0, 1, 1, 0.0)]
+
+
+def test_repeated_ids_with_different_vectors(spark):
+    rows = [(0, [1.0, 0.0], 1, "x"), (0, [0.0, 1.0], 1, "x"), (7, [1.0, 1.0], 1, "x"), (7, [2.0, 1.0], 1, "x"), (8, [3.0, 3.0], 1, "x")]
+    got = topk.search(spark.createDataFrame(rows, SCHEMA), k=5).collect()
+    assert sorted((r.query_id, r.vec_id, r.score) for r in got) == sorted([(0, 8, 768 * 256), (0, 8, 768 * 256), (0, 7, 512 * 256), (0, 7, 256 * 256), (0, 7, 256 * 256), (0, 7, 256 * 256)])
+
+
 def test_probe_order_is_by_expected_distance():
     order = ann.probe_order(4, 30)
     assert order[0] == () and order[1] == (0,) and len(set(order)) == 30

@@ -10,7 +10,10 @@ compared exactly, and the tables' results are merged.
 
 Equal vectors are indexed once, with their k + 1 smallest ids. Buckets are
 routed to cells by hash; a bucket of more than ``cell_rows`` vectors is split
-over several cells, and a query that visits it asks each of them.
+over several cells, and a query that visits it asks each of them. Vectors of
+single precision stay so on the way and become double for the comparison. A
+query whose buckets hold fewer than k candidates is compared with all vectors,
+block by block.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewrack.llm.vectors import QUERY_STEP, best, finite_vectors
 from tidewrack.session import materialize
@@ -115,12 +119,15 @@ def search(
 
     Queries are the rows whose vec_id is divisible by ``query_step``; rows with
     the query's id are no candidates of it. Scores are exact cosines in double
-    precision on the original vectors; ties go to the smaller id. Null ids,
+    precision on the original vectors; ties go to the smaller id. Where fewer
+    than ``k`` candidates exist, all are returned. Null ids,
     null, empty or zero vectors and null or non-finite components take no part;
     a repeated row counts once; only vectors of equal length meet; an empty
     table gives an empty result. Every row is indexed.
     """
     rows = finite_vectors(vectors).where(F.exists("v", lambda x: x != 0))
+    given = vectors.schema["embedding"].dataType
+    single = "float" if isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType) else "double"
     index = materialize(distinct_vectors(rows, k + 1).withColumn("vec_no", F.xxhash64("v")), "ann-vectors")
     asked = materialize(rows.where(F.col("vec_id") % query_step == 0).select(F.col("vec_id").alias("query_id"), "v", F.xxhash64("vec_id", "v").alias("query_no")), "ann-queries")
     n_cells = max(1, math.ceil(index.count() / cell_rows))
@@ -141,7 +148,7 @@ def search(
                 for t in range(tables):
                     yield pd.DataFrame({"tbl": t, "query_no": part["query_no"].to_numpy(), "buckets": list(hasher.probes(unit, t, order))})
 
-    indexed = index.mapInPandas(hash_rows, "tbl int, bucket long, vec_no long, ids array<long>, v array<double>")
+    indexed = index.mapInPandas(hash_rows, f"tbl int, bucket long, vec_no long, ids array<long>, v array<{single}>")
     probed = asked.mapInPandas(probe_rows, "tbl int, query_no long, buckets array<long>")
     probed = probed.select("tbl", "query_no", F.explode("buckets").alias("bucket"))
     large = indexed.groupBy("tbl", "bucket").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("parts")).where("parts > 1")
@@ -174,6 +181,19 @@ def search(
                 out += [(number, query_id, x, -s) for s, x in sorted(exact)[:k]]
         return pd.DataFrame(out, columns=["query_no", "query_id", "vec_id", "score"])
 
-    found = left.groupBy("tbl", "cell").cogroup(right.groupBy("tbl", "cell")).applyInPandas(compare, _FOUND)
-    merged = found.groupBy("query_no", "query_id", "vec_id").agg(F.max("score").alias("score"))
-    return best(merged, ["query_no", "query_id"], k, F.col("score")).select("query_id", "rank", "vec_id", "score")
+    def nearest(held, queries) -> DataFrame:
+        found = held.groupBy("tbl", "cell").cogroup(queries.groupBy("tbl", "cell")).applyInPandas(compare, _FOUND)
+        merged = found.groupBy("query_no", "query_id", "vec_id").agg(F.max("score").alias("score"))
+        return best(merged, ["query_no", "query_id"], k, F.col("score"))
+
+    top = materialize(nearest(left, right), "ann-found")
+    counts = top.groupBy("query_no").agg(F.count(F.lit(1)).alias("n"))
+    short = materialize(asked.join(counts, "query_no", "left").where(F.coalesce("n", F.lit(0)) < k).drop("n"), "ann-short")
+    result = top.select("query_id", "rank", "vec_id", "score")
+    if short.isEmpty():
+        return result
+    none = F.lit(0).cast("long")
+    held = index.select(F.lit(0).alias("tbl"), F.pmod("vec_no", F.lit(n_cells)).cast("int").alias("cell"), none.alias("bucket"), "ids", F.col("v").cast(f"array<{single}>").alias("v"))
+    queries = short.select(F.lit(0).alias("tbl"), F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1))).alias("cell"), "query_no", F.array(none).alias("buckets"), "query_id", "v")
+    rest = nearest(held, queries).select("query_id", "rank", "vec_id", "score")
+    return top.join(short.select("query_no"), "query_no", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(rest)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.llm.vectors import QUERY_STEP, best, finite_vectors
+from tidewrack.session import materialize
 
 #: Candidates and queries of a cell.
 CANDIDATE_BLOCK = 8192
@@ -72,9 +73,11 @@ def search(vectors: DataFrame, k: int = 5, query_step: int = QUERY_STEP, candida
     the smaller id. A query with fewer than k candidates returns all. Vectors of
     different lengths compare as if the shorter ended in zeros. Null ids, null
     or empty vectors and non-finite components take no part; a repeated row
-    counts once; an empty table gives an empty result. Sums are 64-bit integers.
+    counts once, and rows of one id with different vectors count each; an empty
+    table gives an empty result. Sums are 64-bit integers: floor(256 * x) beyond
+    64 bits saturates, and products that leave 64 bits wrap around.
     """
-    rows = finite_vectors(vectors).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(SCALE))).cast("long")).alias("v"))
+    rows = materialize(finite_vectors(vectors).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(SCALE))).cast("long")).alias("v")), "topk-vectors")
     queries = rows.where(F.col("vec_id") % query_step == 0).withColumn("query_no", F.xxhash64("vec_id", "v"))
     n, q = rows.count(), queries.count()
     n_blocks, q_blocks = max(1, math.ceil(n / candidate_block)), max(1, math.ceil(q / query_block))
