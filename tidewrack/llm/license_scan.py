@@ -11,6 +11,9 @@ Every window gets BANDS MinHash values (bands of one row). A window that holds
 restriction, so that at least one band collides with a probability above
 0.997, and above 1 - 1e-10 where the window holds nothing else. Candidates are
 then verified by exact containment.
+
+Texts are read once: what remains of their windows is a table of the few
+shingles that templates have.
 """
 
 from __future__ import annotations
@@ -18,13 +21,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewrack.session import materialize
+
 #: Bands of one MinHash value each.
 BANDS = 64
 LEAST_CONTAINMENT = 0.75
-#: The templates' shingles are broadcast; more than these are refused.
-MAX_TEMPLATE_SHINGLES = 200_000
+#: Up to so many shingles of templates are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 200_000
 
-#: Notices by which public licenses ask to be named. A table of (license, text) can replace them.
+#: Notices by which public licenses ask to be named, and bodies of short licenses. A table of (license, text) can replace them.
 NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -36,6 +41,32 @@ NOTICES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+        modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is
+        furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included
+        in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+        IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN
+        NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+        CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE
+        AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN
+        NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+        RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+        OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions
+        and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+        and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of
+        the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+        without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY
+        EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+        PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+        INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+        SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+        CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF
+        ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
 )
 
 
@@ -49,22 +80,22 @@ def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ")
 
 
-def _hashed(words: str) -> Column:
-    """Hashes of all five-word shingles, in order."""
-    count = F.size(words) - 4
-    many = F.transform(F.slice(words, 1, F.greatest(count, F.lit(1))), lambda _, i: F.xxhash64(F.slice(words, i + 1, 5)))
-    return F.when(count >= 1, many).otherwise(F.array().cast("array<long>"))
+def _shingles(rows: DataFrame, *kept: str) -> DataFrame:
+    """pos, shingle of every five-word shingle of ``words``; each word is hashed once, and each shingle from five such numbers."""
+    hashed = rows.select(*kept, F.transform("words", lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") >= 5)
+    placed = hashed.select(*kept, "h", F.posexplode("h").alias("pos", "_word")).where(F.col("pos") < F.size("h") - 4)
+    return placed.select(*kept, "pos", F.xxhash64(*[F.get(F.col("h"), F.col("pos") + k) for k in range(5)]).alias("shingle"))
 
 
 def template_table(templates: DataFrame) -> DataFrame:
     """template, license, n, cls, shingle: a row per distinct shingle. Templates of fewer than five words are refused by an error."""
-    words = templates.where(F.col("text").isNotNull()).select("license", _words(F.col("text")).alias("words"))
-    hashed = words.select("license", F.array_distinct(_hashed("words")).alias("s"))
-    short = [r.license for r in hashed.where(F.size("s") == 0).select("license").limit(10).collect()]
+    words = templates.where(F.col("text").isNotNull()).select("license", F.xxhash64("license", "text").alias("template"), _words(F.col("text")).alias("words"))
+    short = [r.license for r in words.where(F.size("words") < 5).select("license").limit(10).collect()]
     if short:
         raise ValueError(f"templates of fewer than five words: {short}")
-    named = hashed.withColumn("n", F.size("s")).withColumn("template", F.xxhash64("license", "s")).dropDuplicates(["template"])
-    return named.select("template", "license", "n", F.floor(F.log(4.0, F.col("n") + 0.5)).cast("int").alias("cls"), F.explode_outer("s").alias("shingle"))
+    rows = _shingles(words, "license", "template").select("license", "template", "shingle").distinct()
+    sizes = rows.groupBy("template").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return rows.join(sizes, "template").select("template", "license", "n", F.floor(F.log(4.0, F.col("n") + 0.5)).cast("int").alias("cls"), "shingle")
 
 
 def _signature(n: int) -> list[Column]:
@@ -77,23 +108,25 @@ def _bands(n: int) -> Column:
 
 def matches(docs: DataFrame, templates: DataFrame, bands: int = BANDS, least: float = LEAST_CONTAINMENT) -> DataFrame:
     """doc_id, text_hash, license, containment, word (first word of the window): the best window of every text and license."""
-    table = template_table(templates).persist()
-    held = table.count()
-    if held > MAX_TEMPLATE_SHINGLES:
-        raise ValueError(f"{held} template shingles; at most {MAX_TEMPLATE_SHINGLES} are broadcast")
-    known = F.broadcast(table.select("cls", "shingle").distinct())  # checked above
+    table = materialize(template_table(templates), "license-templates")
+    small = table.count() <= MAX_BROADCAST
+
+    def sent(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if small else rows  # at most ``bands`` times the checked number of rows
+
+    known = sent(table.select("cls", "shingle").distinct())
     words = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), _words(F.col("text")).alias("words"))
-    rows = words.select("doc_id", "text_hash", F.posexplode_outer(_hashed("words")).alias("pos", "shingle")).where("shingle is not null")
-    hits = rows.join(known, "shingle")
+    hits = _shingles(words, "doc_id", "text_hash").join(known, "shingle")
     step = F.pow(F.lit(4), F.col("cls") + 1).cast("int")
     at = F.floor(F.col("pos") / step).cast("int")
     windowed = hits.withColumn("window", F.explode_outer(F.array(at, at - 1))).select("doc_id", "text_hash", "cls", "window", "shingle").distinct()
+    windowed = materialize(windowed, "license-windows")
     key = ["doc_id", "text_hash", "cls", "window"]
     signed = windowed.groupBy(*key).agg(*_signature(bands)).select(*key, _bands(bands))
     wanted = table.groupBy("cls", "template").agg(*_signature(bands)).select("cls", "template", _bands(bands))
-    near = signed.join(F.broadcast(wanted), ["cls", "band", "value"]).select(*key, "template").distinct()  # templates times bands
+    near = signed.join(sent(wanted), ["cls", "band", "value"]).select(*key, "template").distinct()
     inside = near.join(windowed, [windowed[k].eqNullSafe(near[k]) for k in key]).select(*[near[k] for k in key], "template", "shingle")
-    common = inside.join(F.broadcast(table.select("template", "license", "n", "shingle")), ["template", "shingle"])
+    common = inside.join(sent(table.select("template", "license", "n", "shingle")), ["template", "shingle"])
     share = common.groupBy(*key, "template", "license", "n").agg((F.count(F.lit(1)) / F.col("n")).alias("containment"))
     first = F.greatest(F.col("window"), F.lit(0)) * F.pow(F.lit(4), F.col("cls") + 1).cast("int")
     good = share.where(F.col("containment") >= least).withColumn("word", first)

@@ -54,8 +54,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The public licenses that every document names."""
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    """The public licenses that every document names, with the share of the template that the best window holds."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    named = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], F.format_string("%d", F.round(x["containment"] * 1000).cast("int")), x["word"].cast("string")))
+    return found.select("doc_id", "n_licenses", F.array_join(named, ",").alias("licenses"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +111,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": op10_ngram_join,
 }
 
+_TEMPLATES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in notice)) for notice in license_scan.NOTICES)
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_license": f"""
+        WITH templates(license, text) AS (VALUES {_TEMPLATES}), texts AS (
+            SELECT 't' AS kind, row_number() OVER () AS id, license, text FROM templates
+            UNION ALL SELECT 'd', doc_id, NULL, text FROM documents WHERE text IS NOT NULL
+        ), words AS (
+            SELECT kind, id, license, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM texts
+        ), shingles AS (
+            SELECT kind, id, license, i - 1 AS pos, array_to_string(w[i : i + 4], ' ') AS s FROM words, unnest(range(1, len(w) - 3)) AS r(i)
+        ), wanted AS (
+            SELECT DISTINCT id, license, s FROM shingles WHERE kind = 't'
+        ), sizes AS (
+            SELECT id, license, count(*) AS n, (4 ** (floor(log(count(*) + 0.5) / log(4)) + 1))::BIGINT AS step FROM wanted GROUP BY id, license
+        ), hits AS (
+            SELECT d.id AS doc_id, z.id AS template, z.license, z.n, z.step, d.pos // z.step - k AS win, d.s
+            FROM shingles d JOIN wanted t ON d.s = t.s JOIN sizes z ON z.id = t.id, (VALUES (0), (1)) AS k(k) WHERE d.kind = 'd'
+        ), shares AS (
+            SELECT doc_id, license, count(DISTINCT s) / n AS share, greatest(win, 0) * step AS word FROM hits GROUP BY doc_id, template, license, n, step, win
+        ), best AS (
+            SELECT doc_id, license, arg_max({{'c': share, 'w': word}}, (share, -word)) AS b FROM shares WHERE share >= 0.75 GROUP BY doc_id, license
+        ), listed AS (
+            SELECT doc_id, count(*) AS n, string_agg(license || ':' || round(b.c * 1000)::INTEGER || ':' || b.w, ',' ORDER BY license) AS l FROM best GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n, 0)::INTEGER AS n_licenses, coalesce(l, '') AS licenses FROM documents d LEFT JOIN listed USING (doc_id)
+    """,
     "op9_line_dedup": """
         WITH lines AS (
             SELECT doc_id, u.i - 1 AS line_no, trim(regexp_replace(lower(l[u.i]), '[ \\t\\x0B\\x0C\\r]+', ' ', 'g')) AS line
