@@ -66,6 +66,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``; call it once everything that reads it is stored."""
+    spark = df.sparkSession
+    jvm, own = spark.sparkContext._jvm, scratch_folder(spark).split(":", 1)[-1].lstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if own in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete everything that ``materialize`` wrote for this application; call it once results are stored."""
     jvm = spark.sparkContext._jvm
