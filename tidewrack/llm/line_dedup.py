@@ -24,8 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.tables import maybe_in
-from tidewrack.session import materialize
+from tidewrack.llm.tables import maybe_in, with_maybe
+from tidewrack.session import discard, materialize
 
 #: Words of a token.
 WIDTH = 5
@@ -92,8 +92,8 @@ def _place() -> Column:
 
 def with_texts_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """``lines`` with their text only where the class can be wanted, told by broadcast slots of bounded size."""
-    near, far = maybe_in(lines, F.col("cls"), wanted, F.col("cls"))
-    return near.unionByName(far.withColumn("line", F.lit(None).cast("string")))
+    marked = with_maybe(lines, F.col("cls"), wanted, F.col("cls"), "near")
+    return marked.withColumn("line", F.when(F.col("near"), F.col("line"))).drop("near")
 
 
 def candidates_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -113,8 +113,9 @@ def rare_prefixes(candidates: DataFrame) -> DataFrame:
     no row. ``weight`` is the mean frequency.
     """
     rows = candidates.select("cls", F.explode("tokens").alias("token"))
-    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    lists = rows.join(counts, "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x"), F.sum("df").alias("total"))
+    counts = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "line-token-counts")
+    near, _ = maybe_in(rows, F.col("token"), counts, F.col("token"))
+    lists = near.join(counts, "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("x"), F.sum("df").alias("total"))
     held = lists.join(candidates.select("cls", "first", "n"), "cls").where(DEN * F.size("x") >= NUM * F.col("n"))
     alone = F.col("n") - F.size("x")
     length = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1 - alone
@@ -160,6 +161,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, removed (numbers from 0 of the lines to remove, ascending): only texts that lose lines."""
     prefixes = materialize(first_prefixes(lines_of(docs)), "line-tokens")
     found = materialize(sharing(prefixes), "line-classes")
+    discard(prefixes)
     lines = materialize(with_texts_of(lines_of(docs), found), "lines")
     candidates = materialize(candidates_of(lines, found), "line-candidates")
     matched = with_earlier_match(candidates).withColumn("matched", F.lit(True))

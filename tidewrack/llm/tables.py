@@ -64,6 +64,17 @@ def map_batches(df: DataFrame, added: list[tuple[str, T.DataType]], arrow: list[
 WORDS = 1 << 18
 
 
+def _place(key: Column, words: int) -> tuple[Column, Column]:
+    """The word of a key's slot, and its bit."""
+    slot = F.pmod(key, F.lit(64 * words))
+    return F.floor(slot / 64), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+
+
+def _held(wanted: DataFrame, wanted_key: Column, words: int) -> DataFrame:
+    word, bit = _place(wanted_key, words)
+    return F.broadcast(wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+
+
 def maybe_in(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """Rows of ``df`` whose key can be among the wanted keys, and the rest, without a shuffle of ``df``.
 
@@ -71,13 +82,14 @@ def maybe_in(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column,
     bits of at most ``words`` integers; with very many keys every row is in the
     first part, and nothing is lost.
     """
-
-    def place(k: Column) -> tuple[Column, Column]:
-        slot = F.pmod(k, F.lit(64 * words))
-        return F.floor(slot / 64), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
-
-    word, bit = place(wanted_key)
-    held = F.broadcast(wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
-    word, bit = place(key)
+    held = _held(wanted, wanted_key, words)
+    word, bit = _place(key, words)
     hit = (word == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0)
     return df.join(held, hit, "left_semi"), df.join(held, hit, "left_anti")
+
+
+def with_maybe(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, out: str, words: int = WORDS) -> DataFrame:
+    """Add ``out``: whether the key can be among the wanted keys, told as by ``maybe_in``; for uses that need both kinds of rows."""
+    word, bit = _place(key, words)
+    marked = df.join(_held(wanted, wanted_key, words), word == F.col("_word"), "left")
+    return marked.withColumn(out, F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
