@@ -47,7 +47,7 @@ def test_suffix_collisions_are_found(spark):
 
 def test_ranges_that_touch_merge(spark):
     df = spark.createDataFrame([("k", 0, 5), ("k", 5, 7), ("k", 9, 10), ("k", 1, 2)], "k string, s int, e int")
-    assert rows(ranges.coalesce_ranges(df, ["k"], "s", "e")) == [("k", 0, 7, 3), ("k", 9, 10, 1)]
+    assert rows(ranges.coalesce_ranges(df, ["k"], "s", "e", 4)) == [("k", 0, 7, 3), ("k", 9, 10, 1)]
 
 
 def test_pure_cycles_stay_pure(spark):

@@ -69,12 +69,12 @@ def drop_cascade(modules: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def follow_chain(links: DataFrame, limit: int = 64) -> DataFrame:
-    """src, final: where following src -> dst ends; sources that run into a cycle are left out.
+    """src, final: where following src -> dst ends (the smallest dst, if there are several); sources that run into a cycle are left out.
 
     Pointers double in every round, so a chain of n links takes log2(n) rounds.
     ``limit`` rounds reach any chain of a table; what still moves then is cyclic.
     """
-    now = materialize(links.select("src", F.col("dst").alias("final")).dropDuplicates(["src"]), "chain")
+    now = materialize(links.groupBy("src").agg(F.min("dst").alias("final")), "chain")
     nodes = now.count()
     span = 1
     for _ in range(limit):
@@ -133,6 +133,34 @@ def strong_components(edges: DataFrame, label: str = "component") -> DataFrame:
     return large.unionAll(alone)
 
 
+def cycle_witnesses(edges: DataFrame) -> DataFrame:
+    """component (its smallest node), size, witness: per strongly connected component the shortest closed path through that node.
+
+    Of shortest paths the smallest in order stands. Self edges count only for a
+    component of one node. All components search together, a level a round,
+    until each has closed its path.
+    """
+    parts = materialize(strong_components(edges), "witness-parts")
+    own = parts.where("size > 1").select("node", "component")
+    inner = edges.where("src <> dst").select("src", "dst").distinct()
+    inner = inner.join(own.withColumnRenamed("node", "src"), "src").join(own.select(F.col("node").alias("dst"), F.col("component").alias("_other")), "dst").where("component = _other")
+    inner = materialize(inner.select("component", "src", "dst"), "witness-edges")
+    front = materialize(inner.where("src = component").select("component", F.col("dst").alias("node"), F.array("src", "dst").alias("path")).distinct(), "witness-front")
+    seen = front.select("component", "node")
+    found = parts.where("size = 1").select("component", "size", F.array("component", "component").alias("witness"))
+    sizes = parts.select("component", "size").distinct()
+    while not front.isEmpty():
+        steps = front.withColumnRenamed("node", "src").join(inner, ["component", "src"])
+        closed = steps.where("dst = component").groupBy("component").agg(F.min("path").alias("path"))
+        closed = materialize(closed.join(sizes, "component").select("component", "size", F.concat("path", F.array("component")).alias("witness")), "witness-closed")
+        found = found.unionAll(closed)
+        nxt = steps.join(closed.select("component"), "component", "left_anti").groupBy("component", F.col("dst").alias("node")).agg(F.min("path").alias("path"))
+        nxt = nxt.join(seen, ["component", "node"], "left_anti").select("component", "node", F.concat("path", F.array("node")).alias("path"))
+        front = materialize(nxt, "witness-front")
+        seen = materialize(seen.unionAll(front.select("component", "node")), "witness-seen")
+    return found
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of the undirected graph, by minimum labels that also jump over their own label."""
     both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()

@@ -39,8 +39,8 @@ def agree_or_drop(df: DataFrame, key: str, hint: str, least: int = 1) -> DataFra
 
 def rename_map(names: DataFrame, current: str, target: str, reserved: DataFrame | None = None) -> DataFrame:
     """Renames that are safe: a target claimed once, that no current name equals, that is not reserved in any case, and that changes the name."""
-    claims = names.withColumn("_claims", F.count(F.lit(1)).over(Window.partitionBy(target)))
-    kept = claims.where((F.col("_claims") == 1) & (F.col(target) != F.col(current))).drop("_claims")
+    single = names.groupBy(F.col(target).alias("_single")).agg(F.count(F.lit(1)).alias("_claims")).where("_claims = 1").drop("_claims")
+    kept = names.where(F.col(target) != F.col(current)).join(single, F.col(target) == F.col("_single"), "left_semi")
     taken = names.select(F.col(current).alias("_taken")).distinct()
     kept = kept.join(taken, F.col(target) == F.col("_taken"), "left_anti")
     if reserved is not None:

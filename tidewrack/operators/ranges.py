@@ -6,13 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def coalesce_ranges(df: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
-    """Ranges of each key merged where they overlap or touch; key, start, end, parts."""
+def _islands(df: DataFrame, key: list[str], start: str, end: str, parts: str) -> DataFrame:
     order = Window.partitionBy(*key).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = df.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
     island = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("parts")).drop("_island")
+    return island.groupBy(*key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum(parts).alias("parts")).drop("_island")
+
+
+def coalesce_ranges(df: DataFrame, key: list[str], start: str, end: str, width: int) -> DataFrame:
+    """Ranges of each key merged where they overlap or touch; key, start, end, parts.
+
+    Ranges are merged within buckets of ``width`` by their start first, so that
+    a hot key is spread; what remains of each bucket is then merged over its edges.
+    """
+    dealt = df.withColumn("_bucket", F.floor(F.col(start) / width)).withColumn("_one", F.lit(1))
+    within = _islands(dealt, [*key, "_bucket"], start, end, "_one").drop("_bucket")
+    return _islands(within, key, start, end, "parts")
 
 
 def range_join(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, end: str, width: int) -> DataFrame:
@@ -33,17 +43,24 @@ def map_points(hits: DataFrame, by: list[str], gen: str, src: str, end: str) ->
     return hits.withColumn("src_end", stop).where(F.col("src_end") > F.col(src))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, order: str, value: str, out: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, order: str, value: str, out: str, width: int) -> DataFrame:
     """Each left row with the value of the latest right row of its key at or before it (null if none).
 
-    One union and one window: a right row at the same time counts, whatever the
-    order of the two tables. ``left`` columns stay.
+    One union and one window per bucket of ``width``, so that a hot key is
+    spread; a bucket's rows before its first right row take the last value of
+    the buckets before. A right row at the same time counts, whatever the order
+    of the two tables. ``left`` columns stay.
     """
-    rows = left.select(F.struct(*left.columns).alias("_left"), F.col(key), F.col(at), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[order].dataType).alias(order), F.lit(None).cast(right.schema[value].dataType).alias("_value"))
-    seen = right.select(F.lit(None).cast(rows.schema["_left"].dataType).alias("_left"), F.col(key), F.col(at), F.lit(0).alias("_side"), F.col(order), F.col(value).alias("_value"))
-    upto = Window.partitionBy(key).orderBy(at, "_side", order).rowsBetween(Window.unboundedPreceding, 0)
-    carried = rows.unionAll(seen).withColumn(out, F.last("_value", ignorenulls=True).over(upto))
-    return carried.where("_side = 1").select("_left.*", out)
+    bucket = F.floor(F.col(at) / width).alias("_bucket")
+    rows = left.select(F.struct(*left.columns).alias("_left"), F.col(key), F.col(at), bucket, F.lit(1).alias("_side"), F.lit(None).cast(right.schema[order].dataType).alias(order), F.lit(None).cast(right.schema[value].dataType).alias("_value"))
+    seen = right.select(F.lit(None).cast(rows.schema["_left"].dataType).alias("_left"), F.col(key), F.col(at), bucket, F.lit(0).alias("_side"), F.col(order), F.col(value).alias("_value"))
+    upto = Window.partitionBy(key, "_bucket").orderBy(at, "_side", order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.unionAll(seen).withColumn("_seen", F.last("_value", ignorenulls=True).over(upto)).where("_side = 1")
+    lasts = rows.unionAll(seen).groupBy(key, "_bucket").agg(F.max_by("_value", F.when(F.col("_side") == 0, F.struct(at, order))).alias("_value"))
+    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select(F.col(key).alias("_key"), F.col("_bucket").alias("_in"), F.last("_value", ignorenulls=True).over(before).alias("_carried"))
+    joined = inside.join(carried, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_in")), "left")
+    return joined.select("_left.*", F.coalesce("_seen", "_carried").alias(out))
 
 
 def band_pairs(df: DataFrame, key: str, position: str, reach: int, same: Column | None = None) -> DataFrame:

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewrack.functions import paths
-from tidewrack.operators import graphs, keys, ranges
+from tidewrack.functions import names, paths
+from tidewrack.operators import facts, graphs, keys, ranges
 from tidewrack.sources import scripts, sinks
 
 FLAGSHIP = "script_inventory"
@@ -111,7 +111,7 @@ def _event_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def range_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = _event_seconds(spark, sf_dir).select("user_id", F.col("at").alias("start"), (F.col("at") + 14_400).alias("end"))
-    return ranges.coalesce_ranges(spans, ["user_id"], "start", "end")
+    return ranges.coalesce_ranges(spans, ["user_id"], "start", "end", 86_400)
 
 
 def range_map_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def asof_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _event_seconds(spark, sf_dir)
     clicks = events.where("event_type = 'click'").select("event_id", "user_id", "at")
     views = events.where("event_type = 'view'").select("user_id", "at", F.col("event_id").alias("view_id"), F.col("event_id").alias("seen"))
-    return ranges.as_of(clicks, views, "user_id", "at", "view_id", "seen", "last_view").select("event_id", "last_view")
+    return ranges.as_of(clicks, views, "user_id", "at", "view_id", "seen", "last_view", 86_400).select("event_id", "last_view")
 
 
 def band_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,21 +210,98 @@ def passthrough_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.follow_chain(steps)
 
 
+def _named_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their supplier as provider and a name made of the part's name and size."""
+    part = _table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("#", "p_name", F.col("p_size").cast("string")).alias("name"))
+    return _table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).withColumnRenamed("l_suppkey", "provider")
+
+
 def export_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers re-export one another (every supplier the ones at twice and thrice its number); names are part brands."""
+    """Suppliers export what they shipped with flag A and re-export one another (the ones at twice and thrice their number); asked for is what they shipped with flag R."""
     supplier = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("module"))
-    line, part = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "part")
-    costly = line.where("l_quantity >= 50 and l_discount >= 0.09").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    local = costly.select(F.col("l_suppkey").alias("module"), F.col("p_brand").alias("name")).distinct().withColumn("origin", F.col("module"))
+    line = _named_lines(spark, sf_dir).withColumnRenamed("provider", "module")
+    local = line.where("l_returnflag = 'A'").select("module", "name").distinct().withColumn("origin", F.col("module"))
     stars = supplier.where("module > 1").select("module", F.explode(F.array(F.col("module") * 2, F.col("module") * 3)).alias("target"))
-    names = part.select(F.col("p_brand").alias("name")).distinct()
-    wanted = supplier.join(F.broadcast(names))  # the brands of the catalogue
-    return graphs.resolve_exports(local, stars, wanted, supplier)
+    return graphs.resolve_exports(local, stars, line.where("l_returnflag = 'R'").select("module", "name"), supplier)
+
+
+def import_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names asked of suppliers that only their default export can mean."""
+    line = _named_lines(spark, sf_dir)
+    providers = _table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("provider"), (F.col("s_suppkey") % 11 == 0).alias("export_all"), (F.col("s_acctbal") > 0).alias("has_default"), (F.col("s_nationkey") % 3 == 0).alias("default_object")
+    )
+    imports = line.where("l_linestatus = 'O'").select("provider", "name").distinct()
+    return facts.default_repairs(imports, providers, line.where("l_returnflag = 'A'"), line.where("l_returnflag = 'R'"))
+
+
+def namespace_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of users all of whose events are of a harmless kind."""
+    events = _table(spark, sf_dir, "events").withColumn("day", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000))
+    return facts.used_only_as(events, ["user_id", "day"], F.col("event_type").isin("click", "view", "purchase"))
+
+
+def unused_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that lines of flag A take from a supplier and no line of flag R uses."""
+    line = _named_lines(spark, sf_dir)
+    return facts.unused(line.where("l_returnflag = 'A'").select("provider", "name").distinct(), line.where("l_returnflag = 'R'"), ["provider", "name"])
+
+
+def public_path_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of pages that several pages claim, without query and fragment."""
+    return facts.path_claims(_table(spark, sf_dir, "pages"), F.regexp_extract("url", r"^https?://[^/]+/([^?#]*)", 1))
+
+
+def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders declare their part numbers and refer to their suppliers' numbers; the last order that declares a number owns it."""
+    items = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("declared"), F.collect_set("l_suppkey").alias("referenced"))
+    return graphs.reference_edges(items, "l_orderkey", "declared", "referenced")
+
+
+def lone_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that one event alone refers to, by its user's number, and that stand near it."""
+    edges = _table(spark, sf_dir, "events").select(F.col("event_id").alias("src"), (F.col("event_id") + F.col("user_id") % 9 - 4).alias("dst"))
+    return facts.lone_references(edges)
+
+
+def missing_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that lines of flag R ask of suppliers which ship them in no line of flag A."""
+    line = _named_lines(spark, sf_dir)
+    modules = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("provider"), (F.col("s_acctbal") < 0).alias("open"))
+    return facts.missing_names(line.where("l_returnflag = 'R'").select("provider", "name", "l_orderkey", "l_linenumber"), line.where("l_returnflag = 'A'"), modules)
+
+
+def illegal_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.when(F.col("c_mktsegment") == "BUILDING", "import").when(F.col("c_mktsegment") == "MACHINERY", "const").otherwise("let")
+    bindings = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), kinds.alias("kind"))
+    return facts.illegal_writes(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), bindings, ["o_custkey"])
+
+
+def identifier_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and types, or names, of parts as binding names; every third one is a reserved word."""
+    third = F.col("p_partkey") % 3
+    raw = F.when(third == 0, F.concat_ws(" ", F.col("p_size").cast("string"), "p_type")).when(third == 1, F.regexp_replace("p_name", " ", "_")).otherwise("delete")
+    words = _table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
+    return words.select("p_partkey", names.is_identifier(F.col("raw")).alias("valid"), names.to_identifier(F.col("raw")).alias("name"))
+
+
+def cycle_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shortest cycle through the first member of every strongly connected component of all references."""
+    found = graphs.cycle_witnesses(_imports(spark, sf_dir, "true"))
+    return found.select("component", "size", F.array_join(F.transform("witness", lambda x: x.cast("string")), " -> ").alias("witness"))
 
 
 def graph_base36(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _table(spark, sf_dir, "documents").select("doc_id", paths.to_base36(F.col("doc_id")).alias("digits"))
-    return ids.select("doc_id", paths.from_base36(F.upper("digits")).alias("decoded"))
+    """Each customer's orders as a base-36 graph, every order after its predecessor and the one at half its place; decoded to edges again."""
+    placed = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("o"))
+
+    def entry(order, i):
+        deps = F.concat_ws(",", F.when(i > 0, paths.to_base36(i - 1)), F.when(i > 2, paths.to_base36(F.floor(i / 2))))
+        return F.concat(order.cast("string"), F.when(deps == "", F.lit("")).otherwise(F.concat(F.lit(":"), F.upper(deps))))
+
+    text = placed.select("o_custkey", F.array_join(F.transform("o", entry), "/").alias("graph"))
+    decoded = text.select("o_custkey", paths.decode_graph(F.col("graph")).alias("g")).select("o_custkey", "g", F.explode("g").alias("e"))
+    return decoded.select("o_custkey", F.col("e.id").cast("long").alias("src"), F.explode("e.deps").alias("d"), "g").select("o_custkey", "src", F.get("g", F.col("d").cast("int"))["id"].cast("long").alias("dst"))
 
 
 def resolve_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,6 +323,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         duplicate_exports, first_declared, prune_stale, all_props_exported, name_vote, range_coalesce, range_map_lead, asof_lookup, band_shared, mutual_refs,
         reference_components, scc_cycles, alive_declarations, transitive_purity, drop_cascade, reference_components_all, scc_cycles_all,
         alive_declarations_all, transitive_purity_all, drop_cascade_all, passthrough_chain, export_resolution, graph_base36, resolve_paths, provenance,
+        import_repairs, namespace_repairs, unused_imports, public_path_claims, reference_edges, lone_references, missing_imports, illegal_writes, identifier_names, cycle_witness,
     )
 }
 
@@ -256,6 +334,9 @@ _SCRIPTS = r"""scripts AS (
 _SECONDS = "secs AS (SELECT *, epoch_us(ts) // 1000000 AS sec FROM events)"
 
 
+_NAMED = "named AS (SELECT l_suppkey AS provider, p_name || '#' || p_size AS name, l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
 def _edges(where: str) -> str:
     return f"edges AS (SELECT DISTINCT o_custkey AS src, o_orderkey * 7919 % (SELECT count(*) FROM customer) + 1 AS dst FROM orders WHERE {where})"
 
@@ -322,7 +403,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT node FROM cand WHERE node NOT IN (SELECT node FROM r)""",
     "passthrough_chain": """SELECT src, final FROM (SELECT o_orderkey AS src, last_value(o_orderkey) OVER w AS final, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nxt
         FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE nxt IS NOT NULL""",
-    "export_resolution": """WITH RECURSIVE local AS (SELECT DISTINCT l_suppkey AS module, p_brand AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 50 AND l_discount >= 0.09),
+    "export_resolution": f"""WITH RECURSIVE {_NAMED}, local AS (SELECT DISTINCT provider AS module, name FROM named WHERE l_returnflag = 'A'),
         stars AS (SELECT s_suppkey AS module, s_suppkey * k AS target FROM supplier, (VALUES (2), (3)) AS t(k) WHERE s_suppkey > 1),
         known AS (SELECT module, target FROM stars WHERE target IN (SELECT s_suppkey FROM supplier)),
         blind AS (SELECT module FROM stars WHERE target NOT IN (SELECT s_suppkey FROM supplier) UNION SELECT k.module FROM blind b JOIN known k ON k.target = b.module),
@@ -331,10 +412,31 @@ ORACLE_SQL: dict[str, str] = {
             WHERE NOT EXISTS (SELECT 1 FROM local l WHERE l.module = k.module AND l.name = s.name)),
         o AS (SELECT module, name, count(DISTINCT origin) AS n, min(origin) AS origin FROM seen GROUP BY module, name),
         r AS (SELECT w.module, w.name, o.n, o.origin, w.module IN (SELECT module FROM blind) AS is_blind, EXISTS (SELECT 1 FROM local l WHERE l.module = w.module AND l.name = w.name) AS own
-            FROM (SELECT s_suppkey AS module, name FROM supplier, (SELECT DISTINCT p_brand AS name FROM part)) w LEFT JOIN o ON o.module = w.module AND o.name = w.name),
+            FROM (SELECT DISTINCT provider AS module, name FROM named WHERE l_returnflag = 'R') w LEFT JOIN o ON o.module = w.module AND o.name = w.name),
         s AS (SELECT *, CASE WHEN own THEN 'found' WHEN is_blind THEN 'unknown' WHEN n > 1 THEN 'ambiguous' WHEN n = 1 THEN 'found' ELSE 'not_found' END AS state FROM r)
         SELECT module, name, state, CASE WHEN state = 'found' THEN origin END AS origin FROM s""",
-    "graph_base36": "SELECT doc_id, doc_id AS decoded FROM documents",
+    "graph_base36": """WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)
+        SELECT a.o_custkey, a.o_orderkey AS src, b.o_orderkey AS dst FROM p a JOIN p b ON a.o_custkey = b.o_custkey AND b.i = a.i - 1
+        UNION ALL SELECT a.o_custkey, a.o_orderkey, b.o_orderkey FROM p a JOIN p b ON a.o_custkey = b.o_custkey AND a.i > 2 AND b.i = a.i // 2""",
+    "import_repairs": f"""WITH {_NAMED} SELECT DISTINCT provider, name FROM named n JOIN supplier ON s_suppkey = provider
+        WHERE l_linestatus = 'O' AND s_suppkey % 11 <> 0 AND s_acctbal > 0
+        AND NOT EXISTS (SELECT 1 FROM named x WHERE x.provider = n.provider AND x.name = n.name AND x.l_returnflag = 'A')
+        AND (s_nationkey % 3 = 0 OR EXISTS (SELECT 1 FROM named x WHERE x.provider = n.provider AND x.name = n.name AND x.l_returnflag = 'R'))""",
+    "namespace_repairs": """SELECT DISTINCT user_id, epoch_us(ts) // 86400000000 AS day FROM events WHERE (user_id, epoch_us(ts) // 86400000000) NOT IN
+        (SELECT user_id, epoch_us(ts) // 86400000000 FROM events WHERE event_type NOT IN ('click', 'view', 'purchase'))""",
+    "unused_imports": f"""WITH {_NAMED} SELECT provider, name FROM named WHERE l_returnflag = 'A' EXCEPT SELECT provider, name FROM named WHERE l_returnflag = 'R'""",
+    "public_path_claims": r"""WITH p AS (SELECT lower(regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1)) AS path FROM pages)
+        SELECT path, count(*) AS claims FROM p GROUP BY path HAVING count(*) > 1""",
+    "reference_edges": """SELECT DISTINCT u.l_orderkey AS src, o.owner AS dst FROM lineitem u JOIN (SELECT l_partkey, max(l_orderkey) AS owner FROM lineitem GROUP BY l_partkey) o
+        ON u.l_suppkey = o.l_partkey WHERE u.l_orderkey <> o.owner""",
+    "lone_references": """WITH e AS (SELECT DISTINCT event_id AS src, event_id + user_id % 9 - 4 AS dst FROM events)
+        SELECT src AS a, dst AS b FROM e WHERE src <> dst AND abs(src - dst) <= 3 AND NOT EXISTS (SELECT 1 FROM e x WHERE x.dst = e.dst AND x.src <> e.src AND x.src <> x.dst)""",
+    "missing_imports": f"""WITH {_NAMED} SELECT provider, name, l_orderkey, l_linenumber FROM named n JOIN supplier ON s_suppkey = provider WHERE l_returnflag = 'R' AND s_acctbal >= 0
+        AND NOT EXISTS (SELECT 1 FROM named x WHERE x.provider = n.provider AND x.name = n.name AND x.l_returnflag = 'A')""",
+    "illegal_writes": """SELECT o_custkey, o_orderkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'import' ELSE 'const' END AS kind FROM orders JOIN customer ON c_custkey = o_custkey
+        WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')""",
+    "identifier_names": r"""WITH w AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size || ' ' || p_type WHEN 1 THEN replace(p_name, ' ', '_') ELSE 'delete' END AS raw FROM part)
+        SELECT p_partkey, p_partkey % 3 = 1 AS valid, CASE p_partkey % 3 WHEN 0 THEN '_' || replace(raw, ' ', '_') WHEN 1 THEN raw ELSE 'delete_' END AS name FROM w""",
     "resolve_paths": r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) AS path FROM pages),
         d AS (SELECT *, string_split(path, '/') AS s FROM p)
         SELECT page_id, CASE WHEN len(s) >= 2 THEN array_to_string(list_concat(s[1 : len(s) - 2], ['lib', 'util.js']), '/') END AS resolved,
