@@ -26,6 +26,9 @@ def with_fields(schema: T.StructType, *added: tuple[str, T.DataType]) -> T.Struc
     return T.StructType([f for f in schema if f.name.lower() not in names] + [T.StructField(n, t) for n, t in added])
 
 
+#: Bytes of an Arrow batch between Spark and Python, where the session sets no size itself.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of text on which a Python task works at once, about; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
 
@@ -44,6 +47,13 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         start = stop
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df`` for a Python task: the session's Arrow batches are bounded by BATCH_BYTES from here on, as a task holds some at once."""
+    if df.sparkSession.conf.get(_BATCH_SETTING, "1").rstrip("b") == "1":  # not set
+        df.sparkSession.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def map_batches(df: DataFrame, added: list[tuple[str, T.DataType]], arrow: list[pa.DataType], make: Callable[[pa.RecordBatch], list[list]]) -> DataFrame:
     """Add columns computed slice by slice in Python; the other columns pass through untouched."""
     schema = with_fields(df.schema, *added)
@@ -57,7 +67,7 @@ def map_batches(df: DataFrame, added: list[tuple[str, T.DataType]], arrow: list[
                 columns = [part.column(part.schema.get_field_index(n)) for n in keep] + [pa.array(v, type=t) for v, t in zip(new, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=keep + names)
 
-    return df.mapInArrow(run, schema)
+    return in_small_batches(df).mapInArrow(run, schema)
 
 
 #: Rows of a broadcast filter, each a word of 64 slots; it never has more rows than this, whatever the input.

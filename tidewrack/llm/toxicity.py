@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewrack.llm.shingles import shingle_set
-from tidewrack.llm.tables import map_batches
+from tidewrack.llm.tables import in_small_batches, map_batches
 
 #: Bounds of the sample that fits the model: toxic documents, clean documents, documents of each kind that fit the chain, and their words.
 MAX_TOXIC, MAX_CLEAN, MAX_CHAIN, MAX_CHAIN_WORDS = 4000, 12000, 600, 1000
@@ -42,7 +42,7 @@ LEAST_RATIO, LEAST_ODDS = 22.0, 1.5
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"\w+")
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 100_000
 #: Sample rows whose features are counted at once.
 COUNTED_ROWS = 500
 
@@ -228,7 +228,7 @@ def _one_of_copies(sample: DataFrame) -> DataFrame:
             sets = [shingle_set(t) for t in pdf["text"]]
             yield pdf.assign(copy_key=[int(s[0] >> np.uint64(1)) if len(s) else 0 for s in sets])
 
-    return sample.mapInPandas(key, "doc_id long, toxic int, text string, copy_key long").dropDuplicates(["copy_key", "toxic"])
+    return in_small_batches(sample).mapInPandas(key, "doc_id long, toxic int, text string, copy_key long").dropDuplicates(["copy_key", "toxic"])
 
 
 def _count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
