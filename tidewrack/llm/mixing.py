@@ -261,6 +261,7 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
     A null or wordless text has size 0 and is never taken; a null source is a
     source of its own and comes last. Repeated rows stand and fall together.
+    Texts count whole, however long; extra columns play no part.
     An empty table gives an empty result. Reruns with one seed agree.
     """
     narrow = materialize(_narrow(docs, seed=options.get("seed", 0)), "mix-rows")

@@ -108,8 +108,13 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_p
     Columns: doc_id, size (UTF-8 bytes of the text, null: none, plus 1),
     text_crc32, law ('bytes'), shard, slot, grown_shard (null: the law is not
     'key'), vslot, map_version, next_shard (the shard after one more is added:
-    unchanged, or the new one). Rows with a null id spread by their text, repeated
-    rows stay together, and an empty table gives an empty result.
+    unchanged, or the new one). Slots hash doc_id, so the documents of one text
+    are a group that is spread over shards: a text that a third of all rows have
+    cannot outweigh a shard. Rows with a null id spread by their text, repeated
+    rows stay together, very long texts only weigh more, extra columns play no
+    part, and an empty table gives an empty result. Without ``map_path`` the map
+    goes to scratch, which ``drop_scratch`` deletes; name a durable folder to
+    keep its versions.
     """
     spark = docs.sparkSession
     base = docs.select(

@@ -106,7 +106,13 @@ class SegmentTree:
 
 
 def build(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """Add n_tokens, leaf_chars and leaf_tokens, the state that later edits start from. Null and empty texts have no leaves."""
+    """Add n_tokens, leaf_chars and leaf_tokens, the state that later edits start from.
+
+    Null and empty texts have no leaves. Repeated rows get equal states, an empty
+    table gives an empty result, and columns already named like the added ones
+    are replaced. A text without a safe cut is one leaf, however long, and an
+    edit encodes all of it again.
+    """
 
     def make(batch: pa.RecordBatch) -> list[list]:
         enc = encoding(rank_file, pattern)
