@@ -11,7 +11,9 @@ def brute(names):
     seen, out = set(), []
     for n in names:
         k = 1
-        while (c := n if k == 1 else f"{n}_{k}").lower() in seen:
+        dot = n.rfind(".")
+        dot = dot if dot > n.rfind("/") + 1 and dot < len(n) - 1 else len(n)
+        while (c := n if k == 1 else f"{n[:dot]}_{k}{n[dot:]}").lower() in seen:
             k += 1
         seen.add(c.lower())
         out.append(c)
@@ -28,6 +30,12 @@ def test_taken_names_are_skipped(spark):
     check(spark, ["a", "A", "a_2", "b_2", "b", "B", "b", "c_2", "c_2_2", "c_2", "d", "d", "e_1", "e_3", "x_02", "x", "X"])
 
 
+def test_suffixes_go_before_extensions(spark):
+    check(spark, ["a.js", "A.js", "a_2.js", "a.js", "a", "a", "d.x/a", "d.x/a", "d/.js", "d/.js", "a.", "a.", ".js", ".js", "a.b.js", "a.b.js", "a.b_2.js"])
+    rng = random.Random(3)
+    check(spark, [rng.choice(["a", "b/a"]) + rng.choice(["", "_2", "_3"]) + rng.choice(["", ".js", ".JS", ".x.js", "_2.js"]) for _ in range(200)])
+
+
 def test_random_names(spark):
     rng = random.Random(2)
     check(spark, [rng.choice("abAB") + rng.choice(["", "", "_2", "_3", "_2_2", "_x", "_2\n"]) for _ in range(300)])

@@ -49,25 +49,38 @@ def rename_map(names: DataFrame, current: str, target: str, reserved: DataFrame
     return kept
 
 
+#: A name's stem and its extension, as in a/b.js; a leading dot is no extension.
+_EXTENDED = r"(?s)\A(.*[^/])(\.[^./]+)\z"
+
+
+def _stem(name: Column) -> Column:
+    return F.when(name.rlike(_EXTENDED), F.regexp_extract(name, _EXTENDED, 1)).otherwise(name)
+
+
+def _extension(name: Column) -> Column:
+    return F.regexp_extract(name, _EXTENDED, 2)
+
+
 def suffix_duplicates(df: DataFrame, name: str, order: list[str], out: str = "unique_name") -> DataFrame:
-    """The first of equal names (any case) keeps it, later ones get _2, _3 and so on.
+    """The first of equal names (any case) keeps it, later ones get _2, _3 and so on before their extension.
 
     The suffixes are right where no given name looks like a suffixed one;
     ``suffix_collisions`` counts the names for which that fails.
     """
     rank = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(*order))
-    return df.withColumn("_k", rank).withColumn(out, F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat(name, F.lit("_"), F.col("_k").cast("string")))).drop("_k")
+    suffixed = F.concat(_stem(F.col(name)), F.lit("_"), F.col("_k").cast("string"), _extension(F.col(name)))
+    return df.withColumn("_k", rank).withColumn(out, F.when(F.col("_k") == 1, F.col(name)).otherwise(suffixed)).drop("_k")
 
 
 def unique_suffixes(df: DataFrame, name: str, order: list[str], out: str = "unique_name") -> DataFrame:
     """Rows in ``order`` take their name or its first suffix _2, _3 and so on that no earlier row took, in any case.
 
-    A name can only meet names with the same root, that is without its trailing
-    numbers. Where all names of a root are equal, or none occurs twice, ranks are
+    Suffixes go before the extension. A name can only meet names with the same
+    root, that is without its stem's trailing numbers. Where all names of a root are equal, or none occurs twice, ranks are
     right. The rows of other roots are taken in order, root by root, in a stream
     that remembers the names of one root; the root is the unit of parallel work.
     """
-    root = F.regexp_replace(F.lower(name), r"(_[0-9]+)+\z", "")
+    root = F.concat(F.regexp_replace(_stem(F.lower(name)), r"(_[0-9]+)+\z", ""), _extension(F.lower(name)))
     spellings = df.where(F.col(name).isNotNull()).groupBy(root.alias("_root"), F.lower(name).alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
     mixed = spellings.groupBy("_root").agg(F.count(F.lit(1)).alias("_names"), F.max("_n").alias("_most")).where("_names > 1 and _most > 1").select("_root")
     marked = df.withColumn("_root", root)
@@ -77,21 +90,23 @@ def unique_suffixes(df: DataFrame, name: str, order: list[str], out: str = "uniq
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, taken, last = None, set(), {}
         for batch in batches:
-            of, lower, own = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_root", "_lower", "_own"))
+            of, lower, own, cuts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_root", "_lower", "_own", "_cut"))
             found = []
             for i, x in enumerate(lower):
+                after = len(x) - cuts[i]
                 if of[i] != at:
                     at, taken, last = of[i], set(), {}
                 k = last.get(x, 0) + 1
-                while (x if k == 1 else f"{x}_{k}") in taken:
+                while (x if k == 1 else f"{x[:after]}_{k}{x[after:]}") in taken:
                     k += 1
                 last[x] = k
-                taken.add(x if k == 1 else f"{x}_{k}")
-                found.append(own[i] if k == 1 else f"{own[i]}_{k}")
+                taken.add(x if k == 1 else f"{x[:after]}_{k}{x[after:]}")
+                after = len(own[i]) - cuts[i]
+                found.append(own[i] if k == 1 else f"{own[i][:after]}_{k}{own[i][after:]}")
             columns = [batch.column(batch.schema.get_field_index(n)) for n in schema.names[:-1]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string())], names=schema.names)
 
-    rows = marked.join(mixed, "_root", "left_semi").withColumn("_lower", F.lower(name)).withColumn("_own", F.col(name))
+    rows = marked.join(mixed, "_root", "left_semi").withColumn("_lower", F.lower(name)).withColumn("_own", F.col(name)).withColumn("_cut", F.length(_extension(F.col(name))))
     taken_in_order = rows.repartition("_root").sortWithinPartitions("_root", *order).mapInArrow(run, schema)
     return plain.select(schema.names).unionByName(taken_in_order)
 
