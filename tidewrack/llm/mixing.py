@@ -270,20 +270,29 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     return placed.select("doc_id", "size", "source_size", "target", "taken", F.size("shards").alias("copies"), "shards")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with its columns and ``mix_shard``, ``mix_order``.
-
-    Writing it partitioned by ``mix_shard`` and sorted by ``mix_order`` gives
-    the shards, each shuffled locally; repeats have orders of their own.
-    """
+def _copies(docs: DataFrame, **options) -> DataFrame:
+    """_row, mix_shard, mix_order: each row as often as it is taken."""
     seed = options.get("seed", 0)
     narrow = materialize(_narrow(docs, seed=seed), "mix-rows")
     _, sources, blocks = make_plan(narrow, **options)
-    names = docs.columns
     hashed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("row_hash")
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("row_hash")
     )
     placed = place(hashed, sources, blocks)
     taken = placed.select("_row", "row_hash", F.posexplode("shards").alias("_copy", "mix_shard"))
-    order = F.xxhash64(F.lit(seed), "mix_shard", "row_hash", "_copy").alias("mix_order")
-    return taken.select(*[F.col("_row").getField(c).alias(c) for c in names], "mix_shard", order)
+    return taken.select("_row", "mix_shard", F.xxhash64(F.lit(seed), "mix_shard", "row_hash", "_copy").alias("mix_order"))
+
+
+def taken_rows(docs: DataFrame, **options) -> DataFrame:
+    """Each row of ``docs`` as often as the mix takes it, with its columns whatever their names."""
+    return _copies(docs, **options).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row as often as it is taken, with its columns and ``mix_shard``, ``mix_order``, which replace columns of these names.
+
+    Writing it partitioned by ``mix_shard`` and sorted by ``mix_order`` gives
+    the shards, each shuffled locally; repeats have orders of their own.
+    """
+    own = [c for c in docs.columns if c.lower() not in ("mix_shard", "mix_order")]
+    return _copies(docs, **options).select(*[F.col("_row").getField(c).alias(c) for c in own], "mix_shard", "mix_order")
