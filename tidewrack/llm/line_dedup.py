@@ -100,8 +100,8 @@ def candidates_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """cls, first (position of the first such line), n, tokens: the wanted classes."""
     one = lines.where("line is not null").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(_place()).alias("first"), F.first("line").alias("line"))
     hashed = one.select("cls", "first", _word_hashes(F.col("line")).alias("h"))
-    starts = F.sequence(F.lit(0), F.size("h") - WIDTH)
-    tokens = F.array_distinct(F.transform(starts, _token))
+    starts = F.slice("h", F.lit(1), F.size("h") - (WIDTH - 1))
+    tokens = F.array_distinct(F.transform(starts, lambda _, i: _token(i)))
     return hashed.select("cls", "first", tokens.alias("tokens")).select("cls", "first", F.size("tokens").cast("long").alias("n"), "tokens")
 
 
@@ -166,9 +166,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     candidates = materialize(candidates_of(lines, found), "line-candidates")
     matched = with_earlier_match(candidates).withColumn("matched", F.lit(True))
     places = lines.select("cls", "doc_id", "text_hash", "line_no")
-    classes = places.groupBy("cls").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("rows"))
-    classes = classes.join(matched, "cls", "left").where("rows > 1 or matched")
-    gone = places.join(classes, "cls").where(F.col("matched") | (_place() != F.col("first")))
+    classes = places.groupBy("cls").agg(F.count(F.lit(1)).alias("rows")).join(matched, "cls", "left").where("rows > 1 or matched")
+    near = materialize(places.join(classes.select("cls", "matched"), "cls"), "line-places")
+    firsts = near.where("matched is null").groupBy("cls").agg(F.min(_place()).alias("first"))
+    gone = near.join(firsts, "cls", "left").where(F.col("matched") | (_place() != F.col("first")))
     return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
@@ -186,7 +187,8 @@ def report(docs: DataFrame) -> DataFrame:
     a null doc_id come last. Very long texts are lines like others. Extra
     columns play no part. An empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"), F.greatest(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), F.lit(0)).alias("n_lines"))
+    ends = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    rows = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"), F.coalesce(ends + 1, F.lit(0)).alias("n_lines"))
     joined = _join_texts(rows, removed_lines(docs))
     return joined.select(F.col("_doc").alias("doc_id"), "n_lines", F.greatest(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
