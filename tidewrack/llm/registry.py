@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm import ann, bpe, license_scan, line_dedup, mixing, ngram_join, sharding, token_counts, topk, toxicity
+from tidewrack.llm import ann, bpe, license_scan, line_dedup, mixing, ngram_join, pieces, resampling, runs, sharding, token_counts, topk, toxicity
 from tidewrack.llm.tables import table
 
 #: The rank file that the queries use; operators take any path.
 RANK_FILE = "byte_bpe_50k.tiktoken"
+#: The model file of op12.
+PIECE_FILE = "piece_bpe_32k.model"
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +100,56 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def with_periodic_ends(docs: DataFrame) -> DataFrame:
+    """doc_id and text; a tenth of the documents, by their ids, get an end that repeats some of their words.
+
+    With h the crc32 of the id and g = floor(h / 10), these are the ones with
+    h % 10 = 0: from word g % n on, the p words there repeat to the end, p = 1 +
+    floor((n - a) / (3 + g % 8)). Rows without id or words stay.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0))
+    sized = chosen.withColumn("w", words).withColumn("n", F.size("w").cast("long"))
+    placed = sized.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    placed = placed.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    span = F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    left = F.col("n") - F.col("a")
+    ends = F.slice(F.flatten(F.array_repeat(span, F.ceil(left / F.col("p")).cast("int"))), F.lit(1), left.cast("int"))
+    changed = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), ends), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document's words: their number, the strongest, and digests of the list and of the text without repeats."""
+    found = runs.detect(with_periodic_ends(table(spark, sf_dir, "documents"))).drop("text")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    best = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's SentencePiece ids and of the text that they decode to."""
+    path = public_tokenizers.path(PIECE_FILE)
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    decoded = pieces.decode(encoded, path)
+    return decoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draw of 5 in 100 documents towards the benchmark texts: every document's weight, score and rank."""
+    found = resampling.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", F.col("rank").cast("long").alias("rank"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_exact_topk": op2_exact_topk,
@@ -109,6 +161,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "op11_runs": op11_runs,
+    "op12_pieces": op12_pieces,
+    "op13_resampling": op13_resampling,
 }
 
 _TEMPLATES = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in notice)) for notice in license_scan.NOTICES)
