@@ -37,6 +37,12 @@ def linked(s, t):
     return 4 * len(s & t) >= 3 * len(s | t)
 
 
+def linked_texts(s, t):
+    """As ``linked``, with fewer than five words as one shingle."""
+    s, t = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (s.lower().split(), t.lower().split()))
+    return 4 * len(s & t) >= 3 * len(s | t)
+
+
 def test_one_of_every_component(spark):
     rng = random.Random(5)
     rows = [(rng.choice([None, *range(12)]), text(f"n{rng.randrange(14)}x", rng.randrange(5))) for _ in range(90)]

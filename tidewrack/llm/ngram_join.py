@@ -431,13 +431,15 @@ def similar_groups(docs: DataFrame, part_shingles: int = PART_SHINGLES) -> DataF
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest doc_id (nulls last), then set key, then text digest.
 
-    Rows without links stay, null and wordless ones and those whose doc_id
-    another text has too. Of rows with equal doc_id and text one stays. Texts
-    are shuffled only where a row may go: the others are told apart by a
-    broadcast of bounded size.
+    Rows without links stay, among them those whose doc_id another text has too.
+    Null and wordless texts are in no component: all such rows stay, repeated
+    ones too. Of rows with equal doc_id and equal text that has words one stays.
+    An empty table gives an empty result. Columns may have any names. Texts are
+    shuffled only where a row may go: the others are told apart by a broadcast
+    of bounded size.
     """
-    marked = docs.withColumn("_digest", F.xxhash64("text"))
-    profiled, least = _grouped(marked, PART_SHINGLES, digest=True)
+    digest = F.xxhash64("text")
+    profiled, least = _grouped(docs.select("doc_id", "text", digest.alias("_digest")), PART_SHINGLES, digest=True)
     worded = profiled.where("cls is not null").select("doc_id", "_digest", "cls")
     # Decided by class and then by component, so that a large component is reduced before any join.
     lead = least.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("last"), "rep", "cls")).alias("x"))
@@ -445,10 +447,15 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rows = materialize(worded.join(decided, "cls"), "rows-by-class")
     first = rows.where(F.col("leads") & F.col("doc_id").eqNullSafe(F.col("rep"))).groupBy("cls").agg(F.min("_digest").alias("first"))
     later = rows.join(first, "cls", "left").where(~F.col("leads") | ~F.col("doc_id").eqNullSafe(F.col("rep")) | (F.col("_digest") != F.col("first")))
-    gone = materialize(later.select("doc_id", "_digest").distinct(), "later-copies")
-    twice = materialize(profiled.groupBy("doc_id", "_digest").count().where("count > 1").select("doc_id", "_digest"), "repeated-rows")
-    key = F.xxhash64("doc_id", "_digest")
-    hit, untouched = maybe_in(marked, key, gone.unionAll(twice), key)
-    rest = gone.select(F.col("doc_id").alias("_doc"), F.col("_digest").alias("_gone"))
-    kept = hit.join(rest, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_digest") == F.col("_gone")), "left_anti").dropDuplicates(["doc_id", "text"])
-    return untouched.select(docs.columns).unionByName(kept.select(docs.columns))
+    gone = later.select("doc_id", "_digest", F.lit(True).alias("goes")).distinct()
+    twice = rows.groupBy("doc_id", "_digest").count().where("count > 1").select("doc_id", "_digest", F.lit(False).alias("goes"))
+    # A row that goes does so however often it is there.
+    marked = gone.unionAll(twice).groupBy(F.col("doc_id").alias("of"), F.col("_digest").alias("text_of")).agg(F.max("goes").alias("goes"))
+    marked = materialize(marked, "marked-rows")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), digest.alias("digest"))
+    hit, untouched = maybe_in(packed, F.xxhash64("id", "digest"), marked, F.xxhash64("of", "text_of"))
+    told = hit.join(marked, F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("text_of")), "left").select("row", "id", "digest", "goes")
+    single = told.where("goes is null").select("row")
+    one = told.where("not goes").groupBy("id", "digest").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
+    kept = untouched.select("row").unionAll(single).unionAll(one)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
