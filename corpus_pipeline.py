@@ -20,6 +20,8 @@ from tidewrack.session import materialize
 
 #: Two stages train a model or draw a mix, which SQL cannot express; tests compare the stages with brute force.
 ORACLE_SQL = None
+#: What the last stage adds.
+ADDED = ("n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,12 +64,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of ``docs`` but for text, with n_tokens, token_ids, ids_sha256 and decoded_sha256; columns already named like these are replaced.
 
-    Null and empty texts have no ids.
+    Null and empty texts have no ids. Every row stays, repeated ones too.
     """
     path, pattern = public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
-    encoded = bpe.encode(docs.drop("decoded"), path, pattern).drop("text")
-    decoded = bpe.decode(encoded, path, pattern)
-    return decoded.withColumn("ids_sha256", F.sha2("token_ids", 256)).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    own = [c for c in docs.columns if c.lower() not in ("text", *ADDED)]
+    packed = docs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in own]).alias("row"), "text")
+    encoded = bpe.encode(packed, path, pattern).drop("text")
+    decoded = bpe.decode(encoded, path, pattern).withColumn("ids_sha256", F.sha2("token_ids", 256)).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    return decoded.select(*[F.col("row").getField(c).alias(c) for c in own], *ADDED)
 
 
 STAGES = [
