@@ -175,38 +175,3 @@ def components(edges: DataFrame) -> DataFrame:
         now = nxt
         if still:
             return now
-
-
-def resolve_exports(local: DataFrame, stars: DataFrame, wanted: DataFrame, modules: DataFrame) -> DataFrame:
-    """module, name, state (found, not_found, ambiguous, unknown), origin of every wanted export.
-
-    ``local`` has module, name and origin (own exports), ``stars`` module and
-    target (export * from). An explicit export hides stars, ``default`` never
-    comes through one, a star to a module outside ``modules`` makes the rest
-    unknown, unknown beats ambiguous, and two origins are ambiguous. Names
-    travel along stars until no module gains one.
-    """
-    inside = modules.select(F.col("module").alias("target")).distinct()
-    open_ = stars.join(inside, "target", "left_anti").select("module").distinct()
-    known = stars.join(inside, "target", "left_semi").select("module", "target").distinct()
-    blind = reachable(known.select(F.col("target").alias("src"), F.col("module").alias("dst")), open_, "module").withColumn("blind", F.lit(True))
-    own = local.select("module", "name", "origin").distinct()
-    explicit = own.select("module", "name").distinct()
-    seen = materialize(own, "exports")
-    front = seen
-    while True:
-        come = known.join(front.where("name <> 'default'").withColumnRenamed("module", "target"), "target").select("module", "name", "origin").distinct()
-        come = come.join(explicit, ["module", "name"], "left_anti").join(seen, ["module", "name", "origin"], "left_anti")
-        front = materialize(come, "exports-front")
-        if front.isEmpty():
-            break
-        seen = materialize(seen.unionAll(front), "exports")
-    origins = seen.groupBy("module", "name").agg(F.countDistinct("origin").alias("n"), F.min("origin").alias("origin"))
-    shown = explicit.withColumn("explicit", F.lit(True))
-    rows = wanted.select("module", "name").distinct().join(origins, ["module", "name"], "left").join(blind, "module", "left").join(shown, ["module", "name"], "left")
-    state = (
-        F.when(F.col("explicit"), F.when(F.col("n") > 1, "ambiguous").otherwise("found"))
-        .when(F.col("blind") & (F.col("name") != "default"), "unknown")
-        .when(F.col("n") > 1, "ambiguous").when(F.col("n") == 1, "found").otherwise("not_found")
-    )
-    return rows.select("module", "name", state.alias("state"), F.when(state == "found", F.col("origin")).alias("origin"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewrack.functions import paths
+
 
 def first_match(cases: list[tuple[str, Column]], otherwise: str = "plain") -> Column:
     """The name of the first predicate that holds, in the given order."""
@@ -154,26 +156,34 @@ def plurality(votes: DataFrame, key: list[str], name: str) -> DataFrame:
     return counted.withColumn("_k", F.row_number().over(least_first)).where("_k = 1").drop("_k")
 
 
-def lookup_by_variants(specifiers: DataFrame, facts: DataFrame, spec: str, key: str) -> DataFrame:
-    """Every specifier with the key that its best variant finds, or null.
+def lookup_by_variants(specifiers: DataFrame, facts: DataFrame, spec: str, key: str, base: str | None = None, narrow: bool = False) -> DataFrame:
+    """Every specifier with the key that its best variant finds, or null, as ``resolved``.
 
-    Variants in order: the name itself; with .js, then .jsx, if it has no script
-    extension; without .js, then without .jsx. One join on the exploded
-    variants, then the best priority of each specifier.
+    With ``base``, the column of the importing file, a relative specifier means a
+    path from there first, and only where that finds nothing the text as
+    written. Variants in order: the name itself; with .js, then .jsx, if it has
+    no script extension; without .js, then without .jsx. With ``narrow`` there
+    are only the path from the file as it is and with .js. One join on the
+    exploded variants, then the least (stage, priority) of each specifier.
     """
-    bare = F.regexp_replace(spec, r"^(\./)+", "")
-    known = bare.rlike(r"\.(js|jsx|mjs|cjs|ts|tsx)$")
-    options = F.filter(
-        F.array(
-            F.struct(F.lit(0).alias("prio"), bare.alias("name")),
-            F.struct(F.lit(1).alias("prio"), F.when(~known, F.concat(bare, F.lit(".js"))).alias("name")),
-            F.struct(F.lit(2).alias("prio"), F.when(~known, F.concat(bare, F.lit(".jsx"))).alias("name")),
-            F.struct(F.lit(3).alias("prio"), F.when(bare.endswith(".js"), F.regexp_replace(bare, r"\.js$", "")).alias("name")),
-            F.struct(F.lit(4).alias("prio"), F.when(bare.endswith(".jsx"), F.regexp_replace(bare, r"\.jsx$", "")).alias("name")),
-        ),
-        lambda x: x["name"].isNotNull(),
-    )
-    tried = specifiers.select(spec).distinct().select(spec, F.explode(options).alias("o"))
-    hits = tried.join(facts.select(F.col(key).alias("_key")).distinct(), F.col("o.name") == F.col("_key"))
-    best = hits.groupBy(spec).agg(F.min_by("_key", "o.prio").alias("resolved"))
-    return specifiers.join(best, spec, "left")
+    options = []
+    if base is not None:
+        path = paths.resolve_relative(F.replace(F.col(base), F.lit("\\"), F.lit("/")), F.col(spec))
+        options += [(path, None), (F.concat(path, F.lit(".js")), None)] if narrow else _variants(path)
+    if base is None or not narrow:
+        options += _variants(F.regexp_replace(spec, r"^\./", ""))
+    tried = F.filter(F.array(*[F.struct(F.lit(i).alias("prio"), (name if when is None else F.when(when, name)).alias("name")) for i, (name, when) in enumerate(options)]), lambda x: x["name"].isNotNull())
+    of = [spec] if base is None else [base, spec]
+    exploded = specifiers.select(*of).distinct().select(*of, F.explode(tried).alias("o"))
+    hits = exploded.join(facts.select(F.col(key).alias("_key")).distinct(), F.col("o.name") == F.col("_key"))
+    best = hits.groupBy(*of).agg(F.min_by("_key", "o.prio").alias("resolved"))
+    return specifiers.join(best, of, "left")
+
+
+def _variants(name: Column) -> list[tuple[Column, Column | None]]:
+    """Names to try in order, each with the condition on which it is tried."""
+    bare = ~name.rlike(r"\.(js|jsx|mjs|cjs|ts|tsx)$")
+    return [
+        (name, None), (F.concat(name, F.lit(".js")), bare), (F.concat(name, F.lit(".jsx")), bare),
+        (F.regexp_replace(name, r"\.js$", ""), name.endswith(".js")), (F.regexp_replace(name, r"\.jsx$", ""), name.endswith(".jsx")),
+    ]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions import names, paths
 from tidewrack.operators import facts, graphs, keys, ranges
+from tidewrack.plans import modules
 from tidewrack.sources import scripts, sinks
 
 FLAGSHIP = "script_inventory"
@@ -216,15 +217,6 @@ def _named_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).withColumnRenamed("l_suppkey", "provider")
 
 
-def export_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers export what they shipped with flag A and re-export one another (the ones at twice and thrice their number); asked for is what they shipped with flag R."""
-    supplier = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("module"))
-    line = _named_lines(spark, sf_dir).withColumnRenamed("provider", "module")
-    local = line.where("l_returnflag = 'A'").select("module", "name").distinct().withColumn("origin", F.col("module"))
-    stars = supplier.where("module > 1").select("module", F.explode(F.array(F.col("module") * 2, F.col("module") * 3)).alias("target"))
-    return graphs.resolve_exports(local, stars, line.where("l_returnflag = 'R'").select("module", "name"), supplier)
-
-
 def import_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names asked of suppliers that only their default export can mean."""
     line = _named_lines(spark, sf_dir)
@@ -322,10 +314,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         script_inventory, free_call_counts, first_match_format, unique_id_map, composite_unique_map, agree_or_drop, rename_map, dedup_suffix, specifier_join, dangling_refs,
         duplicate_exports, first_declared, prune_stale, all_props_exported, name_vote, range_coalesce, range_map_lead, asof_lookup, band_shared, mutual_refs,
         reference_components, scc_cycles, alive_declarations, transitive_purity, drop_cascade, reference_components_all, scc_cycles_all,
-        alive_declarations_all, transitive_purity_all, drop_cascade_all, passthrough_chain, export_resolution, graph_base36, resolve_paths, provenance,
+        alive_declarations_all, transitive_purity_all, drop_cascade_all, passthrough_chain, graph_base36, resolve_paths, provenance,
         import_repairs, namespace_repairs, unused_imports, public_path_claims, reference_edges, lone_references, missing_imports, illegal_writes, identifier_names, cycle_witness,
     )
 }
+QUERIES |= modules.QUERIES
 
 _SCRIPTS = r"""scripts AS (
     SELECT page_id, u.i - 1 AS script_idx, m[u.i] AS code
@@ -403,18 +396,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT node FROM cand WHERE node NOT IN (SELECT node FROM r)""",
     "passthrough_chain": """SELECT src, final FROM (SELECT o_orderkey AS src, last_value(o_orderkey) OVER w AS final, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nxt
         FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE nxt IS NOT NULL""",
-    "export_resolution": f"""WITH RECURSIVE {_NAMED}, local AS (SELECT DISTINCT provider AS module, name FROM named WHERE l_returnflag = 'A'),
-        stars AS (SELECT s_suppkey AS module, s_suppkey * k AS target FROM supplier, (VALUES (2), (3)) AS t(k) WHERE s_suppkey > 1),
-        known AS (SELECT module, target FROM stars WHERE target IN (SELECT s_suppkey FROM supplier)),
-        blind AS (SELECT module FROM stars WHERE target NOT IN (SELECT s_suppkey FROM supplier) UNION SELECT k.module FROM blind b JOIN known k ON k.target = b.module),
-        seen AS (SELECT module, name, module AS origin FROM local
-            UNION SELECT k.module, s.name, s.origin FROM seen s JOIN known k ON k.target = s.module
-            WHERE NOT EXISTS (SELECT 1 FROM local l WHERE l.module = k.module AND l.name = s.name)),
-        o AS (SELECT module, name, count(DISTINCT origin) AS n, min(origin) AS origin FROM seen GROUP BY module, name),
-        r AS (SELECT w.module, w.name, o.n, o.origin, w.module IN (SELECT module FROM blind) AS is_blind, EXISTS (SELECT 1 FROM local l WHERE l.module = w.module AND l.name = w.name) AS own
-            FROM (SELECT DISTINCT provider AS module, name FROM named WHERE l_returnflag = 'R') w LEFT JOIN o ON o.module = w.module AND o.name = w.name),
-        s AS (SELECT *, CASE WHEN own THEN 'found' WHEN is_blind THEN 'unknown' WHEN n > 1 THEN 'ambiguous' WHEN n = 1 THEN 'found' ELSE 'not_found' END AS state FROM r)
-        SELECT module, name, state, CASE WHEN state = 'found' THEN origin END AS origin FROM s""",
     "graph_base36": """WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)
         SELECT a.o_custkey, a.o_orderkey AS src, b.o_orderkey AS dst FROM p a JOIN p b ON a.o_custkey = b.o_custkey AND b.i = a.i - 1
         UNION ALL SELECT a.o_custkey, a.o_orderkey, b.o_orderkey FROM p a JOIN p b ON a.o_custkey = b.o_custkey AND a.i > 2 AND b.i = a.i // 2""",
@@ -444,3 +425,4 @@ ORACLE_SQL: dict[str, str] = {
     "provenance": """SELECT l_orderkey, (length('{"l_orderkey":' || l_orderkey || ',"ranges":[]}') + sum(length('{"start":' || l_linenumber || ',"stop":' || l_partkey || '}')) + count(*) - 1)::INTEGER AS n_chars,
         min(l_linenumber)::INTEGER AS first_start FROM lineitem GROUP BY l_orderkey""",
 }
+ORACLE_SQL |= modules.ORACLE_SQL
