@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.operators import keys
-from tidewrack.session import materialize
+from tidewrack.session import Rounds, materialize
 
 #: The binding that a namespace object counts as; no module can declare it.
 NAMESPACE = "*namespace*"
@@ -67,27 +67,28 @@ def resolve_exports(exports: DataFrame, stars: DataFrame, wanted: DataFrame, mod
     first = materialize(first.select(*_KEY, F.lit(True).alias("explicit"), "x.*"), "explicit-exports")
 
     asked = wanted.select(*_KEY).distinct()
-    steps = [materialize(_expanded(asked, shape, first), "export-steps")]
-    while not steps[-1].isEmpty():
-        onward = steps[-1].select(F.explode("next").alias("k")).select("k.*").distinct()
-        fresh = onward.join(_union(steps).select(*_KEY), _KEY, "left_anti")
-        steps.append(materialize(_expanded(fresh, shape, first), "export-steps"))
+    steps = Rounds(asked.sparkSession, "export-steps")
+    last = steps.add(_expanded(asked, shape, first))
+    while not last.isEmpty():
+        onward = last.select(F.explode("next").alias("k")).select("k.*").distinct()
+        last = steps.add(_expanded(onward.join(steps.all().select(*_KEY), _KEY, "left_anti"), shape, first))
 
-    known = _union(steps)
+    known = steps.all()
     links = known.select(*_KEY, F.explode("next").alias("k")).select(*_KEY, F.col("k.module").alias("to_module"), F.col("k.name").alias("to_name"))
-    learnt = [materialize(known.where("unknown or origin is not null").select(*_KEY, "unknown", F.col("origin").alias("low"), F.col("origin").alias("high")), "export-origins")]
+    learnt = Rounds(asked.sparkSession, "export-origins")
+    last = learnt.add(known.where("unknown or origin is not null").select(*_KEY, "unknown", F.col("origin").alias("low"), F.col("origin").alias("high")))
 
     def merged(rows: DataFrame) -> DataFrame:
         return rows.groupBy(*_KEY).agg(F.max("unknown").alias("unknown"), F.min("low").alias("low"), F.max("high").alias("high"))
 
-    while not learnt[-1].isEmpty():
-        news = learnt[-1].select(F.col("module").alias("to_module"), F.col("name").alias("to_name"), "unknown", "low", "high")
+    while not last.isEmpty():
+        news = last.select(F.col("module").alias("to_module"), F.col("name").alias("to_name"), "unknown", "low", "high")
         came = merged(links.join(news, ["to_module", "to_name"]).select(*_KEY, "unknown", "low", "high"))
-        held = merged(_union(learnt)).select(*_KEY, F.col("unknown").alias("was"), F.col("low").alias("least"), F.col("high").alias("most"))
+        held = merged(learnt.all()).select(*_KEY, F.col("unknown").alias("was"), F.col("low").alias("least"), F.col("high").alias("most"))
         more = (F.col("unknown") & ~F.col("was")) | (F.col("low") < F.col("least")) | (F.col("high") > F.col("most")) | (F.col("least").isNull() & F.col("low").isNotNull())
-        learnt.append(materialize(came.join(held, _KEY, "left").where(F.col("was").isNull() | more).select(*_KEY, "unknown", "low", "high"), "export-origins"))
+        last = learnt.add(came.join(held, _KEY, "left").where(F.col("was").isNull() | more).select(*_KEY, "unknown", "low", "high"))
 
-    rows = asked.join(merged(_union(learnt)), _KEY, "left")
+    rows = asked.join(merged(learnt.all()), _KEY, "left")
     state = F.when(F.col("unknown"), "unknown").when(F.col("low") != F.col("high"), "ambiguous").when(F.col("low").isNotNull(), "found").otherwise("not_found")
     found = rows.select(*_KEY, state.alias("state"), "low")
     return found.select(*_KEY, "state", *(F.when(F.col("state") == "found", F.col("low")[c]).alias(f"origin_{c}") for c in ("module", "binding")))

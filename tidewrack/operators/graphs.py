@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.session import materialize
+from tidewrack.session import Rounds, materialize
 
 
 def reference_edges(items: DataFrame, item: str, declared: str, referenced: str) -> DataFrame:
@@ -30,14 +30,12 @@ def mutual(edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame, node: str = "node") -> DataFrame:
     """Nodes that the seeds reach along edges (src, dst), themselves included."""
     links = materialize(edges.select("src", "dst").distinct(), "reach-edges")
-    found = materialize(seeds.select(F.col(seeds.columns[0]).alias(node)).distinct(), "reach")
-    front = found
-    while True:
+    found = Rounds(edges.sparkSession, "reach")
+    front = found.add(seeds.select(F.col(seeds.columns[0]).alias(node)).distinct())
+    while not front.isEmpty():
         step = links.join(front, links["src"] == front[node]).select(F.col("dst").alias(node)).distinct()
-        front = materialize(step.join(found, node, "left_anti"), "reach-front")
-        if front.isEmpty():
-            return found
-        found = materialize(found.unionAll(front), "reach")
+        front = found.add(step.join(found.all(), node, "left_anti"))
+    return found.all()
 
 
 def transitively_pure(nodes: DataFrame, imports: DataFrame) -> DataFrame:

@@ -66,6 +66,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """Rows of the rounds of a loop, a folder a round under one folder; what a round adds is written once, and all rounds are one table."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.path, self.count = spark, f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}", 0
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write a round's rows and read them back."""
+        self.schema = df.schema
+        self.count += 1
+        df.write.parquet(f"{self.path}/{self.count}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self.count}")
+
+    def all(self) -> DataFrame:
+        """The rows of all rounds so far."""
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote for ``df``; call it once everything that reads it is stored."""
     spark = df.sparkSession
