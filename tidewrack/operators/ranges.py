@@ -75,3 +75,44 @@ def band_pairs(df: DataFrame, key: str, position: str, reach: int, same: Column
     pairs = first.join(second, (F.col(key) == F.col(f"{key}_b")) & (F.col("_bucket") == F.col("_bucket_b"))).where((gap >= 1) & (gap <= reach))
     pairs = pairs.drop("_bucket", "_bucket_b")
     return pairs if same is None else pairs.where(same)
+
+
+def numbered(df: DataFrame, key: list[str], order: list[str], width: int, out: str) -> DataFrame:
+    """``df`` with the number (from 1) of each row among those of its key, in ``order``, the first of which is a number.
+
+    Rows are numbered within buckets of ``width`` of that number, and the
+    buckets' sizes are added up, so that a hot key is spread.
+    """
+    dealt = df.withColumn("_bucket", F.floor(F.col(order[0]) / width))
+    within = F.row_number().over(Window.partitionBy(*key, "_bucket").orderBy(*order))
+    sizes = dealt.groupBy(*key, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*key, "_bucket", before.alias("_before"))
+    return dealt.withColumn(out, within).join(starts, [*key, "_bucket"]).withColumn(out, F.col(out) + F.col("_before")).drop("_bucket", "_before")
+
+
+def with_last_before(df: DataFrame, key: str, order: list[str], width: int, columns: list[str], suffix: str = "_before") -> DataFrame:
+    """``df`` with the last value that is not null of each column in the rows of the key before, in ``order``, the first of which is a number.
+
+    Windows run within buckets of ``width`` of that number; the last values of
+    the buckets before are carried on bucket by bucket.
+    """
+    dealt = df.withColumn("_bucket", F.floor(F.col(order[0]) / width))
+    inside = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = dealt.groupBy(key, "_bucket").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in columns])
+    carried = lasts.select(key, "_bucket", *[F.last(c, ignorenulls=True).over(across).alias(f"_carried_{c}") for c in columns])
+    seen = dealt.select("*", *[F.last(c, ignorenulls=True).over(inside).alias(f"_seen_{c}") for c in columns]).join(carried, [key, "_bucket"])
+    return seen.select(*df.columns, *[F.coalesce(f"_seen_{c}", f"_carried_{c}").alias(f"{c}{suffix}") for c in columns])
+
+
+def with_running_sums(df: DataFrame, key: str, order: list[str], width: int, columns: list[str]) -> DataFrame:
+    """``df`` with each column replaced by its sum over the rows of the key up to this one (nulls count nothing), in ``order``; bucketed like ``with_last_before``."""
+    dealt = df.withColumn("_bucket", F.floor(F.col(order[0]) / width))
+    inside = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    sums = dealt.groupBy(key, "_bucket").agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in columns])
+    carried = sums.select(key, "_bucket", *[F.coalesce(F.sum(c).over(across), zero).alias(f"_carried_{c}") for c in columns])
+    summed = dealt.select("*", *[F.coalesce(F.sum(c).over(inside), zero).alias(f"_sum_{c}") for c in columns]).join(carried, [key, "_bucket"])
+    return summed.select(*[c for c in df.columns if c not in columns], *[(F.col(f"_sum_{c}") + F.col(f"_carried_{c}")).alias(c) for c in columns])

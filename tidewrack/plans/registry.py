@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions import names, paths
 from tidewrack.operators import facts, graphs, keys, ranges
-from tidewrack.plans import modules
+from tidewrack.plans import modules, renames
 from tidewrack.sources import scripts, sinks
 
 FLAGSHIP = "script_inventory"
@@ -318,7 +318,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         import_repairs, namespace_repairs, unused_imports, public_path_claims, reference_edges, lone_references, missing_imports, illegal_writes, identifier_names, cycle_witness,
     )
 }
-QUERIES |= modules.QUERIES
+QUERIES |= modules.QUERIES | renames.QUERIES
 
 _SCRIPTS = r"""scripts AS (
     SELECT page_id, u.i - 1 AS script_idx, m[u.i] AS code
@@ -417,7 +417,7 @@ ORACLE_SQL: dict[str, str] = {
     "illegal_writes": """SELECT o_custkey, o_orderkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'import' ELSE 'const' END AS kind FROM orders JOIN customer ON c_custkey = o_custkey
         WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')""",
     "identifier_names": r"""WITH w AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size || ' ' || p_type WHEN 1 THEN replace(p_name, ' ', '_') ELSE 'delete' END AS raw FROM part)
-        SELECT p_partkey, p_partkey % 3 = 1 AS valid, CASE p_partkey % 3 WHEN 0 THEN '_' || replace(raw, ' ', '_') WHEN 1 THEN raw ELSE 'delete_' END AS name FROM w""",
+        SELECT p_partkey, p_partkey % 3 = 1 AS valid, CASE p_partkey % 3 WHEN 0 THEN '_' || replace(raw, ' ', '') WHEN 1 THEN raw ELSE '_delete' END AS name FROM w""",
     "resolve_paths": r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) AS path FROM pages),
         d AS (SELECT *, string_split(path, '/') AS s FROM p)
         SELECT page_id, CASE WHEN len(s) >= 2 THEN array_to_string(list_concat(s[1 : len(s) - 2], ['lib', 'util.js']), '/') END AS resolved,
@@ -425,4 +425,4 @@ ORACLE_SQL: dict[str, str] = {
     "provenance": """SELECT l_orderkey, (length('{"l_orderkey":' || l_orderkey || ',"ranges":[]}') + sum(length('{"start":' || l_linenumber || ',"stop":' || l_partkey || '}')) + count(*) - 1)::INTEGER AS n_chars,
         min(l_linenumber)::INTEGER AS first_start FROM lineitem GROUP BY l_orderkey""",
 }
-ORACLE_SQL |= modules.ORACLE_SQL
+ORACLE_SQL |= modules.ORACLE_SQL | renames.ORACLE_SQL
