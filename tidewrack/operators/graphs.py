@@ -8,6 +8,8 @@ number of nodes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,46 +89,68 @@ def follow_chain(links: DataFrame, limit: int = 64) -> DataFrame:
     return moved.join(still, "final", "left_anti").select("src", "final")
 
 
+def least_ancestors(links: DataFrame, label: str) -> DataFrame:
+    """node, ``label``: the smallest node that reaches each node of ``links`` (src, dst), itself included.
+
+    A node's label reaches it, and so does the label of that node: labels go one
+    edge on and jump to their own label in every round, so rounds grow far less
+    than paths.
+    """
+    nodes = links.select(F.col("src").alias("node")).unionAll(links.select(F.col("dst").alias("node"))).distinct()
+    now = materialize(nodes.select("node", F.col("node").alias("c"), F.lit(True).alias("moved")), "labels")
+    while True:
+        # Only labels that moved can move others over an edge.
+        news = now.where("moved")
+        if news.isEmpty():
+            return now.select("node", F.col("c").alias(label))
+        came = links.join(news.select(F.col("node").alias("src"), "c"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("d"))
+        nxt = now.select("node", F.col("c").alias("was")).join(came, "node", "left").select("node", "was", F.least("was", "d").alias("c"))
+        own = nxt.select(F.col("node").alias("c"), F.col("c").alias("j"))
+        nxt = nxt.join(own, "c").select("node", F.least("c", "j").alias("c"), (F.least("c", "j") < F.col("was")).alias("moved"))
+        now = materialize(nxt, "labels")
+
+
+def _peeled(links: DataFrame) -> DataFrame:
+    """``links`` without edges from nodes that none enters and to nodes that none leaves, as long as a round takes a tenth of them."""
+    size = links.count()
+    while size:
+        ends = links.select(F.col("src").alias("node")).distinct().join(links.select(F.col("dst").alias("node")).distinct(), "node")
+        links = materialize(links.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi"), "scc-edges")
+        was, size = size, links.count()
+        if 10 * size > 9 * was:
+            break
+    return links
+
+
 def strong_components(edges: DataFrame, label: str = "component") -> DataFrame:
     """node, component (its smallest node), size: strongly connected components of two nodes or more, and nodes with a self edge.
 
-    Nodes without a way in or out are peeled off first. Then the smallest label
-    that reaches a node forwards and backwards settles one component per colour
-    and round, and the rest goes on.
+    Let c be the smallest node that reaches a node. Components lie within nodes
+    of one c, and c is the smallest of these. Within them let b be the smallest
+    node that a node reaches: where b is c, the node is of c's component. All
+    others go on with the edges whose ends agree in c and b. A round settles
+    every c, and where paths lead on without a cycle b tells the nodes apart.
     """
     loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
-    left = materialize(edges.where("src <> dst").select("src", "dst").distinct(), "scc-edges")
-    parts = None
-    while True:
-        while True:
-            trimmed = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-            trimmed = materialize(trimmed.select("src", "dst"), "scc-edges")
-            same = trimmed.count() == left.count()
-            left = trimmed
-            if same:
-                break
-        if left.isEmpty():
-            break
-        colour = materialize(left.select(F.col("src").alias("node")).distinct().withColumn("c", F.col("node")), "scc-colour")
-        while True:
-            seen = left.join(colour, left["src"] == colour["node"]).groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("d"))
-            nxt = materialize(colour.join(seen, "node", "left").select("node", F.least("c", F.coalesce("d", "c")).alias("c")), "scc-colour")
-            changed = nxt.join(colour.withColumnRenamed("c", "was"), "node").where("c <> was").isEmpty()
-            colour = nxt
-            if changed:
-                break
-        inner = left.join(colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd")
-        back = materialize(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "scc-back")
-        own = reachable(back, colour.where("node = c").select("node")).join(colour, "node").select("node", F.col("c").alias(label))
-        own = materialize(own, "scc-part")
-        parts = own if parts is None else parts.unionAll(own)
-        left = materialize(left.join(own.select(F.col("node").alias("src")), "src", "left_anti").join(own.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "scc-edges")
-        if left.isEmpty():
-            break
-    if parts is None:
-        parts = loops.select("node", F.col("node").alias(label)).limit(0)
-    sizes = parts.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
-    large = parts.join(sizes, label).where("size > 1").select("node", label, "size")
+    left = _peeled(materialize(edges.where("src <> dst").select("src", "dst").distinct(), "scc-edges"))
+    parts = []
+    while not left.isEmpty():
+        ancestors = least_ancestors(left, "c")
+
+        def within(links: DataFrame, told: DataFrame, name: str) -> DataFrame:
+            both = links.join(told.select(F.col("node").alias("src"), name), "src").join(told.select(F.col("node").alias("dst"), F.col(name).alias("_other")), "dst")
+            return both.where(F.col(name) == F.col("_other")).select("src", "dst")
+
+        inner = materialize(within(left, ancestors, "c"), "scc-inner")
+        reached = least_ancestors(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "b").join(ancestors, "node")
+        reached = materialize(reached, "scc-labels")
+        parts.append(reached.where("b = c").select("node", F.col("c").alias(label)))
+        left = _peeled(materialize(within(inner, reached.where("b <> c"), "b"), "scc-edges"))
+    if not parts:
+        parts = [loops.select("node", F.col("node").alias(label)).limit(0)]
+    settled = reduce(DataFrame.unionAll, parts)
+    sizes = settled.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
+    large = settled.join(sizes, label).where("size > 1").select("node", label, "size")
     alone = loops.join(large.select("node"), "node", "left_anti").select("node", F.col("node").alias(label), F.lit(1).cast("long").alias("size"))
     return large.unionAll(alone)
 
@@ -160,16 +184,28 @@ def cycle_witnesses(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of the undirected graph, by minimum labels that also jump over their own label."""
-    both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = materialize(both, "cc-edges")
-    now = materialize(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")), "cc")
+    """node, component (its smallest node) of the undirected graph of ``edges`` (src, dst).
+
+    Two steps alternate until nothing changes: every node points its larger
+    neighbours to the smallest node it sees, then its smaller neighbours too.
+    Rounds grow with the logarithm of a component's diameter; each is a table in
+    the shared folder. Nodes with self edges only are components of their own.
+    """
+    links = edges.where("src <> dst")
+    now = materialize(links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "cc")
+    state = None
     while True:
-        near = both.join(now, both["dst"] == now["node"]).groupBy(both["src"].alias("node")).agg(F.min("component").alias("m"))
-        nxt = now.join(near, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
-        jump = nxt.select(F.col("node").alias("component"), F.col("component").alias("j"))
-        nxt = materialize(nxt.join(jump, "component", "left").select("node", F.least("component", F.coalesce("j", "component")).alias("component")), "cc")
-        still = nxt.join(now.withColumnRenamed("component", "was"), "node").where("component <> was").isEmpty()
-        now = nxt
-        if still:
-            return now
+        seen = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u")).alias("y")).first()
+        if seen == state:  # the edges are stars, and the steps return them
+            break
+        state = seen
+        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        now = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "cc")
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    linked = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+    alone = edges.where("src = dst").select(F.col("src").alias("node")).distinct().join(linked, "node", "left_anti")
+    return linked.unionAll(alone.select("node", F.col("node").alias("component")))
