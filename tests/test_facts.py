@@ -11,13 +11,20 @@ from tidewrack.sources import mappings
 
 
 def test_planned_paths(spark):
-    rows = spark.createDataFrame([("src/a/x.js",), ("src/a/y.js",), ("src/ab/z.js",)], "path string")
-    assert sorted(r.public_path for r in facts.planned_paths(rows, "path").collect()) == ["a/x.js", "a/y.js", "ab/z.js"]
-    one = spark.createDataFrame([("src/a/x.js",)], "path string")
-    assert [r.public_path for r in facts.planned_paths(one, "path").collect()] == ["x.js"]
-    assert facts.planned_paths(rows.limit(0), "path").count() == 0
-    with pytest.raises(ValueError, match="2 modules claim 'src/a/x.js'"):
-        facts.planned_paths(rows.unionAll(spark.createDataFrame([("src/A/X.js",)], "path string")), "path")
+    def plan(*names, **kept):
+        rows = spark.createDataFrame([(n,) for n in names], "path string")
+        return {r.path: r.public_path for r in facts.planned_paths(rows, "path", **kept).collect()}
+
+    assert plan("/a/b/x.js", "/a/b/y.js", "rel/z.js") == {"/a/b/x.js": "x.js", "/a/b/y.js": "y.js", "rel/z.js": "rel/z.js"}
+    assert plan("/a/b/x.js", "/a/./bc/../bc/y.js") == {"/a/b/x.js": "b/x.js", "/a/./bc/../bc/y.js": "bc/y.js"}
+    assert plan("src/x.js", "../../pkg/y.js", "./src//z.js") == {"src/x.js": "src/x.js", "../../pkg/y.js": "pkg/y.js", "./src//z.js": "src/z.js"}
+    assert plan("/a/x.js", "/b/y.js", claims=F.col("path") == "/b/y.js") == {"/a/x.js": None, "/b/y.js": "b/y.js"}
+    assert plan("/a/x.js") == {"/a/x.js": None} and plan() == {}
+    for clash in (("/a/./x.js", "/a/x.js"), ("/a/b/x.js", "X.js", "/a/b/y.js"), ("lib/x.js", "../lib/x.js")):
+        with pytest.raises(ValueError, match="2 modules claim"):
+            plan(*clash)
+    with pytest.raises(ValueError, match="no public path"):
+        plan("..", "a.js")
 
 
 def test_default_repairs(spark):

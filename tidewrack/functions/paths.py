@@ -28,6 +28,17 @@ def resolve_relative(base: Column, spec: Column) -> Column:
     return F.when(relative & walked["ok"], F.array_join(walked["path"], "/"))
 
 
+def normalise(path: Column) -> Column:
+    """A path without . and empty steps, in which .. takes the step before it away; where there is none it stays. An absolute path stays one."""
+
+    def walk(done, step):
+        up = F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array(step))
+        return F.when(step == "..", up).otherwise(F.concat(done, F.array(step)))
+
+    steps = F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(F.aggregate(steps, F.array().cast("array<string>"), walk), "/"))
+
+
 def sanitise(path: Column) -> Column:
     """A path without empty, . and .. segments."""
     return F.array_join(F.filter(F.split(path, "/"), lambda s: ~s.isin("", ".", "..")), "/")

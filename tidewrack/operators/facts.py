@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewrack.functions import paths
+
 
 def default_repairs(imports: DataFrame, providers: DataFrame, named: DataFrame, attached: DataFrame) -> DataFrame:
     """Named imports that mean a property of the provider's default export.
@@ -38,18 +40,34 @@ def path_claims(modules: DataFrame, path: Column) -> DataFrame:
     return modules.groupBy(F.lower(path).alias("path")).agg(F.count(F.lit(1)).alias("claims")).where("claims > 1")
 
 
-def planned_paths(modules: DataFrame, path: str) -> DataFrame:
-    """``modules`` with public_path, their path below the common root; a path that two modules claim is an error.
+def planned_paths(modules: DataFrame, path: str, claims: Column | None = None) -> DataFrame:
+    """``modules`` with public_path: where each that ``claims`` one (all, by default) stands among the others; null for the rest, and where there are fewer than two modules.
 
-    The common prefix of all paths is that of the smallest and the largest.
+    Paths are normalised. The folder that all absolute ones share is taken off
+    them, relative ones neither have a part in it nor lose anything but leading
+    .. steps. Two modules that claim one path, in any case, are an error, and so
+    is a path of which nothing is left.
     """
-    clash = path_claims(modules, F.col(path)).orderBy("path").first()
+    told = modules.withColumn("_path", paths.normalise(F.col(path)))
+    folder = F.regexp_extract("_path", r"\A(.*/)[^/]*\z", 1)
+    # The common start of all folders is that of the smallest and the largest.
+    ends = told.agg(F.count(F.lit(1)).alias("n"), *[f(F.when(F.col("_path").startswith("/"), folder)).alias(x) for f, x in ((F.min, "a"), (F.max, "b"))]).first()
+    if ends.n < 2:
+        return modules.withColumn("public_path", F.lit(None).cast("string"))
+    low, high = ends.a or "", ends.b or ""
+    same = next((i for i, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))
+    root = low[:same].rfind("/") + 1
+    absolute = F.col("_path").startswith("/")
+    public = F.when(absolute, F.substr("_path", F.lit(root + 1))).otherwise(F.regexp_replace("_path", r"\A(\.\./?)+", ""))
+    planned = told.withColumn("public_path", public if claims is None else F.when(claims, public)).drop("_path")
+    claimed = planned.where("public_path is not null")
+    clash = path_claims(claimed, F.col("public_path")).orderBy("path").first()
     if clash is not None:
         raise ValueError(f"{clash.claims} modules claim {clash.path!r}")
-    ends = modules.agg(F.min(path).alias("a"), F.max(path).alias("b")).first()
-    low, high = (x.split("/")[:-1] if x else [] for x in (ends.a, ends.b))
-    root = next((i for i, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))
-    return modules.withColumn("public_path", F.array_join(F.slice(F.split(path, "/"), root + 1, 1 << 20), "/"))
+    empty = claimed.where("public_path = ''").first()
+    if empty is not None:
+        raise ValueError(f"no public path can be made of {empty[path]!r}")
+    return planned
 
 
 def lone_references(edges: DataFrame, reach: int = 3) -> DataFrame:

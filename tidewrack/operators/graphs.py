@@ -40,6 +40,55 @@ def reachable(edges: DataFrame, seeds: DataFrame, node: str = "node") -> DataFra
     return found.all()
 
 
+def spread_labels(seeds: DataFrame, links: DataFrame) -> DataFrame:
+    """node, labels: all labels that each node has or gets along ``links`` (src, dst), as the bits of a long.
+
+    ``seeds`` has node and labels. Where a value is used in a way that tells
+    something about it (that it is constructed, say), that holds of the values
+    that it is made of too, so links lead from a value to its sources. Labels
+    only grow; a round carries on what the round before added.
+    """
+    links = materialize(links.select("src", "dst").distinct(), "label-links")
+    found = Rounds(seeds.sparkSession, "labels")
+    last = found.add(seeds.groupBy("node").agg(F.bit_or(F.col("labels").cast("long")).alias("labels")).where("labels <> 0"))
+
+    def all_labels() -> DataFrame:
+        return found.all().groupBy("node").agg(F.bit_or("labels").alias("labels"))
+
+    while not last.isEmpty():
+        come = links.join(last.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.bit_or("labels").alias("labels"))
+        held = all_labels().withColumnRenamed("labels", "_held")
+        more = F.col("labels").bitwiseAND(F.bitwise_not(F.coalesce("_held", F.lit(0).cast("long"))))
+        last = found.add(come.join(held, "node", "left").select("node", more.alias("labels")).where("labels <> 0"))
+    return all_labels()
+
+
+def condensed(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """src, dst: the edges between strongly connected components; a node that ``parts`` (node, component) lacks is its own."""
+    of = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"_{x}"))
+    both = edges.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    ends = both.select(F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst"))
+    return ends.where("src <> dst").distinct()
+
+
+def topological_levels(edges: DataFrame) -> DataFrame:
+    """node, level: how many edges the longest path to each node of an acyclic graph (src, dst) has.
+
+    A round pushes the nodes that got a level in the last one over their edges.
+    Rounds are as many as the longest path has edges; a cycle raises an error.
+    """
+    links = materialize(edges.select("src", "dst").distinct(), "level-links")
+    nodes = links.select(F.col("src").alias("node")).unionAll(links.select(F.col("dst").alias("node"))).distinct()
+    found = Rounds(edges.sparkSession, "levels")
+    last, most, level = found.add(nodes.withColumn("level", F.lit(0))), nodes.count(), 0
+    while not last.isEmpty():
+        level += 1
+        if level > most:
+            raise ValueError("the graph has a cycle")
+        last = found.add(links.join(last.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct().withColumn("level", F.lit(level)))
+    return found.all().groupBy("node").agg(F.max("level").alias("level"))
+
+
 def transitively_pure(nodes: DataFrame, imports: DataFrame) -> DataFrame:
     """Nodes that are pure with all they import, cycles of pure nodes included.
 

@@ -63,53 +63,77 @@ def _extension(name: Column) -> Column:
     return F.regexp_extract(name, _EXTENDED, 2)
 
 
-def suffix_duplicates(df: DataFrame, name: str, order: list[str], out: str = "unique_name") -> DataFrame:
-    """The first of equal names (any case) keeps it, later ones get _2, _3 and so on before their extension.
+def _suffixed(name: Column, number: Column, extension: str) -> Column:
+    own = _extension(name)
+    return F.concat(_stem(name), F.lit("_"), number.cast("string"), F.when(own == "", extension).otherwise(own))
+
+
+def suffix_duplicates(df: DataFrame, name: str, order: list[str], out: str = "unique_name", extension: str = "") -> DataFrame:
+    """The first of equal names (any case) keeps it, later ones get _2, _3 and so on before their extension, or before ``extension`` if they have none.
 
     The suffixes are right where no given name looks like a suffixed one;
     ``suffix_collisions`` counts the names for which that fails.
     """
     rank = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(*order))
-    suffixed = F.concat(_stem(F.col(name)), F.lit("_"), F.col("_k").cast("string"), _extension(F.col(name)))
-    return df.withColumn("_k", rank).withColumn(out, F.when(F.col("_k") == 1, F.col(name)).otherwise(suffixed)).drop("_k")
+    return df.withColumn("_k", rank).withColumn(out, F.when(F.col("_k") == 1, F.col(name)).otherwise(_suffixed(F.col(name), F.col("_k"), extension))).drop("_k")
 
 
-def unique_suffixes(df: DataFrame, name: str, order: list[str], out: str = "unique_name") -> DataFrame:
+def unique_suffixes(df: DataFrame, name: str, order: list[str], out: str = "unique_name", extension: str = "", reserved: DataFrame | None = None) -> DataFrame:
     """Rows in ``order`` take their name or its first suffix _2, _3 and so on that no earlier row took, in any case.
 
-    Suffixes go before the extension. A name can only meet names with the same
-    root, that is without its stem's trailing numbers. Where all names of a root are equal, or none occurs twice, ranks are
-    right. The rows of other roots are taken in order, root by root, in a stream
-    that remembers the names of one root; the root is the unit of parallel work.
+    Suffixes go before the extension, or before ``extension`` where a name has
+    none. The names of ``reserved`` (one column) are taken from the start.
+
+    A name can only meet names with the same root, that is without its stem's
+    trailing numbers. Where all names of a root are equal, or none occurs twice,
+    and none is reserved, ranks are right. The rows of other roots are taken in
+    order, root by root, in a stream that remembers the names of one root; the
+    root is the unit of parallel work.
     """
-    root = F.concat(F.regexp_replace(_stem(F.lower(name)), r"(_[0-9]+)+\z", ""), _extension(F.lower(name)))
-    spellings = df.where(F.col(name).isNotNull()).groupBy(root.alias("_root"), F.lower(name).alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
+
+    def root(of: Column) -> Column:
+        own = _extension(F.lower(of))
+        return F.concat(F.regexp_replace(_stem(F.lower(of)), r"(_[0-9]+)+\z", ""), F.when(own == "", extension).otherwise(own))
+
+    spellings = df.where(F.col(name).isNotNull()).groupBy(root(F.col(name)).alias("_root"), F.lower(name).alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
     mixed = spellings.groupBy("_root").agg(F.count(F.lit(1)).alias("_names"), F.max("_n").alias("_most")).where("_names > 1 and _most > 1").select("_root")
-    marked = df.withColumn("_root", root)
-    plain = suffix_duplicates(marked.join(mixed, "_root", "left_anti"), name, order, out).drop("_root")
+    seeds = None
+    if reserved is not None:
+        seeds = reserved.select(F.lower(reserved.columns[0]).alias("_lower")).where("_lower is not null").distinct()
+        mixed = mixed.unionAll(seeds.select(root(F.col("_lower")).alias("_root"))).distinct()
+    marked = df.withColumn("_root", root(F.col(name)))
+    plain = suffix_duplicates(marked.join(mixed, "_root", "left_anti"), name, order, out, extension).drop("_root")
     schema = T.StructType([*(f for f in df.schema if f.name != out), T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, taken, last = None, set(), {}
+
+        def named(text: str, cut: int, k: int) -> str:
+            after = len(text) - cut
+            return text if k == 1 else f"{text[:after]}_{k}{text[after:] or extension}"
+
         for batch in batches:
-            of, lower, own, cuts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_root", "_lower", "_own", "_cut"))
+            of, lower, own, cuts, seed = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_root", "_lower", "_own", "_cut", "_seed"))
             found = []
             for i, x in enumerate(lower):
-                after = len(x) - cuts[i]
                 if of[i] != at:
                     at, taken, last = of[i], set(), {}
+                if seed[i]:
+                    taken.add(x)
+                    continue
                 k = last.get(x, 0) + 1
-                while (x if k == 1 else f"{x[:after]}_{k}{x[after:]}") in taken:
+                while named(x, cuts[i], k).lower() in taken:
                     k += 1
                 last[x] = k
-                taken.add(x if k == 1 else f"{x[:after]}_{k}{x[after:]}")
-                after = len(own[i]) - cuts[i]
-                found.append(own[i] if k == 1 else f"{own[i][:after]}_{k}{own[i][after:]}")
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in schema.names[:-1]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string())], names=schema.names)
-
-    rows = marked.join(mixed, "_root", "left_semi").withColumn("_lower", F.lower(name)).withColumn("_own", F.col(name)).withColumn("_cut", F.length(_extension(F.col(name))))
-    taken_in_order = rows.repartition("_root").sortWithinPartitions("_root", *order).mapInArrow(run, schema)
+                taken.add(named(x, cuts[i], k).lower())
+                found.append(named(own[i], cuts[i], k))
+            rows = batch.filter(pa.array([not s for s in seed]))
+            yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(n)) for n in schema.names[:-1]), pa.array(found, pa.string())], names=schema.names)
+
+    rows = marked.join(mixed, "_root", "left_semi").withColumn("_lower", F.lower(name)).withColumn("_own", F.col(name)).withColumn("_cut", F.length(_extension(F.col(name)))).withColumn("_seed", F.lit(False))
+    if seeds is not None:
+        rows = rows.unionByName(seeds.withColumn("_root", root(F.col("_lower"))).withColumn("_seed", F.lit(True)), allowMissingColumns=True)
+    taken_in_order = rows.repartition("_root").sortWithinPartitions("_root", F.desc("_seed"), *order).mapInArrow(run, schema)
     return plain.select(schema.names).unionByName(taken_in_order)
 
 

@@ -63,6 +63,21 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, order: str, valu
     return joined.select("_left.*", F.coalesce("_seen", "_carried").alias(out))
 
 
+def nearest(points: DataFrame, anchors: DataFrame, key: str, at: str, anchor: str, out: str, width: int) -> DataFrame:
+    """``points`` with ``out``: the ``anchor`` of their key at the least distance, of two the one before; of anchors at one place the smallest; null if the key has none.
+
+    The last anchor at or before a point and the first one at or after it are
+    two as-of lookups.
+    """
+    first = anchors.groupBy(key, at).agg(F.min(anchor).alias(anchor)).select(key, at, F.struct(F.col(at).alias("at"), F.col(anchor).alias("anchor")).alias("_anchor"))
+    turned = lambda df: df.withColumn(at, -F.col(at))
+    before = as_of(points, first, key, at, "_anchor", "_anchor", "_before", width)
+    after = turned(as_of(turned(before), turned(first), key, at, "_anchor", "_anchor", "_after", width))
+    gap = lambda c: F.abs(F.col(f"{c}.at") - F.col(at))
+    chosen = F.when(F.col("_after").isNull() | (gap("_before") <= gap("_after")), F.col("_before")).otherwise(F.col("_after"))
+    return after.select(*points.columns, chosen["anchor"].alias(out))
+
+
 def band_pairs(df: DataFrame, key: str, position: str, reach: int, same: Column | None = None) -> DataFrame:
     """Pairs of rows of one key whose positions differ by 1 to ``reach``; columns of the second get the suffix _b.
 

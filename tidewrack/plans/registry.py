@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions import names, paths
 from tidewrack.operators import facts, graphs, keys, ranges
-from tidewrack.plans import modules, renames
+from tidewrack.plans import modules, renames, structure
 from tidewrack.sources import scripts, sinks
 
 FLAGSHIP = "script_inventory"
@@ -318,7 +318,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         import_repairs, namespace_repairs, unused_imports, public_path_claims, reference_edges, lone_references, missing_imports, illegal_writes, identifier_names, cycle_witness,
     )
 }
-QUERIES |= modules.QUERIES | renames.QUERIES
+QUERIES |= modules.QUERIES | renames.QUERIES | structure.QUERIES
 
 _SCRIPTS = r"""scripts AS (
     SELECT page_id, u.i - 1 AS script_idx, m[u.i] AS code
@@ -425,4 +425,4 @@ ORACLE_SQL: dict[str, str] = {
     "provenance": """SELECT l_orderkey, (length('{"l_orderkey":' || l_orderkey || ',"ranges":[]}') + sum(length('{"start":' || l_linenumber || ',"stop":' || l_partkey || '}')) + count(*) - 1)::INTEGER AS n_chars,
         min(l_linenumber)::INTEGER AS first_start FROM lineitem GROUP BY l_orderkey""",
 }
-ORACLE_SQL |= modules.ORACLE_SQL | renames.ORACLE_SQL
+ORACLE_SQL |= modules.ORACLE_SQL | renames.ORACLE_SQL | structure.ORACLE_SQL
