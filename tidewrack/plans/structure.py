@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.operators import facts, graphs, keys, ranges
+from tidewrack.sources import containers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,12 +57,23 @@ def public_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.unionAll(named.select(F.lit("part"), "p_partkey", "unique_name"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (nearest_anchor, topological_levels, sensitive_values, public_paths)}
+def container_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed in a container of its own, in one of two layouts, and read again."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.when(F.col("doc_id") % 2 == 0, 52).otherwise(36).alias("size"))
+    name = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".js"))
+    files = containers.container_files(containers.pack(docs, [(name, F.col("text")), (F.lit("source.txt"), F.col("source"))], F.col("size")).select("doc_id", "content"))
+    return files.select("doc_id", "file_index", "name", "encoding", "is_entry", "start", "stop", F.sha2("contents", 256).alias("sha256"), "error")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (nearest_anchor, topological_levels, sensitive_values, public_paths, container_files)}
 
 _SECONDS = "secs AS (SELECT *, epoch_us(ts) // 1000000 AS sec FROM events)"
 _EDGES = """edges AS (SELECT DISTINCT l_suppkey AS src, l_suppkey * (2 + l_partkey % 2) + l_partkey % 3 AS dst FROM lineitem WHERE l_suppkey > 0 AND l_suppkey * (2 + l_partkey % 2) + l_partkey % 3 IN (SELECT s_suppkey FROM supplier))"""
 
 ORACLE_SQL: dict[str, str] = {
+    "container_files": """WITH f AS (SELECT doc_id, 0 AS i, 'doc/' || doc_id || '.js' AS name, text AS body, 11 + strlen('doc/' || doc_id || '.js') + 1 AS start FROM documents
+            UNION ALL SELECT doc_id, 1, 'source.txt', source, 11 + strlen('doc/' || doc_id || '.js') + 1 + strlen(coalesce(text, '')) + 1 + strlen('source.txt') + 1 FROM documents)
+        SELECT doc_id, i AS file_index, name, 'utf8' AS encoding, i = 0 AS is_entry, start, start + strlen(coalesce(body, '')) AS stop, sha256(coalesce(body, '')) AS sha256, NULL::VARCHAR AS error FROM f""",
     "nearest_anchor": f"""WITH {_SECONDS}, c AS (SELECT * FROM secs WHERE event_type = 'click'), a AS (SELECT * FROM secs WHERE event_type = 'signup')
         SELECT c.event_id, (SELECT arg_min(a.event_id, (abs(a.sec - c.sec), a.sec, a.event_id)) FROM a WHERE a.user_id = c.user_id) AS nearest FROM c""",
     "topological_levels": f"""WITH RECURSIVE {_EDGES}, every AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges WHERE src % 5 = 0),
