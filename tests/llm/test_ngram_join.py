@@ -2,8 +2,6 @@
 
 import random
 
-import pytest
-
 from tidewrack.llm import ngram_join
 
 SCHEMA = "doc_id long, text string, lang string, component string"
@@ -61,19 +59,32 @@ def family(rng, name, copies, length):
     return out
 
 
-@pytest.mark.parametrize("seed", [1])
-def test_families_against_all_pairs(spark, seed):
+def corpus(seed):
+    """Families of near copies, texts that are mostly one passage, and copies of a family that have a passage of their own in common."""
     rng = random.Random(seed)
     passage = [f"p{rng.randrange(50)}" for _ in range(30)]
     texts = []
-    for k in range(6):
-        texts += family(rng, f"f{k}x", 40, rng.randrange(40, 160))
-    for k in range(60):  # texts that are mostly one passage
+    for k in range(4):
+        texts += family(rng, f"f{k}x", 25, rng.randrange(40, 160))
+    base = [f"b{rng.randrange(400)}" for _ in range(90)]
+    for group in range(3):  # far from the base, near one another
+        own = [f"g{group}_{i}" for i in range(rng.randrange(18, 34))]
+        texts += [base] + [edited(rng, base + own, rng.randrange(0, 4)) for _ in range(15)]
+    for k in range(30):
         texts.append(passage + [f"own{k}_{i}" for i in range(rng.randrange(1, 14))])
     texts += [passage, passage[:-1], ["one"], ["one"], ["one", "two"]]
-    rows = [(i * 7 % 1009, " ".join(t), "en", "x") for i, t in enumerate(texts)]
-    got = ngram_join.similar_groups(spark.createDataFrame(rows, SCHEMA), part_shingles=2000)
-    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+    return [" ".join(f"s{seed}{w}" for w in t) for t in texts]
+
+
+def test_twenty_corpora_against_all_pairs(spark):
+    rows, want = [], []
+    for seed in range(20):
+        mine = [(seed * 10_000 + i * 7 % 1009, t, "en", "x") for i, t in enumerate(corpus(seed))]
+        want += brute(mine)
+        rows += mine
+    random.Random(0).shuffle(rows)
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, SCHEMA).repartition(4), part_shingles=20_000)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
 def test_odd_rows(spark):

@@ -55,6 +55,9 @@ MOST_MATCHES = 8
 #: Cost of verifying a candidate, in postings for each shingle of the set.
 VERIFY_COST = 0.25
 
+#: Rounds in which far members of a family look for one other component each; what they leave is compared in full.
+MERGING_ROUNDS = 2
+
 _LINK = 1 - NUM / DEN
 
 
@@ -348,39 +351,88 @@ def _across(rows: DataFrame, members: DataFrame, candidates: DataFrame) -> tuple
     return [met.where("linked").select("a", "b"), checked.where("linked").select("a", "b")], outer
 
 
-def _within(rows: DataFrame, members: DataFrame, outer: DataFrame, candidates: DataFrame) -> list[DataFrame]:
+def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with comp, the component that the links ``edges`` put their class in."""
+    reached = connected_components(edges).select(F.col("node").alias("cls"), F.col("component").alias("_comp"))
+    return rows.drop("comp").join(reached, "cls", "left").withColumn("comp", F.coalesce("_comp", "cls")).drop("_comp")
+
+
+def _mixed_lists(rows: DataFrame) -> DataFrame:
+    """The rows of the lists (fam, shingle) that hold classes of several components; the others can link nothing that is not linked yet."""
+    mixed = rows.groupBy("fam", "shingle").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low <> _high").select("fam", "shingle")
+    return rows.join(mixed, ["fam", "shingle"], "left_semi")
+
+
+def _need(na: Column, ca: Column, nb: Column, cb: Column) -> Column:
+    """Of the shingles that a link needs in common, those that the pivot cannot give."""
+    return F.ceil(NUM * (na + nb) / (NUM + DEN)) - F.least(ca, cb)
+
+
+def _merging_round(extra: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Links (a, b) of classes with the largest class of another component that they meet most, over the lists of ``extra``.
+
+    A list's largest class stands for it; classes of that one's component meet
+    the largest of the others. Comparisons grow with the lists' lengths.
+    """
+    who = F.struct("n", "c", "cls", "comp")
+    first = extra.groupBy("fam", "shingle").agg(F.max(who).alias("p"))
+    told = extra.join(first, ["fam", "shingle"])
+    second = told.where(F.col("comp") != F.col("p.comp")).groupBy("fam", "shingle").agg(F.max(who).alias("q"))
+    met = told.join(second, ["fam", "shingle"]).withColumn("o", F.when(F.col("comp") == F.col("p.comp"), F.col("q")).otherwise(F.col("p")))
+    need = _need(F.col("n"), F.col("c"), F.col("o.n"), F.col("o.c"))
+    counted = met.groupBy("fam", F.col("cls").alias("a"), F.col("o.cls").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(need).alias("need")).where("k >= need")
+    most = counted.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "b")), asc=False), 1, 2).alias("x")).select("a", F.explode("x.b").alias("b")).distinct()
+    return verified(most, candidates).where("linked").select("a", "b")
+
+
+def _within(rows: DataFrame, members: DataFrame, outer: DataFrame, candidates: DataFrame, edges: DataFrame) -> list[DataFrame]:
     """Links of classes that are far from their family's pivot with others of the family, outer members included.
 
     With c the shingles that a class has of the pivot, two members x and y have
     at most min(c_x, c_y) of the pivot's in common. A link needs 3 (n_x + n_y)
     / 7 common shingles; what the pivot cannot give must be shared shingles that
     the pivot lacks, and those are rare. Only where the pivot could give all,
-    which takes an unusually short member, the prefixes decide.
+    which takes an unusually short member, the prefixes decide. Only pairs that
+    ``edges`` and the merging rounds before have not connected yet are looked
+    at, so a group that shares what its pivot lacks is not compared pair by pair.
     """
     all_ = members.select("fam", "cls", "n", "c", "near", F.lit(False).alias("outer")).unionAll(outer.select("fam", "cls", "n", "c", "near", F.lit(True).alias("outer")))
     far = all_.where("not near")
     spare = F.floor((NUM + DEN) * F.col("c") / NUM) - F.col("n")
     limits = far.groupBy("fam").agg(F.max(spare).alias("most"))
     least = all_.join(limits, "fam").groupBy("fam").agg(F.min("n").alias("least"), F.first("most").alias("most"))
-    held = materialize(all_.join(least, "fam").withColumn("spare", spare), "far-families")
+    held = materialize(_labelled(all_.join(least, "fam").withColumn("spare", spare), edges), "far-families")
+    if held.isEmpty():
+        return []
 
-    def pair_up(some: DataFrame) -> tuple[DataFrame, DataFrame]:
-        left, right = (_side(some, x, "n", "c", "fam", "near", "outer", "spare", "matches") for x in "ab")
-        return left.where("not neara"), right.withColumnRenamed("famb", "fama")
-
-    one_way = (F.col("a") != F.col("b")) & (F.col("nearb") | (F.col("a") < F.col("b"))) & ~(F.col("outera") & F.col("outerb"))
     sets = candidates.select("cls", "shingles")
     pivots = candidates.select(F.col("cls").alias("fam"), F.col("shingles").alias("pivot"))
     extra = held.where("fam <> cls").join(sets, "cls").join(pivots, "fam").withColumn("shingle", F.explode(F.array_except("shingles", "pivot"))).drop("shingles", "pivot").withColumn("matches", F.lit(1))
+    extra, found = materialize(_mixed_lists(extra), "far-shingles"), []
+    for _ in range(MERGING_ROUNDS):
+        merged = materialize(_merging_round(extra, candidates), "far-links")
+        if merged.isEmpty():
+            break
+        found.append(merged)
+        edges = edges.unionAll(merged)
+        extra = materialize(_mixed_lists(_labelled(extra, edges)), "far-shingles")
+    if found:
+        held = materialize(_labelled(held, edges), "far-families")
+
+    def pair_up(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        left, right = (_side(some, x, "n", "c", "fam", "near", "outer", "spare", "matches", "comp") for x in "ab")
+        return left.where("not neara"), right.withColumnRenamed("famb", "fama")
+
+    one_way = (F.col("a") != F.col("b")) & (F.col("nearb") | (F.col("a") < F.col("b"))) & ~(F.col("outera") & F.col("outerb")) & (F.col("compa") != F.col("compb"))
     left, right = pair_up(extra)
-    need = F.ceil(NUM * (F.col("na") + F.col("nb")) / (NUM + DEN)) - F.least("ca", "cb")
+    need = _need(F.col("na"), F.col("ca"), F.col("nb"), F.col("cb"))
     counted = left.join(right, ["shingle", "fama"]).where(one_way & _sizes_fit("na", "na", "nb", "nb")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.first(need).alias("need"))
     by_extra = verified(counted.where("k >= need").select("a", "b"), candidates)
     short = rows.select("shingle", "cls", "matches").join(held, "cls").where((~F.col("near") & (F.col("spare") >= F.col("least"))) | ((~F.col("outer") | F.col("near")) & (F.col("n") <= F.col("most"))))
-    left, right = pair_up(short)
+    left, right = pair_up(_mixed_lists(short))
     pairs = left.join(right, ["shingle", "fama"]).where(one_way & (F.col("nb") <= F.col("sparea")) & (F.col("na") <= F.col("spareb")) & _sizes_fit("na", "na", "nb", "nb"))
     by_prefix = verified(_enough(pairs), candidates)
-    return [by_extra.where("linked").select("a", "b"), by_prefix.where("linked").select("a", "b")]
+    return [*found, by_extra.where("linked").select("a", "b"), by_prefix.where("linked").select("a", "b")]
 
 
 def links(candidates: DataFrame, prefix: DataFrame) -> DataFrame:
@@ -391,9 +443,12 @@ def links(candidates: DataFrame, prefix: DataFrame) -> DataFrame:
     compared = first.unionAll(second)
     members = materialize(families(candidates, compared), "families")
     rows = materialize(prefix.drop("weight", "n").join(members, "cls"), "prefixes-by-family")
-    edges = compared.where("linked").select("a", "b")
     between, outer = _across(rows, members, candidates)
-    for more in [*between, *_within(rows, members, outer, candidates)]:
+    edges = compared.where("linked").select("a", "b")
+    for more in between:
+        edges = edges.unionAll(more)
+    edges = materialize(edges.distinct(), "links")
+    for more in _within(rows, members, outer, candidates, edges):
         edges = edges.unionAll(more)
     return materialize(edges.distinct(), "links")
 
