@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pytest
 
 from tidewrack.llm import bpe, token_counts
 
@@ -75,3 +76,10 @@ def test_edits_from_a_table(spark):
     edits = spark.createDataFrame([(1, 2, 0, 0, "x"), (1, 1, 3, 4, "")], "doc_id long, seq int, start int, removed int, inserted string")
     joined = token_counts.with_edits(token_counts.build(docs, PATH, PATTERN), edits)
     assert {r.doc_id: r.edited_text for r in token_counts.apply_edits(joined, PATH, PATTERN).collect()} == {1: "xone", 2: "three"}
+
+
+def test_other_patterns_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    assert bpe.PATTERN == PATTERN
+    with pytest.raises(ValueError, match="one pattern"):
+        bpe.encode(docs, PATH, r"\w+|\W")

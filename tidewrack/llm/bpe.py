@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 from tidewrack.llm.tables import map_batches
 
+#: Fixed value: the split pattern that the cuts and the rule for blanks are derived from; others are refused.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A long text is cut near multiples of this many characters.
 CHUNK_CHARS = 1 << 16
 #: White-space runs at least this long are merged as one piece without the library's pattern.
@@ -76,9 +78,13 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text_col: str = "text")
     """Add ``n_tokens`` (long) and ``token_ids`` (binary: ids as little-endian unsigned 32-bit integers).
 
     Null and empty texts get 0 and an empty binary. Every row is kept, repeated
-    rows too; other columns pass through, and one already named like an added
-    column is replaced. ``rank_file`` must exist on every executor.
+    rows and null ids too; an empty table gives an empty result. Very long texts
+    are encoded whole, part by part. Other columns pass through, and one already
+    named like an added column is replaced. ``rank_file`` must exist on every
+    executor.
     """
+    if pattern != PATTERN:
+        raise ValueError("the cuts of long texts are known to be safe for one pattern only")
 
     def make(batch: pa.RecordBatch) -> list[list]:
         enc = encoding(rank_file, pattern)

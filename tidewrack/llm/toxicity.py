@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from tidewrack.llm.shingles import shingle_set
 from tidewrack.llm.tables import in_small_batches, map_batches
+from tidewrack.session import discard, materialize
 
 #: Bounds of the sample that fits the model: toxic documents, clean documents, documents of each kind that fit the chain, and their words.
 MAX_TOXIC, MAX_CLEAN, MAX_CHAIN, MAX_CHAIN_WORDS = 4000, 12000, 600, 1000
@@ -278,7 +279,7 @@ def _beyond(odds: dict[str, float]) -> dict[str, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
     """Fit on labelled rows outside the held-out third; the label is the largest that a document has."""
-    sample = _one_of_copies(_sample(docs, labels, max_toxic, max_clean)).cache()
+    sample = materialize(_one_of_copies(_sample(docs, labels, max_toxic, max_clean)), "toxicity-sample")
     try:
         sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
         n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -298,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
         model.curve = _fit_curve(x, np.array([float(r.toxic) for r in rows]))
         return model
     finally:
-        sample.unpersist()
+        discard(sample)
 
 
 def summarise(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -334,8 +335,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     Null and empty texts count as having no offending word; repeated rows get
     equal results; an empty table gives an empty result. Offsets are in
-    characters of the text. Columns already named like the added ones are
-    replaced. Where no label could teach anything, every row gets the model's
+    characters of the text. Very long texts are scored whole. Columns already
+    named like the added ones are replaced, and columns named most and total,
+    which the way there needs, are dropped. Where no label could teach anything, every row gets the model's
     constant and no spans.
     """
     if model.constant is not None:
