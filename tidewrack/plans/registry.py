@@ -147,61 +147,73 @@ def mutual_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.mutual(_transitions(spark, sf_dir).where("src <> dst"))
 
 
-#: The orders that the SQL of the graph queries names. Queries ending in _all take every order and have no SQL, as its recursion lists all pairs.
-_URGENT = "o_orderstatus = 'P' and o_orderpriority = '1-URGENT'"
+def _order_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References between a customer's orders: each to the one at half its place, and back to it where it is fulfilled."""
+    orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    placed = ranges.numbered(orders, ["o_custkey"], ["o_orderkey"], 1 << 16, "i").withColumn("i", F.col("i") - 1)
+    half = placed.select("o_custkey", F.col("o_orderkey").alias("to"), F.col("o_orderstatus").alias("to_status"), F.col("i").alias("half"))
+    up = placed.where("i > 0").withColumn("half", F.floor(F.col("i") / 2)).join(half, ["o_custkey", "half"])
+    ways = F.array(F.struct(F.col("o_orderkey").alias("src"), F.col("to").alias("dst")), F.when(F.col("o_orderstatus") == "F", F.struct(F.col("to").alias("src"), F.col("o_orderkey").alias("dst"))))
+    return up.select((F.col("o_orderstatus") == F.col("to_status")).alias("alike"), F.explode(ways).alias("e")).where("e is not null").select("e.src", "e.dst", "alike")
 
 
-def _imports(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
-    """References between customers: an order of one points to another by its number."""
-    n = _table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("n"))
-    orders = _table(spark, sf_dir, "orders").where(where).join(F.broadcast(n))  # one row
-    return orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7919 % F.col("n") + 1).alias("dst")).distinct()
+def reference_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of orders that references between orders of equal status connect."""
+    return graphs.components(_order_graph(spark, sf_dir).where("alike").select("src", "dst"))
 
 
-def reference_components(spark: SparkSession, sf_dir: str, where: str = _URGENT) -> DataFrame:
-    return graphs.components(_imports(spark, sf_dir, where).where("src <> dst"))
+def scc_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.strong_components(_order_graph(spark, sf_dir).select("src", "dst"))
 
 
-def scc_cycles(spark: SparkSession, sf_dir: str, where: str = "o_orderstatus = 'F' and o_orderpriority in ('1-URGENT', '2-HIGH')") -> DataFrame:
-    return graphs.strong_components(_imports(spark, sf_dir, where))
+def alive_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that the most expensive ones lead to."""
+    roots = _table(spark, sf_dir, "orders").where("o_totalprice > 450000").select(F.col("o_orderkey").alias("node"))
+    return graphs.reachable(_order_graph(spark, sf_dir), roots)
 
 
-def alive_declarations(spark: SparkSession, sf_dir: str, where: str = _URGENT) -> DataFrame:
-    roots = _table(spark, sf_dir, "customer").where("c_acctbal > 9500").select(F.col("c_custkey").alias("node"))
-    return graphs.reachable(_imports(spark, sf_dir, where), roots)
+def transitive_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), (F.col("o_totalprice") < 450000).alias("pure"))
+    return graphs.transitively_pure(nodes, _order_graph(spark, sf_dir))
 
 
-def transitive_purity(spark: SparkSession, sf_dir: str, where: str = _URGENT) -> DataFrame:
-    nodes = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), (F.col("c_acctbal") < 9000).alias("pure"))
-    return graphs.transitively_pure(nodes, _imports(spark, sf_dir, where))
+def drop_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.col("o_totalprice")
+    modules = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), (price > 50000).alias("helper"), (F.col("o_orderpriority") == "1-URGENT").alias("entry"), (price < 450000).alias("pure"))
+    return graphs.drop_cascade(modules, _order_graph(spark, sf_dir))
 
 
-def drop_cascade(spark: SparkSession, sf_dir: str, where: str = _URGENT) -> DataFrame:
-    customer = _table(spark, sf_dir, "customer")
-    modules = customer.select(
-        F.col("c_custkey").alias("node"), (F.col("c_acctbal") > 0).alias("helper"), (F.col("c_mktsegment") == "BUILDING").alias("entry"), (F.col("c_acctbal") < 9000).alias("pure")
-    )
-    return graphs.drop_cascade(modules, _imports(spark, sf_dir, where))
+def _imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References between customers, many of each: an order of one points to another by its number. The queries on them have no SQL, as its recursion lists all pairs."""
+    n = _table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("n"))
+    orders = _table(spark, sf_dir, "orders").join(F.broadcast(n))  # one row
+    return orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7919 % F.col("n") + 1).alias("dst")).distinct()
 
 
 def reference_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reference_components(spark, sf_dir, "true")
+    return graphs.components(_imports(spark, sf_dir).where("src <> dst"))
 
 
 def scc_cycles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scc_cycles(spark, sf_dir, "true")
+    return graphs.strong_components(_imports(spark, sf_dir))
 
 
 def alive_declarations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alive_declarations(spark, sf_dir, "true")
+    roots = _table(spark, sf_dir, "customer").where("c_acctbal > 9500").select(F.col("c_custkey").alias("node"))
+    return graphs.reachable(_imports(spark, sf_dir), roots)
 
 
 def transitive_purity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transitive_purity(spark, sf_dir, "true")
+    nodes = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), (F.col("c_acctbal") < 9000).alias("pure"))
+    return graphs.transitively_pure(nodes, _imports(spark, sf_dir))
 
 
 def drop_cascade_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_cascade(spark, sf_dir, "true")
+    customer = _table(spark, sf_dir, "customer")
+    modules = customer.select(
+        F.col("c_custkey").alias("node"), (F.col("c_acctbal") > 0).alias("helper"), (F.col("c_mktsegment") == "BUILDING").alias("entry"), (F.col("c_acctbal") < 9000).alias("pure")
+    )
+    return graphs.drop_cascade(modules, _imports(spark, sf_dir))
 
 
 def passthrough_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +291,7 @@ def identifier_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cycle_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A shortest cycle through the first member of every strongly connected component of all references."""
-    found = graphs.cycle_witnesses(_imports(spark, sf_dir, "true"))
+    found = graphs.cycle_witnesses(_imports(spark, sf_dir))
     return found.select("component", "size", F.array_join(F.transform("witness", lambda x: x.cast("string")), " -> ").alias("witness"))
 
 
@@ -330,11 +342,9 @@ _SECONDS = "secs AS (SELECT *, epoch_us(ts) // 1000000 AS sec FROM events)"
 _NAMED = "named AS (SELECT l_suppkey AS provider, p_name || '#' || p_size AS name, l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
-def _edges(where: str) -> str:
-    return f"edges AS (SELECT DISTINCT o_custkey AS src, o_orderkey * 7919 % (SELECT count(*) FROM customer) + 1 AS dst FROM orders WHERE {where})"
-
-
-_SPARSE = _edges("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'")
+_EDGES = """placed AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
+    halves AS (SELECT a.o_orderkey AS a, b.o_orderkey AS b, a.o_orderstatus = 'F' AS back, a.o_orderstatus = b.o_orderstatus AS alike FROM placed a JOIN placed b ON a.o_custkey = b.o_custkey AND a.i > 0 AND b.i = a.i // 2),
+    edges AS (SELECT a AS src, b AS dst, alike FROM halves UNION SELECT b, a, alike FROM halves WHERE back)"""
 
 ORACLE_SQL: dict[str, str] = {
     "script_inventory": rf"""WITH {_SCRIPTS} SELECT page_id, script_idx::INTEGER AS script_idx, code,
@@ -379,20 +389,18 @@ ORACLE_SQL: dict[str, str] = {
         AND b.l_linenumber - a.l_linenumber BETWEEN 1 AND 3 GROUP BY a.l_orderkey""",
     "mutual_refs": """WITH t AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
         e AS (SELECT DISTINCT src, dst FROM t WHERE dst IS NOT NULL) SELECT x.src AS a, x.dst AS b FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst""",
-    "reference_components": f"""WITH RECURSIVE {_SPARSE}, both_ways AS (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
+    "reference_components": f"""WITH RECURSIVE {_EDGES}, both_ways AS (SELECT src, dst FROM edges WHERE alike UNION SELECT dst, src FROM edges WHERE alike),
         r AS (SELECT src AS node, src AS seen FROM both_ways UNION SELECT r.node, e.dst FROM r JOIN both_ways e ON r.seen = e.src)
         SELECT node, min(seen) AS component FROM r GROUP BY node""",
-    "scc_cycles": f"""WITH RECURSIVE {_edges("o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")},
-        r AS (SELECT src AS a, dst AS b FROM edges UNION SELECT r.a, e.dst FROM r JOIN edges e ON r.b = e.src),
+    "scc_cycles": f"""WITH RECURSIVE {_EDGES}, r AS (SELECT src AS a, dst AS b FROM edges UNION SELECT r.a, e.dst FROM r JOIN edges e ON r.b = e.src),
         m AS (SELECT x.a AS node, x.b AS mate FROM r x JOIN r y ON x.a = y.b AND x.b = y.a)
         SELECT node, min(mate) AS component, count(*) AS size FROM m GROUP BY node""",
-    "alive_declarations": f"""WITH RECURSIVE {_SPARSE}, r AS (SELECT c_custkey AS node FROM customer WHERE c_acctbal > 9500 UNION SELECT dst FROM r JOIN edges ON src = node)
+    "alive_declarations": f"""WITH RECURSIVE {_EDGES}, r AS (SELECT o_orderkey AS node FROM orders WHERE o_totalprice > 450000 UNION SELECT dst FROM r JOIN edges ON src = node)
         SELECT node FROM r""",
-    "transitive_purity": f"""WITH RECURSIVE {_SPARSE}, seeds AS (SELECT c_custkey AS node FROM customer WHERE c_acctbal >= 9000 UNION SELECT src FROM edges WHERE dst NOT IN (SELECT c_custkey FROM customer)),
-        r AS (SELECT node FROM seeds UNION SELECT src FROM r JOIN edges ON dst = node)
-        SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT node FROM r)""",
-    "drop_cascade": f"""WITH RECURSIVE {_SPARSE}, cand AS (SELECT c_custkey AS node FROM customer WHERE c_acctbal > 0 AND c_mktsegment <> 'BUILDING' AND c_acctbal < 9000),
-        r AS (SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT node FROM cand) UNION SELECT dst FROM r JOIN edges ON src = node)
+    "transitive_purity": f"""WITH RECURSIVE {_EDGES}, r AS (SELECT o_orderkey AS node FROM orders WHERE o_totalprice >= 450000 UNION SELECT src FROM r JOIN edges ON dst = node)
+        SELECT o_orderkey AS node FROM orders WHERE o_orderkey NOT IN (SELECT node FROM r)""",
+    "drop_cascade": f"""WITH RECURSIVE {_EDGES}, cand AS (SELECT o_orderkey AS node FROM orders WHERE o_totalprice > 50000 AND o_orderpriority <> '1-URGENT' AND o_totalprice < 450000),
+        r AS (SELECT o_orderkey AS node FROM orders WHERE o_orderkey NOT IN (SELECT node FROM cand) UNION SELECT dst FROM r JOIN edges ON src = node)
         SELECT node FROM cand WHERE node NOT IN (SELECT node FROM r)""",
     "passthrough_chain": """SELECT src, final FROM (SELECT o_orderkey AS src, last_value(o_orderkey) OVER w AS final, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nxt
         FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE nxt IS NOT NULL""",
