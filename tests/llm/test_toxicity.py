@@ -105,3 +105,10 @@ def test_nothing_to_learn(spark):
     out = toxicity.score(docs, toxicity.fit(docs, none)).collect()
     assert [(r.toxicity, r.spans) for r in out] == [(0.0, [])]
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), none)).count() == 0
+
+
+def test_portions_follow_characters():
+    for lengths in ([], [5], [900, 0, 0, 50, 60], [40] * 30, [0, 0], [3, 900]):
+        parts = list(toxicity._portions(lengths, 100))
+        assert [n for p in parts for n in lengths[p]] == lengths
+        assert all(sum(lengths[p]) <= 100 or p.stop - p.start == 1 or not any(lengths[p][:-1]) for p in parts)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm.components import connected_components
 from tidewrack.llm.shingles import set_key, shingle_set
-from tidewrack.llm.tables import in_small_batches, maybe_in, slices
+from tidewrack.llm.tables import in_small_batches, maybe_in, release, slices
 from tidewrack.session import materialize
 
 #: A link: NUM * |union| <= DEN * |intersection|.
@@ -121,6 +121,7 @@ def profile(docs: DataFrame, share: float, digest: bool = False) -> DataFrame:
                 last = rows(part, sets, keys)
         if last is not None:
             yield with_lists(last, heavy.keys.view(np.int64).tolist(), heavy.low.tolist())
+        release()
 
     return in_small_batches(docs).select("doc_id", "text", *carried).mapInArrow(run, "doc_id long, n long, cls long" + (", _digest long" if digest else "") + ", often array<long>, counts array<long>")
 
@@ -168,6 +169,7 @@ def postings(docs: DataFrame, often: object, parts: int) -> DataFrame:
                 who, lengths = np.unique(own[a:b], return_counts=True)
                 rows.append((int(to[a]), keys[who].tobytes(), lengths.astype(np.uint32).tobytes(), shingles[a:b].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _POSTINGS.types, strict=True)], schema=_POSTINGS)
+        release()
 
     return in_small_batches(docs).select("text").mapInArrow(run, "part int, keys binary, lengths binary, shingles binary")
 

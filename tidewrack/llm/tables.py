@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +28,8 @@ def with_fields(schema: T.StructType, *added: tuple[str, T.DataType]) -> T.Struc
     return T.StructType([f for f in schema if f.name.lower() not in names] + [T.StructField(n, t) for n, t in added])
 
 
+_LIBC = ctypes.CDLL(None)
+
 #: Bytes of an Arrow batch between Spark and Python, where the session sets no size itself.
 BATCH_BYTES = 8 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -47,6 +51,14 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         start = stop
 
 
+def release() -> None:
+    """Give back what a Python task no longer needs, as its worker lives on beside the next stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """``df`` for a Python task: the session's Arrow batches are bounded by BATCH_BYTES from here on, as a task holds some at once."""
     if df.sparkSession.conf.get(_BATCH_SETTING, "1").rstrip("b") == "1":  # not set
@@ -66,6 +78,7 @@ def map_batches(df: DataFrame, added: list[tuple[str, T.DataType]], arrow: list[
                 new = make(part)
                 columns = [part.column(part.schema.get_field_index(n)) for n in keep] + [pa.array(v, type=t) for v, t in zip(new, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=keep + names)
+        release()
 
     return in_small_batches(df).mapInArrow(run, schema)
 

@@ -44,8 +44,8 @@ THRESHOLD = 0.7
 
 _WORD = re.compile(r"\w+")
 _CACHE_WORDS = 100_000
-#: Sample rows whose features are counted at once.
-COUNTED_ROWS = 500
+#: Characters of sample texts whose features are counted at once, about; a word has up to ten features.
+COUNTED_CHARS = 1 << 18
 
 
 def word_features(word: str) -> list[str]:
@@ -232,11 +232,23 @@ def _one_of_copies(sample: DataFrame) -> DataFrame:
     return in_small_batches(sample).mapInPandas(key, "doc_id long, toxic int, text string, copy_key long").dropDuplicates(["copy_key", "toxic"])
 
 
+def _portions(lengths: list[int], most: int = COUNTED_CHARS) -> Iterator[slice]:
+    """Consecutive rows with about ``most`` characters of text; a longer text is a portion of its own."""
+    start, held = 0, 0
+    for i, n in enumerate(lengths):
+        if held and held + n > most:
+            yield slice(start, i)
+            start, held = i, 0
+        held += n
+    if lengths:
+        yield slice(start, len(lengths))
+
+
 def _count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for at in range(0, len(pdf), COUNTED_ROWS):
+        for part in _portions([len(t) for t in pdf["text"]]):
             counts = (Counter(), Counter())
-            for toxic, text in zip(pdf["toxic"][at : at + COUNTED_ROWS], pdf["text"][at : at + COUNTED_ROWS], strict=True):
+            for toxic, text in zip(pdf["toxic"][part], pdf["text"][part], strict=True):
                 counts[toxic].update({f for w in set(_WORD.findall(text.lower())) for f in word_features(w)})
             names = [f for f in counts[1] | counts[0]]
             yield pd.DataFrame({"feature": names, "c1": [counts[1][f] for f in names], "c0": [counts[0][f] for f in names]})
