@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ _TEXTS = "array<string>"
 _PROPS = "array<struct<exported:string,local:string,aliased:boolean>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _alias(prop: Column, taken: Column, added: Column) -> Column:
     """The first of prop_1, prop_2 and so on that is neither among the bindings that look like it nor among the names given so far."""
     tries = F.transform(F.sequence(F.lit(1), F.size(taken) + F.size(added) + 1), lambda i: F.concat(prop, F.lit("_"), i.cast("string")))
@@ -22,29 +29,37 @@ def _with_prop(state: Column, prop: Column, own: Column) -> Column:
     """The state of an import after one more property: what was added to the module, what this import inserted, and its properties."""
     name, taken, there = prop["name"], prop["taken"], prop["reused"]
     bound = F.array_contains(taken, name) | F.array_contains(state["added"], name)
-    clash = (name != own) & (bound | prop["reserved"])
-    fresh = F.when(clash, _alias(name, taken, state["added"])).when(~bound, name)
-    local = F.coalesce(there, F.when(clash, _alias(name, taken, state["added"])).otherwise(name))
-    more = F.when(there.isNull() & fresh.isNotNull(), F.array(fresh)).otherwise(F.array().cast(_TEXTS))
-    return F.struct(
-        F.concat(state["added"], more).alias("added"),
-        F.concat(state["inserted"], more).alias("inserted"),
-        F.concat(state["props"], F.array(F.struct(name.alias("exported"), local.alias("local"), (there.isNull() & clash).alias("aliased")))).alias("props"),
-        (state["fresh"] + there.isNull().cast("int")).alias("fresh"),
-    )
+    clash = there.isNull() & (name != own) & (bound | prop["reserved"])
+    given = F.struct(
+        F.coalesce(there, F.when(clash, _alias(name, taken, state["added"])).otherwise(name)).alias("local"), clash.alias("aliased"),
+        (there.isNull() & (clash | ~bound)).alias("fresh"),
+    )
+
+    def after(g: Column) -> Column:
+        more = F.when(g["fresh"], F.array(g["local"])).otherwise(F.array().cast(_TEXTS))
+        return F.struct(
+            F.concat(state["added"], more).alias("added"),
+            F.concat(state["inserted"], more).alias("inserted"),
+            F.concat(state["props"], F.array(F.struct(name.alias("exported"), g["local"].alias("local"), g["aliased"].alias("aliased")))).alias("props"),
+            (state["fresh"] + there.isNull().cast("int")).alias("fresh"),
+        )
+
+    return _let(given, after)
 
 
 def _with_import(state: Column, one: Column) -> Column:
     """The state of a module after one more import, with the back-off where most new names would be aliases."""
     nothing = F.array()
     start = F.struct(state["added"].alias("added"), nothing.cast(_TEXTS).alias("inserted"), nothing.cast(_PROPS).alias("props"), F.lit(0).alias("fresh"))
-    done = F.aggregate(one["props"], start, lambda s, p: _with_prop(s, p, one["local"]))
-    aliases = F.size(F.filter(done["props"], lambda p: p["aliased"]))
-    too_many = (done["fresh"] > 1) & (2 * aliases > done["fresh"])
-    clean = lambda p: ~p["aliased"] & (p["local"] != one["local"])
-    freed = F.array_intersect(F.transform(F.filter(done["props"], lambda p: ~clean(p)), lambda p: p["local"]), done["inserted"])
-    row = F.struct(one["import_id"].alias("import_id"), F.when(too_many, F.filter(done["props"], clean)).otherwise(done["props"]).alias("props"), too_many.alias("keeps"))
-    return F.struct(F.when(too_many, F.array_except(done["added"], freed)).otherwise(done["added"]).alias("added"), F.concat(state["out"], F.array(row)).alias("out"))
+
+    def after(done: Column) -> Column:
+        too_many = (done["fresh"] > 1) & (2 * F.size(F.filter(done["props"], lambda p: p["aliased"])) > done["fresh"])
+        clean = lambda p: ~p["aliased"] & (p["local"] != one["local"])
+        freed = F.array_intersect(F.transform(F.filter(done["props"], lambda p: ~clean(p)), lambda p: p["local"]), done["inserted"])
+        row = F.struct(one["import_id"].alias("import_id"), F.when(too_many, F.filter(done["props"], clean)).otherwise(done["props"]).alias("props"), too_many.alias("keeps"))
+        return F.struct(F.when(too_many, F.array_except(done["added"], freed)).otherwise(done["added"]).alias("added"), F.concat(state["out"], F.array(row)).alias("out"))
+
+    return _let(F.aggregate(one["props"], start, lambda s, p: _with_prop(s, p, one["local"])), after)
 
 
 def decompositions(imports: DataFrame, uses: DataFrame, exported: DataFrame, reused: DataFrame, bindings: DataFrame) -> DataFrame:
