@@ -75,3 +75,24 @@ def test_probe_order_is_by_expected_distance():
     order = ann.probe_order(4, 30)
     assert order[0] == () and order[1] == (0,) and len(set(order)) == 30
     assert all(not any(7 - j in s for j in s) for s in order)
+
+
+def test_default_recall_on_a_whole_table(spark):
+    """The query's own parameters on all 2,000 vectors of sf0.1."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.collect()
+    x = np.array([r.embedding for r in rows], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.array([r.vec_id for r in rows])
+    found = {}
+    for r in ann.search(table).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        scores = x @ x[i]
+        scores[i] = -2
+        want = ids[np.argsort(-scores, kind="stable")[:5]]
+        hits += len(found[ids[i]] & set(want.tolist()))
+        total += 5
+    assert hits >= 0.95 * total, hits / total
+    print("recall", hits / total)
