@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewrack.session import materialize
+
 SCRIPT_FILES = r"(?i)\.(js|mjs|cjs)$"
 CHECKED_FILES = r"(?i)(\.(js|mjs|cjs|jsx|ts|tsx|mts|cts)|/[^/.]+)$"
 
@@ -23,12 +25,13 @@ def script_files(spark: SparkSession, root: str, pattern: str = SCRIPT_FILES, sk
 
 
 def with_ids(df: DataFrame, order: str, out: str) -> DataFrame:
-    """Dense ids from 0 in the order of a column that is unique, in two levels: rank in a hash of its prefix is not needed, only counts of ranges are."""
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    ranked = ranged.select(df.columns + ["_part"]).withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
-    counts = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("_before"))
-    return ranked.join(F.broadcast(before), "_part").select((F.col("_pos") + F.col("_before")).alias(out), *df.columns)
+    """Dense ids from 0 in the order of a column that is unique: ranges of it are stored, and a row's id is its place in its range after the rows of the ranges before."""
+    ranged = materialize(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
+    # One row per range.
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return ranged.withColumn("_pos", place).join(F.broadcast(starts), "_part").select((F.col("_pos") + F.col("_before")).alias(out), *df.columns)
 
 
 def inline_scripts(pages: DataFrame) -> DataFrame:
