@@ -40,6 +40,24 @@ def test_against_all_pairs(spark):
     assert clean == {r[0]: "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in w) for r, w in zip(rows, want)}
 
 
+def test_twenty_corpora_on_few_words(spark):
+    """Lines of very few words match by chance too; corpora share no word, so each is its own."""
+    rows, want = [], []
+    for seed in range(20):
+        rng = random.Random(seed)
+        vocabulary = rng.choice([6, 40, 200])
+        base = [[f"{rng.randrange(vocabulary)}" for _ in range(rng.choice([3, 5, 6, 9, 20, 60]))] for _ in range(25)]
+        mine = []
+        for d in range(25):
+            lines = [" ".join(f"s{seed}w{w}" for w in edited(rng, rng.choice(base), rng.choice([0, 1, 2]))) for _ in range(rng.randrange(1, 7))]
+            mine.append((seed * 100 + d, "\n".join(lines), "x", "y"))
+        want += zip((r[0] for r in mine), brute(mine))
+        rows += mine
+    random.Random(0).shuffle(rows)
+    got = {r.doc_id: r.removed for r in line_dedup.report(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert got == dict(want) and sum(map(len, got.values())) > 300
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "a", "b"), (2, "", None, None), (3, "one line\n\none line", "a", "b"), (3, "one line\n\none line", "a", "b"), (None, "one line\nother", "a", "b")]
     docs = spark.createDataFrame(rows, SCHEMA)
