@@ -108,6 +108,23 @@ def test_random_graphs(spark, seed):
         assert (r.state, (r.origin_module, r.origin_binding)) == (state, next(iter(found)) if state == "found" else (None, None)), r
 
 
+def shuffled(spark):
+    """Rows that this session's stages have written to shuffles so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_a_long_chain_shuffles_the_exports_once(spark):
+    many, depth = 4000, 8
+    given = spark.range(many).selectExpr("'m0' AS module", "'n' || id AS name", "1 AS place", "string(null) AS target", "string(null) AS imported", "'b' AS binding")
+    chain = spark.createDataFrame([(f"m{i}", f"m{i - 1}") for i in range(1, depth)], "module string, target string")
+    wanted, modules = spark.createDataFrame([(f"m{depth - 1}", "n7")], "module string, name string"), spark.createDataFrame([(f"m{i}",) for i in range(depth)], "module string")
+    before = shuffled(spark)
+    assert [tuple(r) for r in exports.resolve_exports(given, chain, wanted, modules).collect()] == [("m7", "n7", "found", "m0", "b")]
+    assert sum(n for s, n in shuffled(spark).items() if s not in before) < 2 * many
+
+
 def test_nothing_wanted(spark):
     make = spark.createDataFrame
     empty = make([], "module string, name string, place int, target string, imported string, binding string")

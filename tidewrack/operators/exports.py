@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.operators import keys
-from tidewrack.session import Rounds, materialize
+from tidewrack.session import Dealt, materialize
 
 #: The binding that a namespace object counts as; no module can declare it.
 NAMESPACE = "*namespace*"
@@ -25,8 +25,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _expanded(front: DataFrame, shape: DataFrame, first: DataFrame) -> DataFrame:
-    """module, name, unknown, origin, next: what a (module, name) means by itself, and the keys that it is passed on to."""
-    told = front.join(shape, "module", "left").join(first, _KEY, "left")
+    """module, name, unknown, origin, targets, as_name: what a (module, name) means by itself, and the modules that it is passed on to, under another name or (null) its own."""
+    told = front.hint("shuffle_hash").join(first, _KEY, "left").join(shape, "module", "left")
     outside, explicit = F.col("open").isNull(), F.coalesce("explicit", F.lit(False))
     through_stars = ~outside & ~explicit & (F.col("name") != "default")
     origin = (
@@ -34,10 +34,14 @@ def _expanded(front: DataFrame, shape: DataFrame, first: DataFrame) -> DataFrame
         .when(F.col("target").isNull(), F.struct("module", F.col("binding").alias("binding")))
         .when(F.col("imported").isNull(), F.struct(F.col("target").alias("module"), F.lit(NAMESPACE).alias("binding")))
     )
-    renamed = F.array(F.struct(F.col("target").alias("module"), F.col("imported").alias("name")))
-    starred = F.transform("targets", lambda t: F.struct(t.alias("module"), F.col("name").alias("name")))
-    onward = F.when(~outside & explicit & F.col("target").isNotNull() & F.col("imported").isNotNull(), renamed).when(through_stars, starred)
-    return told.select(*_KEY, (outside | (through_stars & F.col("open"))).alias("unknown"), origin.alias("origin"), onward.alias("next"))
+    renamed = ~outside & explicit & F.col("target").isNotNull() & F.col("imported").isNotNull()
+    onward = F.when(renamed, F.array("target")).when(through_stars, F.col("targets"))
+    return told.select(*_KEY, (outside | (through_stars & F.col("open"))).alias("unknown"), origin.alias("origin"), onward.alias("targets"), F.when(renamed, F.col("imported")).alias("as_name"))
+
+
+def _passed_on(steps: DataFrame, module: str, name: str) -> DataFrame:
+    """The keys that those of ``steps`` are passed on to, as ``module`` and ``name``, besides their own."""
+    return steps.select(F.col("module").alias("_module"), F.col("name").alias("_name"), F.explode("targets").alias(module), F.coalesce("as_name", "name").alias(name))
 
 
 def resolve_exports(exports: DataFrame, stars: DataFrame, wanted: DataFrame, modules: DataFrame) -> DataFrame:
@@ -56,7 +60,10 @@ def resolve_exports(exports: DataFrame, stars: DataFrame, wanted: DataFrame, mod
     Only keys that are asked for, or that these lead to, are looked at: a round
     follows all of them one step. What the last steps know then comes back as
     the least and the greatest origin, a step a round, until no key learns more.
+    Exports, steps, links and what was learnt are dealt into buckets once, so a
+    round shuffles its own rows and never the tables that it looks them up in.
     """
+    spark = wanted.sparkSession
     inside = modules.select("module").distinct()
     target = inside.withColumnRenamed("module", "target")
     linked = stars.join(target, "target", "left_semi").groupBy("module").agg(F.collect_set("target").alias("targets"))
@@ -64,31 +71,33 @@ def resolve_exports(exports: DataFrame, stars: DataFrame, wanted: DataFrame, mod
     shape = inside.join(linked, "module", "left").join(open_, "module", "left")
     shape = materialize(shape.select("module", F.coalesce("open", F.lit(False)).alias("open"), "targets"), "star-exports")
     first = exports.groupBy(*_KEY).agg(F.min_by(F.struct("target", "imported", "binding"), F.struct("place", "target", "imported", "binding")).alias("x"))
-    first = materialize(first.select(*_KEY, F.lit(True).alias("explicit"), "x.*"), "explicit-exports")
+    first = Dealt(spark, "explicit-exports", _KEY).add(first.select(*_KEY, F.lit(True).alias("explicit"), "x.*"))
 
-    asked = wanted.select(*_KEY).distinct()
-    steps = Rounds(asked.sparkSession, "export-steps")
-    last = steps.add(_expanded(asked, shape, first))
+    steps = Dealt(spark, "export-steps", _KEY)
+    last = steps.add(_expanded(wanted.select(*_KEY).distinct(), shape, first))
     while not last.isEmpty():
-        onward = last.select(F.explode("next").alias("k")).select("k.*").distinct()
-        last = steps.add(_expanded(onward.join(steps.all().select(*_KEY), _KEY, "left_anti"), shape, first))
+        onward = _passed_on(last, *_KEY).select(*_KEY).distinct()
+        seen = steps.all().select(*_KEY, F.lit(True).alias("_seen"))
+        news = onward.hint("shuffle_hash").join(seen, _KEY, "left").where("_seen is null").select(*_KEY)
+        last = steps.add(_expanded(news, shape, first))
 
     known = steps.all()
-    links = known.select(*_KEY, F.explode("next").alias("k")).select(*_KEY, F.col("k.module").alias("to_module"), F.col("k.name").alias("to_name"))
-    learnt = Rounds(asked.sparkSession, "export-origins")
+    to = ["to_module", "to_name"]
+    links = _passed_on(known, *to).select(F.col("_module").alias("module"), F.col("_name").alias("name"), *to)
+    links = Dealt(spark, "export-links", to).add(links.repartition(*to))
+    learnt = Dealt(spark, "export-origins", _KEY)
     last = learnt.add(known.where("unknown or origin is not null").select(*_KEY, "unknown", F.col("origin").alias("low"), F.col("origin").alias("high")))
 
-    def merged(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*_KEY).agg(F.max("unknown").alias("unknown"), F.min("low").alias("low"), F.max("high").alias("high"))
-
     while not last.isEmpty():
         news = last.select(F.col("module").alias("to_module"), F.col("name").alias("to_name"), "unknown", "low", "high")
-        came = merged(links.join(news, ["to_module", "to_name"]).select(*_KEY, "unknown", "low", "high"))
-        held = merged(learnt.all()).select(*_KEY, F.col("unknown").alias("was"), F.col("low").alias("least"), F.col("high").alias("most"))
+        came = news.hint("shuffle_hash").join(links, to).groupBy(*_KEY).agg(F.max("unknown").alias("unknown"), F.min("low").alias("low"), F.max("high").alias("high"))
+        held = learnt.all().select(*_KEY, F.col("unknown").alias("was"), F.col("low").alias("least"), F.col("high").alias("most"))
+        both = came.hint("shuffle_hash").join(held, _KEY, "left").groupBy(*_KEY, "unknown", "low", "high").agg(F.max("was").alias("was"), F.min("least").alias("least"), F.max("most").alias("most"))
         more = (F.col("unknown") & ~F.col("was")) | (F.col("low") < F.col("least")) | (F.col("high") > F.col("most")) | (F.col("least").isNull() & F.col("low").isNotNull())
-        last = learnt.add(came.join(held, _KEY, "left").where(F.col("was").isNull() | more).select(*_KEY, "unknown", "low", "high"))
+        last = learnt.add(both.where(F.col("was").isNull() | more).select(*_KEY, "unknown", "low", "high"))
 
-    rows = asked.join(merged(learnt.all()), _KEY, "left")
+    merged = learnt.all().groupBy(*_KEY).agg(F.max("unknown").alias("unknown"), F.min("low").alias("low"), F.max("high").alias("high"))
+    rows = steps.round(1).select(*_KEY).join(merged, _KEY, "left")
     state = F.when(F.col("unknown"), "unknown").when(F.col("low") != F.col("high"), "ambiguous").when(F.col("low").isNotNull(), "found").otherwise("not_found")
     found = rows.select(*_KEY, state.alias("state"), "low")
     return found.select(*_KEY, "state", *(F.when(F.col("state") == "found", F.col("low")[c]).alias(f"origin_{c}") for c in ("module", "binding")))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH: dict[str, str] = {}
 #: With it, Spark removes a query's shuffle files when the query has ended.
@@ -84,6 +85,42 @@ class Rounds:
         return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
 
 
+class Dealt:
+    """Like ``Rounds``, but dealt into buckets of ``by``, one for each shuffle partition.
+
+    A join on ``by`` with rows that are dealt alike reads a bucket a task and
+    shuffles nothing of this table, however many rounds it has. A round has to
+    come out of a shuffle, join or grouping on ``by``, so that a task writes one
+    bucket. The catalog's entry names a table in the scratch folder.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, by: list[str]) -> None:
+        self.spark, self.by, self.count = spark, by, 0
+        self.name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+        self.path = f"{scratch_folder(spark)}/{self.name}"
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write a round's rows and read them back."""
+        self.count += 1
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = df.withColumn("_round", F.lit(self.count)).write.mode("append").partitionBy("_round").bucketBy(buckets, *self.by)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            rows.format("parquet").option("path", self.path).saveAsTable(self.name)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
+        return self.round(self.count)
+
+    def round(self, number: int) -> DataFrame:
+        """The rows of one round, from 1."""
+        return self.spark.table(self.name).where(F.col("_round") == number).drop("_round")
+
+    def all(self) -> DataFrame:
+        """The rows of all rounds so far."""
+        return self.spark.table(self.name).drop("_round")
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote for ``df``; call it once everything that reads it is stored."""
     spark = df.sparkSession
