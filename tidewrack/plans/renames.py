@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.operators import namespaces, renames
+from tidewrack.session import materialize
 from tidewrack.sources import mappings
 
 
@@ -38,7 +39,7 @@ def source_map_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_map_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Renames by the suppliers' maps: lines mention bindings, sizes number the names (some empty, some reserved), regions are the lines of the source."""
-    tokens = source_map_rows(spark, sf_dir)
+    tokens = materialize(source_map_rows(spark, sf_dir), "tokens")  # four tables come from them
     line = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("module"), (F.col("l_partkey") % 50).alias("binding"), (F.col("l_orderkey") % 8).alias("line"), F.floor(F.col("l_orderkey") / 8).alias("column"))
     binding = F.col("binding")
     bindings = line.select("module", "binding").distinct().select(
