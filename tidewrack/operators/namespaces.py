@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions import names
 from tidewrack.operators import keys
+from tidewrack.session import materialize
 
 _TEXTS = "array<string>"
 _PROPS = "array<struct<exported:string,local:string,aliased:boolean>>"
@@ -85,9 +86,10 @@ def decompositions(imports: DataFrame, uses: DataFrame, exported: DataFrame, reu
     """
     at = ["module", "import_id"]
     plain = uses.where("prop is not null").join(uses.where("prop is null").select(*at).distinct(), at, "left_anti").select(*at, "prop").distinct()
+    plain = materialize(plain, "plain-uses")  # it is asked for three times, and what is left of it twice
     asked = plain.join(imports, at).select(*at, "provider", "prop")
     whole = keys.all_exported(asked.withColumn("_import", F.struct(*at)), exported.select("provider", F.col("name").alias("prop")), "_import", "provider", "prop").select("_import.*")
-    props = plain.join(whole, at, "left_semi")
+    props = materialize(plain.join(whole, at, "left_semi"), "props")
     stem = F.regexp_replace("name", r"_[0-9]+$", "")
     held = bindings.select("module", "name").distinct()
     looks = held.select("module", F.col("name").alias("prop"), "name").unionAll(held.where(stem != F.col("name")).select("module", stem.alias("prop"), "name"))

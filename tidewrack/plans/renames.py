@@ -58,6 +58,7 @@ def namespace_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders import three namespaces, by their suppliers' numbers; their lines use the parts' names, which some orders bind already."""
     part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", F.when(F.col("p_partkey") % 50 == 0, "delete").otherwise(F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))).alias("name"))
     line = _table(spark, sf_dir, "lineitem").join(part, "l_partkey").withColumn("import_id", F.col("l_suppkey") % 3).withColumnRenamed("l_orderkey", "module")
+    line = materialize(line.select("module", "import_id", "l_linenumber", "l_tax", "name"), "lines")  # four tables come from them
     local = F.when(F.col("import_id") == 0, "small_ring").otherwise(F.concat(F.lit("s"), F.col("import_id").cast("string")))
     imports = line.select("module", "import_id").distinct().select("module", "import_id", local.alias("local"), F.col("import_id").alias("provider"))
     uses = line.select("module", "import_id", F.when((F.col("l_linenumber") == 1) & (F.col("l_tax") == 0), None).otherwise(F.col("name")).alias("prop"))
