@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tidewrack.operators import exports, keys
+from tidewrack.plans.modules import QUERIES
 
 EXPORTS = "module string, place int, name string, spec string, imported string, binding string"
 IMPORTS = "module string, place int, local string, spec string, name string"
@@ -125,6 +126,13 @@ def test_a_long_chain_shuffles_the_exports_once(spark):
     assert sum(n for s, n in shuffled(spark).items() if s not in before) < 2 * many
 
 
+def test_export_resolution_shuffles_less_than_its_lines(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    before = shuffled(spark)
+    assert QUERIES["export_resolution"](spark, "/root/testdata/sf0.001").count() == 1228
+    assert sum(n for s, n in shuffled(spark).items() if s not in before) < lines
+
+
 def test_nothing_wanted(spark):
     make = spark.createDataFrame
     empty = make([], "module string, name string, place int, target string, imported string, binding string")
