@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from tests.llm.test_ngram_join import edited
 from tidewrack.llm import line_dedup
 
@@ -58,6 +60,26 @@ def test_twenty_corpora_on_few_words(spark):
     assert got == dict(want) and sum(map(len, got.values())) > 300
 
 
+@pytest.mark.parametrize("crowd", [0, 2, 6, 32])
+def test_crowded_tokens(spark, monkeypatch, crowd):
+    """Which tokens are crowded changes no result, though pairs share some that are and some that are not; one base line is in most documents."""
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(120)}" for _ in range(rng.choice([6, 9, 20, 40]))] for _ in range(20)]
+    rows = []
+    for d in range(60):
+        lines = [" ".join(edited(rng, base[0] if rng.random() < 0.4 else rng.choice(base), rng.choice([0, 1, 2, 3]))) for _ in range(rng.randrange(1, 5))]
+        rows.append((d, "\n".join(lines), "x", "y"))
+    got = {r.doc_id: r.removed for r in line_dedup.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[r[0]] for r in rows] == brute(rows)
+
+
+def test_words_are_hashed_once(spark, capsys):
+    """A filter or an explode on the hashes must not compute them again, which it did for every line."""
+    line_dedup.first_prefixes(line_dedup.lines_of(spark.createDataFrame([(1, "a b c d e f", "x", "y")], SCHEMA))).explain()
+    assert capsys.readouterr().out.count("transform(") == 1
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "a", "b"), (2, "", None, None), (3, "one line\n\none line", "a", "b"), (3, "one line\n\none line", "a", "b"), (None, "one line\nother", "a", "b")]
     docs = spark.createDataFrame(rows, SCHEMA)

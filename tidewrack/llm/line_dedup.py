@@ -10,11 +10,14 @@ goes if an earlier line matches it, and only then.
    order of all tokens the prefix follows. The first order is by the hash of a
    token's first word: it tells a prefix without building the other tokens. A
    class whose prefix no other class shares has no match.
-3. The tokens of the remaining classes are counted exactly and ordered by
+3. Classes that share enough tokens of their prefixes are pairs, joined on the
+   tokens with at most CROWD lines; a pair is verified exactly. A match that
+   shares too few of these is between two classes with enough crowded tokens.
+4. Only among such classes all tokens are counted exactly and ordered by
    rarity. Prefixes in that order, with the length filter and the positional
    filter (what is left after a shared token must reach the needed overlap),
-   give the candidates; the Jaccard similarity of each is verified exactly.
-4. Most lines of a group of near copies match its earliest or its heaviest
+   give the pairs to verify.
+5. Most lines of a group of near copies match its earliest or its heaviest
    member. They are compared with those first, so that only lines without a
    match by then are joined with all earlier ones.
 """
@@ -31,6 +34,8 @@ from tidewrack.session import discard, materialize
 WIDTH = 5
 #: Tokens of the first prefixes that two matching lines share at least (fewer where they have fewer).
 MATCHES = 3
+#: A token in more lines than this is crowded: no join pairs the classes that have it.
+CROWD = 32
 #: A match: NUM * |union| <= DEN * |intersection|.
 NUM, DEN = 3, 4
 
@@ -45,7 +50,8 @@ def _even_blanks(text: Column) -> Column:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, line_no, line (lower case, single spaces, trimmed), cls: the lines that have words."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split(_even_blanks(F.col("text")), "\n")).alias("line_no", "line"))
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))  # once a text and not once a line
+    rows = hashed.select("doc_id", "text_hash", F.posexplode(F.split(_even_blanks(F.col("text")), "\n")).alias("line_no", "line"))
     rows = rows.withColumn("line", F.trim("line")).where("line <> ''")
     return rows.withColumn("cls", F.xxhash64("line"))
 
@@ -67,23 +73,47 @@ def first_prefixes(lines: DataFrame) -> DataFrame:
     lacks at most floor(n / 4) of a line's tokens, so it has MATCHES of these, or
     ``asks`` if the line has fewer words to start with.
     """
-    hashed = lines.select("cls", _word_hashes(F.col("line")).alias("h")).where(F.size("h") >= WIDTH)
+    many = F.substring_index("line", " ", WIDTH - 1) != F.col("line")  # a filter on the hashes would compute them once more, as an inner explode would
+    hashed = lines.where(many).select("cls", _word_hashes(F.col("line")).alias("h"))
     places = F.size("h") - (WIDTH - 1)
     words = F.sort_array(F.array_distinct(F.slice("h", F.lit(1), places)))
     held = hashed.select("cls", "h", places.alias("n"), words.alias("w"))
     last = F.element_at("w", F.least(F.size("w"), F.floor(F.col("n") / DEN).cast("int") + MATCHES))
     held = held.select("cls", "h", "n", F.least(F.size("w"), F.lit(MATCHES)).alias("asks"), last.alias("last"))
-    rows = held.select("cls", "asks", "h", "n", "last", F.posexplode("h").alias("at", "word")).where("at < n and word <= last")
+    rows = held.select("cls", "asks", "h", "n", "last", F.posexplode_outer("h").alias("at", "word")).where("at < n and word <= last")
     return rows.select("cls", "asks", _token(F.col("at")).alias("token"))
 
 
-def sharing(prefixes: DataFrame) -> DataFrame:
-    """cls: the classes that share as many tokens of their prefix with other classes as a match would."""
-    ends = prefixes.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("token")
-    ends = materialize(ends, "line-shared-tokens")
+def shared_tokens(prefixes: DataFrame) -> DataFrame:
+    """cls, token, asks, crowded: the tokens of a class's prefix that other classes have too."""
+    ends = prefixes.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("rows")).where("low <> high")
+    ends = materialize(ends.select("token", (F.col("rows") > CROWD).alias("crowded")), "line-shared-tokens")
     near, _ = maybe_in(prefixes, F.col("token"), ends, F.col("token"))
-    met = near.join(ends, "token", "left_semi").groupBy("cls", "token").agg(F.first("asks").alias("asks"))
-    return met.groupBy("cls").agg(F.count(F.lit(1)).alias("k"), F.max("asks").alias("asks")).where("k >= asks").select("cls")
+    return near.join(ends, "token").groupBy("cls", "token").agg(F.first("asks").alias("asks"), F.first("crowded").alias("crowded"))
+
+
+def sharing(shared: DataFrame) -> DataFrame:
+    """cls, needs, in_crowd: the classes that share as many tokens with other classes as a match would.
+
+    ``needs`` is how many tokens that are not crowded a match shares at least,
+    or 1; a class in the crowd can do with crowded ones alone.
+    """
+    held = shared.groupBy("cls").agg(F.count(F.lit(1)).alias("k"), F.max("asks").alias("asks"), F.count_if("crowded").alias("c")).where("k >= asks")
+    return held.select("cls", F.greatest(F.col("asks") - F.col("c"), F.lit(1)).alias("needs"), (F.col("c") >= F.col("asks")).alias("in_crowd"))
+
+
+def pairs_of(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """cls, other: the pairs that share enough tokens which are not crowded, but for those inside the crowd.
+
+    The tokens that a match shares are in both prefixes. All but the crowded
+    ones are met here, so it has ``needs`` of both classes, or it shares crowded
+    tokens only and both are in the crowd.
+    """
+    mine = shared.where("not crowded").join(classes, "cls").select("token", "cls", "needs", "in_crowd")
+    theirs = mine.select("token", F.col("cls").alias("other"), F.col("needs").alias("wants"), F.col("in_crowd").alias("too"))
+    met = mine.join(theirs, "token").where("cls < other and not (in_crowd and too)")
+    counted = met.groupBy("cls", "other").agg(F.count(F.lit(1)).alias("k"), F.max(F.greatest("needs", "wants")).alias("least"))
+    return counted.where("k >= least").select("cls", "other")
 
 
 def _place() -> Column:
@@ -101,7 +131,7 @@ def candidates_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     one = lines.where("line is not null").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(_place()).alias("first"), F.first("line").alias("line"))
     hashed = one.select("cls", "first", _word_hashes(F.col("line")).alias("h"))
     starts = F.slice("h", F.lit(1), F.size("h") - (WIDTH - 1))
-    tokens = F.array_distinct(F.transform(starts, lambda _, i: _token(i)))
+    tokens = F.array_distinct(F.transform(starts, lambda _, i: F.xxhash64(F.slice("h", i + 1, F.lit(WIDTH)))))
     return hashed.select("cls", "first", tokens.alias("tokens")).select("cls", "first", F.size("tokens").cast("long").alias("n"), "tokens")
 
 
@@ -134,11 +164,13 @@ def _fits(na: Column, pa: Column, nb: Column, pb: Column) -> Column:
 
 
 def matching(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """cls of the pairs (cls, other) whose Jaccard similarity suffices."""
-    mine = candidates.select("cls", "n", "tokens")
-    theirs = candidates.select(F.col("cls").alias("other"), F.col("n").alias("m"), F.col("tokens").alias("others"))
-    both = pairs.select("cls", "other").join(mine, "cls").join(theirs, "other").withColumn("common", F.size(F.array_intersect("tokens", "others")).cast("long"))
-    return both.where(DEN * F.col("common") >= NUM * (F.col("n") + F.col("m") - F.col("common"))).select("cls").distinct()
+    """cls: the later ones of the pairs (cls, other) whose Jaccard similarity suffices."""
+    mine = candidates.select("cls", "first", "n", "tokens")
+    theirs = candidates.select(F.col("cls").alias("other"), F.col("first").alias("before"), F.col("n").alias("m"), F.col("tokens").alias("others"))
+    both = pairs.select("cls", "other").join(mine, "cls").join(theirs, "other").where(DEN * F.least("n", "m") >= NUM * F.greatest("n", "m"))
+    both = both.withColumn("common", F.size(F.array_intersect("tokens", "others")).cast("long"))
+    both = both.where(DEN * F.col("common") >= NUM * (F.col("n") + F.col("m") - F.col("common")))
+    return both.select(F.when(F.col("before") < F.col("first"), F.col("cls")).otherwise(F.col("other")).alias("cls")).distinct()
 
 
 def with_earlier_match(candidates: DataFrame) -> DataFrame:
@@ -154,17 +186,25 @@ def with_earlier_match(candidates: DataFrame) -> DataFrame:
     left = prefix.join(first, "cls", "left_anti")
     right = prefix.select("token", F.col("cls").alias("other"), F.col("first").alias("before"), F.col("n").alias("m"), F.col("at").alias("there"))
     pairs = left.join(right, "token").where((F.col("before") < F.col("first")) & _fits(F.col("n"), F.col("at"), F.col("m"), F.col("there")))
-    return materialize(first.unionAll(matching(pairs.select("cls", "other").distinct(), candidates)), "lines-matched")
+    return first.unionAll(matching(pairs.select("cls", "other").distinct(), candidates))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, removed (numbers from 0 of the lines to remove, ascending): only texts that lose lines."""
     prefixes = materialize(first_prefixes(lines_of(docs)), "line-tokens")
-    found = materialize(sharing(prefixes), "line-classes")
+    shared = materialize(shared_tokens(prefixes), "line-shared")
     discard(prefixes)
+    classes = materialize(sharing(shared), "line-classes")
+    pairs = materialize(pairs_of(shared, classes), "line-pairs")
+    crowd = classes.where("in_crowd").select("cls")
+    found = materialize(pairs.select(F.explode(F.array("cls", "other")).alias("cls")).unionAll(crowd).distinct(), "line-found")
     lines = materialize(with_texts_of(lines_of(docs), found), "lines")
     candidates = materialize(candidates_of(lines, found), "line-candidates")
-    matched = with_earlier_match(candidates).withColumn("matched", F.lit(True))
+    matched = matching(pairs, candidates)
+    if not crowd.isEmpty():
+        crowded = materialize(candidates.join(crowd, "cls", "left_semi"), "line-crowd")
+        matched = matched.unionAll(with_earlier_match(crowded)).distinct()
+    matched = materialize(matched, "lines-matched").withColumn("matched", F.lit(True))
     places = lines.select("cls", "doc_id", "text_hash", "line_no")
     classes = places.groupBy("cls").agg(F.count(F.lit(1)).alias("rows")).join(matched, "cls", "left").where("rows > 1 or matched")
     near = materialize(places.join(classes.select("cls", "matched"), "cls"), "line-places")
