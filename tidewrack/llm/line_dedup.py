@@ -127,12 +127,13 @@ def with_texts_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def candidates_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, first (position of the first such line), n, tokens: the wanted classes."""
-    one = lines.where("line is not null").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(_place()).alias("first"), F.first("line").alias("line"))
-    hashed = one.select("cls", "first", _word_hashes(F.col("line")).alias("h"))
+    """cls, in_crowd, first (position of the first such line), n, tokens: the wanted classes (cls, in_crowd)."""
+    held = lines.where("line is not null").join(wanted, "cls").groupBy("cls")
+    one = held.agg(F.first("in_crowd").alias("in_crowd"), F.min(_place()).alias("first"), F.first("line").alias("line"))
+    hashed = one.select("cls", "in_crowd", "first", _word_hashes(F.col("line")).alias("h"))
     starts = F.slice("h", F.lit(1), F.size("h") - (WIDTH - 1))
     tokens = F.array_distinct(F.transform(starts, lambda _, i: F.xxhash64(F.slice("h", i + 1, F.lit(WIDTH)))))
-    return hashed.select("cls", "first", tokens.alias("tokens")).select("cls", "first", F.size("tokens").cast("long").alias("n"), "tokens")
+    return hashed.select("cls", "in_crowd", "first", tokens.alias("tokens")).select("cls", "in_crowd", "first", F.size("tokens").cast("long").alias("n"), "tokens")
 
 
 def rare_prefixes(candidates: DataFrame) -> DataFrame:
@@ -196,13 +197,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     discard(prefixes)
     classes = materialize(sharing(shared), "line-classes")
     pairs = materialize(pairs_of(shared, classes), "line-pairs")
-    crowd = classes.where("in_crowd").select("cls")
-    found = materialize(pairs.select(F.explode(F.array("cls", "other")).alias("cls")).unionAll(crowd).distinct(), "line-found")
+    crowd = classes.where("in_crowd").select("cls", "in_crowd")
+    paired = pairs.select(F.explode(F.array("cls", "other")).alias("cls"), F.lit(False).alias("in_crowd"))
+    found = materialize(paired.unionAll(crowd).groupBy("cls").agg(F.max("in_crowd").alias("in_crowd")), "line-found")
     lines = materialize(with_texts_of(lines_of(docs), found), "lines")
     candidates = materialize(candidates_of(lines, found), "line-candidates")
     matched = matching(pairs, candidates)
     if not crowd.isEmpty():
-        crowded = materialize(candidates.join(crowd, "cls", "left_semi"), "line-crowd")
+        crowded = materialize(candidates.where("in_crowd"), "line-crowd")
         matched = matched.unionAll(with_earlier_match(crowded)).distinct()
     matched = materialize(matched, "lines-matched").withColumn("matched", F.lit(True))
     places = lines.select("cls", "doc_id", "text_hash", "line_no")
