@@ -80,6 +80,20 @@ def test_words_are_hashed_once(spark, capsys):
     assert capsys.readouterr().out.count("transform(") == 1
 
 
+def test_prefixes_start_with_long_words(spark):
+    """Short words repeat within a line, and every repetition would be one more row."""
+    line = " ".join(f"{('the', 'of', 'and', 'in')[k % 4]} longword{k:02d}" for k in range(20))
+    rows = line_dedup.first_prefixes(line_dedup.lines_of(spark.createDataFrame([(1, line, "x", "y")], SCHEMA)))
+    assert rows.count() == 36 // 4 + line_dedup.MATCHES
+
+
+def test_tokens_copy_no_line(spark, capsys):
+    """A slice of the words for every token takes the square of a line's length."""
+    lines = line_dedup.lines_of(spark.createDataFrame([(1, "a b c d e f", "x", "y")], SCHEMA))
+    line_dedup.candidates_of(lines, lines.selectExpr("cls", "false as in_crowd")).explain()
+    assert capsys.readouterr().out.count("slice(") == 1
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "a", "b"), (2, "", None, None), (3, "one line\n\none line", "a", "b"), (3, "one line\n\none line", "a", "b"), (None, "one line\nother", "a", "b")]
     docs = spark.createDataFrame(rows, SCHEMA)

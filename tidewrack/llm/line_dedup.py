@@ -7,9 +7,9 @@ goes if an earlier line matches it, and only then.
 
 1. Equal lines are one class, with the position of the first.
 2. A class can only match classes that share a token of its prefix, whatever
-   order of all tokens the prefix follows. The first order is by the hash of a
-   token's first word: it tells a prefix without building the other tokens. A
-   class whose prefix no other class shares has no match.
+   order of all tokens the prefix follows. The first order is by a token's first
+   word, longer words first: it tells a prefix without building the other
+   tokens. A class whose prefix no other class shares has no match.
 3. Classes that share enough tokens of their prefixes are pairs, joined on the
    tokens with at most CROWD lines; a pair is verified exactly. A match that
    shares too few of these is between two classes with enough crowded tokens.
@@ -32,8 +32,10 @@ from tidewrack.session import discard, materialize
 
 #: Words of a token.
 WIDTH = 5
-#: Tokens of the first prefixes that two matching lines share at least (fewer where they have fewer).
+#: Tokens of the first prefixes that two matching lines share at least (fewer where they have fewer); 3 at most, as of four tokens a match can lack one.
 MATCHES = 3
+#: The order of words tells their bytes up to this many.
+LONG = 16
 #: A token in more lines than this is crowded: no join pairs the classes that have it.
 CROWD = 32
 #: A match: NUM * |union| <= DEN * |intersection|.
@@ -60,13 +62,18 @@ def _word_hashes(line: Column) -> Column:
     return F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
 
 
+def _word_keys(line: Column) -> Column:
+    """The hashes of a line's words, shifted so that longer words tend to come first, as they are rarer and repeat less within a line."""
+    return F.transform(F.split(line, " "), lambda w: F.call_function("shiftrightunsigned", F.xxhash64(w), F.least(F.octet_length(w), F.lit(LONG))))
+
+
 def _token(at: Column) -> Column:
     """The hash of the token that starts at place ``at`` (from 0) of the word hashes ``h``."""
     return F.xxhash64(*[F.get(F.col("h"), at + k) for k in range(WIDTH)])
 
 
 def first_prefixes(lines: DataFrame) -> DataFrame:
-    """cls, asks, token: a prefix of every line of five words or more, by the order of the tokens' first words.
+    """cls, asks, token: a prefix of every line of five words or more, by the order of the tokens' first words, by their keys.
 
     The tokens that start with one of the floor(n / 4) + MATCHES smallest
     distinct words are that many tokens at least, and the smallest ones. A match
@@ -74,7 +81,7 @@ def first_prefixes(lines: DataFrame) -> DataFrame:
     ``asks`` if the line has fewer words to start with.
     """
     many = F.substring_index("line", " ", WIDTH - 1) != F.col("line")  # a filter on the hashes would compute them once more, as an inner explode would
-    hashed = lines.where(many).select("cls", _word_hashes(F.col("line")).alias("h"))
+    hashed = lines.where(many).select("cls", _word_keys(F.col("line")).alias("h"))
     places = F.size("h") - (WIDTH - 1)
     words = F.sort_array(F.array_distinct(F.slice("h", F.lit(1), places)))
     held = hashed.select("cls", "h", places.alias("n"), words.alias("w"))
@@ -89,7 +96,7 @@ def shared_tokens(prefixes: DataFrame) -> DataFrame:
     ends = prefixes.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count(F.lit(1)).alias("rows")).where("low <> high")
     ends = materialize(ends.select("token", (F.col("rows") > CROWD).alias("crowded")), "line-shared-tokens")
     near, _ = maybe_in(prefixes, F.col("token"), ends, F.col("token"))
-    return near.join(ends, "token").groupBy("cls", "token").agg(F.first("asks").alias("asks"), F.first("crowded").alias("crowded"))
+    return near.join(ends.hint("shuffle_hash"), "token").groupBy("cls", "token").agg(F.first("asks").alias("asks"), F.first("crowded").alias("crowded"))
 
 
 def sharing(shared: DataFrame) -> DataFrame:
@@ -132,7 +139,7 @@ def candidates_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     one = held.agg(F.first("in_crowd").alias("in_crowd"), F.min(_place()).alias("first"), F.first("line").alias("line"))
     hashed = one.select("cls", "in_crowd", "first", _word_hashes(F.col("line")).alias("h"))
     starts = F.slice("h", F.lit(1), F.size("h") - (WIDTH - 1))
-    tokens = F.array_distinct(F.transform(starts, lambda _, i: F.xxhash64(F.slice("h", i + 1, F.lit(WIDTH)))))
+    tokens = F.array_distinct(F.transform(starts, lambda _, i: _token(i)))  # a slice of h for every token would copy h every time
     return hashed.select("cls", "in_crowd", "first", tokens.alias("tokens")).select("cls", "in_crowd", "first", F.size("tokens").cast("long").alias("n"), "tokens")
 
 
